@@ -33,6 +33,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_token_counts, op6_quality_rules)}
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_report
+
+    return archive_report(_table(spark, sf_dir, "pages"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op9_warc_round_trip, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {}
