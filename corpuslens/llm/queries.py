@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extract_report
+
+    return extract_report(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_report
 
@@ -45,6 +51,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op9_warc_round_trip, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op9_warc_round_trip, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {}
