@@ -15,12 +15,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Added token of byte_bpe_50k.json.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import extract_report
 
     return extract_report(_table(spark, sf_dir, "pages"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest_report
+
+    return nearest_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_report
 
@@ -39,6 +49,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packing_report
+
+    return packing_report(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), SPECIAL)
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_report
 
@@ -51,6 +67,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op9_warc_round_trip, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op9_warc_round_trip, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {}
