@@ -31,6 +31,12 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_report(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_report
+
+    return substring_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_report
 
@@ -67,6 +73,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op9_warc_round_trip, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op9_warc_round_trip, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {}
