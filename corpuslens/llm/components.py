@@ -15,13 +15,14 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark can split.
+    low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
     return both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    low = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "low")
     hung = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionAll(low.select("a", F.col("m").alias("b")))
 
@@ -35,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.filter("a is not null and b is not null and a <> b").distinct(), "edges")
     before = None
     while True:
-        now = materialize(_small_star(_large_star(now)).filter("a <> b").distinct(), "star")
+        now = materialize(_large_star(now).filter("a <> b").distinct(), "star")
+        now = materialize(_small_star(now).filter("a <> b").distinct(), "star")
         # Both steps keep the components, so equal counts and sums of two rounds mean a fixed point.
         state = now.agg(F.count("*"), F.expr("sum(cast(a as decimal(20,0)))"), F.expr("sum(cast(b as decimal(20,0)))"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == before:

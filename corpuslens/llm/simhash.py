@@ -6,6 +6,12 @@ an odd product with v.  Some v is orthogonal to the vectors of any ``radius``
 positions, so two fingerprints that differ there agree on that table's key: no
 pair within the radius is missed.
 
+A text may get several fingerprints, by several seeds, and links to another
+text where any of them is within the radius of the other's: words that few
+edits leave alone then find each other with high probability, and the radius
+stays small.  ``near_duplicates`` takes shingles in all their occurrences, or
+(``width`` 0) each distinct word once.
+
 Only distinct fingerprints enter the tables.  A bucket of up to ``BUCKET``
 fingerprints is searched in blocks and yields a spanning set of its links, at
 most one row per fingerprint; a larger one is dealt anew by masks over the
@@ -23,52 +29,70 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .common import chunks, materialize, split_words
 from .components import components
 
 BITS = 64
 SEED = 42
+#: Seeds of the fingerprints by which near copies are looked for: of pairs whose five-word shingles have a
+#: similarity of 0.8 or more, each seed alone links over half within three bits.
+COPY_SEEDS = (42, 43, 44, 45, 46, 47, 48, 49)
 #: Fingerprints that one task compares with one another at most.
 BUCKET = 2048
 
 
-def _fingerprints(texts: pa.Array, width: int) -> np.ndarray:
+def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text, the bits that over half of its hashes have; zero for none."""
+    out = np.zeros(len(counts), np.uint64)
+    if not len(h):
+        return out
+    some = counts > 0
+    at = (np.cumsum(counts) - counts)[some]
+    for bit in range(BITS):
+        ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), at)
+        out[some] |= (2 * ones > counts[some]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def _fingerprints(texts: pa.Array, width: int, seeds: tuple[int, ...] = (SEED,)) -> list[np.ndarray]:
     words, firsts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    lengths = np.diff(firsts)
+    if width == 0:
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        pair = np.unique(owner * (len(own) + 1) + coded.indices.to_numpy(zero_copy_only=False))
+        counts = np.bincount(pair // (len(own) + 1), minlength=len(lengths))
+        code = pair % (len(own) + 1)
+        return [_majority(np.fromiter((xxhash.xxh64_intdigest(w, s) for w in own), np.uint64, len(own))[code], counts) for s in seeds]
     # Words joined by one space: a shingle is then one slice of the joined bytes.
     joined = b" ".join(w.encode() for w in words.to_pylist())
     ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    lengths = np.diff(firsts)
     counts = np.where(lengths == 0, 0, np.maximum(lengths - width + 1, 1))
     owner = np.repeat(np.arange(len(lengths)), counts)
     order = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     a = firsts[:-1][owner] + order
     b = a + np.minimum(width, lengths[owner]) - 1
+    spans = list(zip(starts[a].tolist(), ends[b].tolist())) if len(a) else []
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[a].tolist(), ends[b].tolist())), np.uint64, len(a)) if len(a) else np.zeros(0, np.uint64)
-    out = np.zeros(len(lengths), np.uint64)
-    if not len(h):
-        return out
-    some = counts > 0
-    at = (np.cumsum(counts) - counts)[some]
-    for bit in range(BITS):
-        ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), at)
-        out[some] |= (2 * ones > counts[some]).astype(np.uint64) << np.uint64(bit)
-    return out
+    return [_majority(np.fromiter((digest(joined[i:j], s) for i, j in spans), np.uint64, len(spans)), counts) for s in seeds]
 
 
-def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the SimHash of the XXH64 (seed 42) of every ``width``-word shingle, as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """``(doc_id, fps)``: for each seed the SimHash over XXH64 of the text's ``width``-word shingles
+    (0: its distinct words), as signed longs."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_fingerprints(part.column(1), width).view(np.int64))], ["doc_id", "fp"])
+                prints = np.stack(_fingerprints(part.column(1), width, seeds), 1).view(np.int64)
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * len(seeds)), pa.array(prints.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fps"])
 
-    kind = docs.schema[key].dataType
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def covering_masks(radius: int, free: int = (1 << BITS) - 1, salt: int = 0) -> list[int]:
@@ -86,11 +110,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _tables(fps: DataFrame, radius: int) -> DataFrame:
-    """A row for each fingerprint and table: ``free`` bits outside the key, and the key."""
+def _tables(prints: DataFrame, radius: int) -> DataFrame:
+    """A row for each of ``prints(which, fp, node)`` and table: the table's mask, and the bits under it."""
     masks = covering_masks(radius)
     rows = F.explode(F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks)))
-    return fps.select("fp", rows.alias("t")).select(F.col("t.mask"), F.col("t.key"), "fp")
+    return prints.select("which", "fp", "node", rows.alias("t")).select("which", "t.mask", "t.key", "fp", "node")
+
+
+BUCKETS = ["which", "mask", "key"]
 
 
 def _finer(hot: DataFrame, level: int, radius: int) -> DataFrame:
@@ -99,17 +126,18 @@ def _finer(hot: DataFrame, level: int, radius: int) -> DataFrame:
     def run(batches):
         known: dict[int, np.ndarray] = {}
         for batch in batches:
-            mask, fp = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            which, mask, fp, node = (batch.column(i).to_numpy() for i in range(4))
+            mask, fp = mask.view(np.uint64), fp.view(np.uint64)
             out = []
             for m in np.unique(mask):
-                own = fp[mask == m]
+                i = mask == m
                 if int(m) not in known:
                     known[int(m)] = np.array(covering_masks(radius, ~int(m) & ((1 << BITS) - 1), level), np.uint64) | m
-                out += [(np.full(len(own), x, np.uint64), own & x, own) for x in known[int(m)]]
+                out += [(which[i], np.full(i.sum(), x, np.uint64).view(np.int64), (fp[i] & x).view(np.int64), fp[i].view(np.int64), node[i]) for x in known[int(m)]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], ["mask", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], [*BUCKETS, "fp", "node"])
 
-    return hot.select("mask", "fp").mapInArrow(run, "mask long, key long, fp long")
+    return hot.select("which", "mask", "fp", "node").mapInArrow(run, "which int, mask long, key long, fp long, node long")
 
 
 def spanning_links(fps: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -140,58 +168,58 @@ def _bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for fps in batch.column(0):
-                own = np.sort(fps.values.to_numpy().view(np.uint64))
-                child, parent = spanning_links(own, radius)
-                a.append(own[child])
-                b.append(own[parent])
+            for bucket in batch.column(0):
+                nodes = bucket.values.field("node").to_numpy()
+                order = np.argsort(nodes, kind="stable")
+                child, parent = spanning_links(bucket.values.field("fp").to_numpy().view(np.uint64)[order], radius)
+                a.append(nodes[order[child]])
+                b.append(nodes[order[parent]])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], ["a", "b"])
 
-    return buckets.select("fps").mapInArrow(run, "a long, b long")
+    return buckets.select("x").mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Edges that join every two of the distinct fingerprints ``fps(fp)`` within ``radius`` bits, directly or by a chain of such pairs."""
-    found, rows = None, _tables(fps, radius)
+def links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Edges ``(a, b)`` between nodes of ``prints(which, fp, node)``, whose ``(which, fp)`` are distinct: they join every
+    two of one ``which`` within ``radius`` bits, directly or by a chain of such pairs."""
+    found, rows = None, _tables(prints, radius)
     for level in range(1, 8):
-        sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = rows.join(sizes, ["mask", "key"])
-        small = sized.filter(F.col("n") <= bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        edges = materialize(_bucket_links(small, radius).distinct(), "links")
+        sizes = rows.groupBy(BUCKETS).agg(F.count("*").alias("n")).filter("n > 1")
+        small = rows.join(sizes, BUCKETS).filter(F.col("n") <= bucket).groupBy(BUCKETS).agg(F.collect_list(F.struct("fp", "node")).alias("x"))
+        edges = materialize(_bucket_links(small, radius).filter("a <> b").distinct(), "links")
         found = edges if found is None else found.unionAll(edges)
-        hot = sizes.filter(F.col("n") > bucket).select("mask", "key")
-        hot = materialize(hot, "hot")
+        hot = materialize(sizes.filter(F.col("n") > bucket).select(BUCKETS), "hot")
         if hot.isEmpty():
             break
-        rows = materialize(_finer(rows.join(hot, ["mask", "key"], "left_semi"), level, radius).distinct(), "finer")
+        rows = materialize(_finer(rows.join(hot, BUCKETS, "left_semi"), level, radius).distinct(), "finer")
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``: the smallest id reachable over links of at most ``radius`` bits."""
-    prints = materialize(fingerprints(docs, width, key, text), "fingerprints")
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    roots = materialize(components(links(least.select("fp"), radius)), "roots")
-    grouped = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = materialize(grouped.join(named, "root").select("fp", "component_id"), "labels")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
-
-
-def hex_digits(fp: str) -> Column:
-    return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """``(doc_id, fps, component_id)``: the smallest id reachable over links of at most ``radius`` bits in some fingerprint."""
+    prints = materialize(fingerprints(docs, width, seeds), "fingerprints")
+    nodes = materialize(prints.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
+    # Texts that share one fingerprint but not all hang on the smallest of them.
+    heads = materialize(each.groupBy("which", "fp").agg(F.min("node").alias("head")), "heads") if len(seeds) > 1 else each.withColumnRenamed("node", "head")
+    edges = links(heads.select("which", "fp", F.col("head").alias("node")), radius)
+    if len(seeds) > 1:
+        edges = edges.unionAll(each.join(heads, ["which", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    roots = materialize(components(edges), "roots").withColumnRenamed("node", "at")
+    label = materialize(nodes.join(roots, nodes["node"] == roots["at"], "left").select("fps", F.coalesce("root", "node").alias("component_id")), "labels")
+    return prints.join(label, "fps").select("doc_id", "fps", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_copies(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def keep_first_copies(docs: DataFrame, width: int = 0, radius: int = 3, seeds: tuple[int, ...] = COPY_SEEDS) -> DataFrame:
     """Rows of ``docs`` without those that have a near copy of smaller id; rows of null id stay.
 
     Rows that repeat one doc_id are one document; all of them stay or go.
     """
-    found = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), width, radius)
+    found = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), width, radius, seeds)
     gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

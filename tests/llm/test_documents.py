@@ -47,7 +47,7 @@ def test_large_buckets_lose_no_link(spark):
         for _ in range(60):
             prints.add(b ^ sum(1 << p for p in rng.sample(range(16), rng.randint(1, 3))))
     ids = sorted(simhash._signed(p) for p in prints)
-    fps = spark.createDataFrame([(p,) for p in ids], "fp long")
+    fps = spark.createDataFrame([(0, p, p) for p in ids], "which int, fp long, node long")
     from corpuslens.llm.components import components
 
     got = {r.node: r.root for r in components(simhash.links(fps, 3, bucket=8)).collect()}
@@ -55,11 +55,28 @@ def test_large_buckets_lose_no_link(spark):
     assert {i: got.get(i, i) for i in ids} == want
 
 
+def test_near_copies_are_found(spark):
+    """Pairs of similarity 0.8 or more on five-word shingles, as few edits make them, and no others."""
+    rng = random.Random(11)
+    fresh = lambda n: [rng.choice(["the", "of", "and", "a"]) if rng.random() < 0.3 else f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    texts, copies = [], []
+    for _ in range(60):
+        w = fresh(rng.randint(120, 600))
+        texts.append(" ".join(w))
+        for _ in range(max(1, len(w) // 50)):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
+        copies.append(" ".join(w))
+    docs = frame(spark, texts + copies)
+    kept = {r.doc_id for r in simhash.keep_first_copies(docs).collect()}
+    assert kept >= set(range(60))
+    assert len(kept) <= 60 + 4
+
+
 def test_empty_and_clashing_columns(spark):
     empty = frame(spark, [])
     assert simhash.simhash_report(empty).count() == 0
     assert tokens.token_report(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
-    more = frame(spark, ["same text here", "same text here", None]).selectExpr("*", "1 as fp", "2 as component_id", "3 as kept")
+    more = frame(spark, ["same text here", "same text here", None]).selectExpr("*", "1 as fps", "2 as component_id", "3 as node")
     kept = simhash.keep_first_copies(more)
     assert kept.columns == more.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
