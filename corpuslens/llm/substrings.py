@@ -3,7 +3,7 @@
 A window is ``WIDTH`` consecutive words.  Neighbouring windows whose smallest
 ``GRAM``-word hash stands at the same place form one entry, keyed by that hash
 (the anchor) with a fingerprint of the entry's words (the body); equal windows
-always have equal anchors, wherever they stand.  So one row in about seven
+always have equal anchors, wherever they stand.  So one row in about eight
 words stands for all windows.
 
 The index is a list of immutable runs, each sorted by its key.  A new batch is
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from .common import chunks, mix64, release, scratch_path, split_words, window_hashes, word_hashes
 
-WIDTH, GRAM = 20, 8
+WIDTH, GRAM = 20, 6
 MAX_RUNS = 4
 #: Batches that the query enters the table in, by ranges of doc_id.
 BATCHES = 2
@@ -188,7 +188,7 @@ class FingerprintIndex:
 
     def _run(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def add(self, docs: DataFrame) -> DataFrame:
