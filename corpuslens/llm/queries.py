@@ -61,6 +61,12 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), SPECIAL)
 
 
+def op8_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import lattice_report
+
+    return lattice_report(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_report
 
@@ -73,6 +79,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op9_warc_round_trip, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op8_lattice_sampling, op9_warc_round_trip, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {}
