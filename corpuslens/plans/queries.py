@@ -1,6 +1,403 @@
-"""The engine's own queries and their oracles."""
+"""The engine's queries over the driver's tables, and the same in DuckDB's SQL.
+
+``pages`` stand for a crawled site, ``documents`` with ``labels`` for page texts with judgements,
+``embeddings`` for page vectors, ``events`` for the event log, ``conversations`` for a log of model calls.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions import scores as S, text as X, urls as U
+from ..operators import crawl as C, judge as J, state as T, vectors as V
+from ..schemas import DAMAGE, LABELS
+from ..session import materialize
+from ..sources import sinks
+from ..streaming import events as E
+from . import audit as A, report as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SPACE_SQL = "'" + X.SPACE.replace("\\x0b", "\\v") + "'"
+COLLAPSED = f"trim(regexp_replace(coalesce(text, ''), {SPACE_SQL}, ' ', 'g'), ' ')"
+WORDS_SQL = f"(case when {COLLAPSED} = '' then 0 else len(string_split({COLLAPSED}, ' ')) end)"
+
+
+# -- texts -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, {WORDS_SQL}::bigint word_count, sha256({COLLAPSED}) collapsed_sha256 from documents")
+def word_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("word_count"), X.sha256_hex(X.collapse(F.coalesce("text", F.lit("")))).alias("collapsed_sha256"))
+
+
+@query(f"select doc_id, {WORDS_SQL}::bigint word_count from documents where {WORDS_SQL} < 50")
+def thin_pages(spark, d):
+    words = table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("word_count"))
+    return words.filter(X.is_thin(F.col("word_count")))
+
+
+@query("select doc_id, sha256(coalesce(text, '')) digest, strlen(coalesce(text, ''))::bigint n_bytes from documents")
+def content_digest(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", X.sha256_hex(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+
+@query("select sha256(text) digest, count(*) n, min(doc_id) first_id from documents where text is not null group by 1 having count(*) > 1")
+def exact_dups(spark, d):
+    return table(spark, d, "documents").filter("text is not null").groupBy(X.sha256_hex(F.col("text")).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query("select doc_id, case when strlen(text) <= 100 then text else (select max(substr(text, 1, k)) from range(1, 101) t(k) where strlen(substr(text, 1, k)) <= 100) end head from documents")
+def byte_heads(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.byte_prefix(F.col("text"), 100).alias("head"))
+
+
+@query("select event_id, regexp_replace('key sk-' || repeat(event_type, 6) || event_id || ' end', 'sk-[A-Za-z0-9_-]{20,}', 'REDACTED', 'g') message, case when event_type = 'error' then 'REDACTED' else props end attribute from events")
+def redact_secrets(spark, d):
+    e = table(spark, d, "events")
+    message = F.concat(F.lit("key sk-"), F.repeat("event_type", 6), F.col("event_id").cast("string"), F.lit(" end"))
+    return e.select("event_id", X.redact(message).alias("message"), X.redact(F.col("props"), F.when(F.col("event_type") == "error", F.lit("X-Api-Key")).otherwise(F.lit("props"))).alias("attribute"))
+
+
+@query("select event_id, props reply, (props::json->>'$.k')::bigint k from events")
+def strip_fences(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" Done."))).otherwise(F.concat(F.lit("  "), F.col("props"), F.lit("\n")))
+    reply = X.strip_fences(raw)
+    return table(spark, d, "events").select("event_id", reply.alias("reply"), F.from_json(reply, "k long")["k"].alias("k"))
+
+
+# -- urls and links --------------------------------------------------------------------------------------------------
+
+_TRACKING = "|".join(U.TRACKING)
+CANONICAL_SQL = f"""lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^[^:]+://([^/?#]*)', 1)) ||
+ (case when regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1) in ('', '/') then '/' else regexp_replace(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') end) ||
+ (case when len(q) = 0 then '' else '?' || array_to_string(q, '&') end)"""
+PARTS_SQL = f"(select *, url u, list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(lower(split_part(x, '=', 1)), '^({_TRACKING})$|^utm_'))) q from pages)"
+
+
+@query(f"select page_id, {CANONICAL_SQL} canonical from {PARTS_SQL}")
+def url_canonicalize(spark, d):
+    return table(spark, d, "pages").select("page_id", U.canonicalize(F.col("url")).alias("canonical"))
+
+
+@query(f"select canonical, count(*) n, min(page_id) first_id from (select page_id, {CANONICAL_SQL} canonical from {PARTS_SQL}) group by 1")
+def url_aliases(spark, d):
+    return url_canonicalize(spark, d).groupBy("canonical").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+
+
+@query("select page_id, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) authority, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) = 'therin.example.net' same from pages")
+def same_host(spark, d):
+    return table(spark, d, "pages").select("page_id", U.authority(F.col("url")).alias("authority"), U.same_host(F.lit("https://THERIN.example.net/"), F.col("url")).alias("same"))
+
+
+@query("select page_id, not regexp_matches(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/fr/|\\d{3}$') and regexp_matches(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '^/(en|de|fr)/') admitted from pages")
+def exclude_filter(spark, d):
+    return table(spark, d, "pages").select("page_id", U.admitted_path(F.col("url"), [r"^/(en|de|fr)/"], [r"/fr/", r"\d{3}$"]).alias("admitted"))
+
+
+EDGES_SQL = f"""(select distinct canonical from_url, regexp_extract(canonical, '^([^:]+://[^/]*)', 1) || (case when href in ('', '/') then '/' else regexp_replace(href, '/+$', '') end) to_url from
+ (select {CANONICAL_SQL} canonical, unnest(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1))) href from {PARTS_SQL}))"""
+
+
+@query(f"select to_url, count(*) inbound from {EDGES_SQL} group by 1")
+def inbound_links(spark, d):
+    return C.inbound_counts(C.quick_edges(table(spark, d, "pages")))
+
+
+@query(f"select max(n) max_inbound from (select count(*) n from {EDGES_SQL} group by to_url)")
+def max_inbound(spark, d):
+    return R.max_inbound(inbound_links(spark, d))
+
+
+UNTAGGED = "trim(regexp_replace(replace(replace(regexp_replace(@@, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), " + SPACE_SQL + ", ' ', 'g'), ' ')"
+ARTICLE = UNTAGGED.replace("@@", "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")
+
+
+@query(f"select page_id, {ARTICLE} body_text, (case when {ARTICLE} = '' then 0 else len(string_split({ARTICLE}, ' ')) end)::bigint word_count, len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)))::bigint n_links from pages where not regexp_matches(html, '&am?p?(?:[^;amp]|$)')")
+def page_extract(spark, d):
+    pages = table(spark, d, "pages").filter(~F.col("html").rlike("&am?p?(?:[^;amp]|$)"))
+    got = C.extract_pages(pages)
+    return got.join(pages.select("page_id", "url"), "url").select("page_id", "body_text", "word_count", F.size("links").cast("long").alias("n_links"))
+
+
+@query()
+def page_metadata(spark, d):
+    return C.extract_pages(table(spark, d, "pages")).select("url", "title", "meta_description", "canonical_url", "last_modified", "published_date", "is_empty_shell", "body_size_bytes")
+
+
+@query()
+def crawl_levels(spark, d):
+    pages = table(spark, d, "pages")
+    site = pages.agg(F.min_by("url", "page_id")).first()[0]
+    return C.crawl(pages, site, max_depth=3)
+
+
+# -- judgements ------------------------------------------------------------------------------------------------------
+
+#: Texts with labels, as judged pages.
+ENTRIES_SQL = f"""(select doc_id, word_count, label, confidence, inbound, action,
+ floor((case label {" ".join(f"when '{k}' then {v}" for k, v in DAMAGE.items())} else 0 end) * (0.5 + 0.5 * inbound / 22) * confidence * 100 * 10 + 0.5) / 10 priority from
+ (select *, case label when 'Aligned' then 'KEEP' when 'Thin' then 'DELETE' when 'Contradictory' then 'REWRITE' when 'OffBrand' then 'UPDATE' else 'MANUAL_REVIEW' end action from
+ (select d.doc_id, {WORDS_SQL} word_count, case when {WORDS_SQL} < 50 then 'Thin' when toxic = 1 then 'Contradictory' when quality = 0 then 'OffBrand' when quality = 1 then 'Aligned' else 'Unclear' end label,
+ 0.5::double + (d.doc_id % 50) / 100.0::double confidence, (d.doc_id * 7) % 23 inbound from documents d left join labels l using (doc_id))))"""
+
+
+def judged_documents(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("word_count"))
+    joined = docs.join(table(spark, d, "labels"), "doc_id", "left")
+    label = F.when(F.col("word_count") < 50, "Thin").when(F.col("toxic") == 1, "Contradictory").when(F.col("quality") == 0, "OffBrand").when(F.col("quality") == 1, "Aligned").otherwise("Unclear")
+    action = F.when(F.col("label") == "Aligned", "KEEP").when(F.col("label") == "Thin", "DELETE").when(F.col("label") == "Contradictory", "REWRITE").when(F.col("label") == "OffBrand", "UPDATE").otherwise("MANUAL_REVIEW")
+    one = joined.select("doc_id", "word_count", label.alias("label"), (F.lit(0.5) + (F.col("doc_id") % 50) / F.lit(100.0)).alias("confidence"), ((F.col("doc_id") * 7) % 23).alias("inbound"))
+    return one.withColumn("action", action).withColumn("priority", S.priority(F.col("label"), F.col("confidence"), F.col("inbound"), F.lit(22)))
+
+
+@query(f"select doc_id, word_count::bigint word_count, label, action, round(confidence, 4) confidence, inbound, priority from {ENTRIES_SQL}")
+def priority_report(spark, d):
+    return judged_documents(spark, d).withColumn("confidence", F.round("confidence", 4))
+
+
+@query(f"select label, action, count(*) n, sum(word_count)::bigint words, round(avg(priority), 4) mean_priority from {ENTRIES_SQL} group by 1, 2")
+def summary_by_label(spark, d):
+    return judged_documents(spark, d).groupBy("label", "action").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.round(F.avg("priority"), 4).alias("mean_priority"))
+
+
+@query(f"select row_number() over (order by priority desc, doc_id) ordinal, doc_id, priority from (select * from {ENTRIES_SQL} order by priority desc, doc_id limit 50) where label <> 'Aligned'")
+def top_pages(spark, d):
+    top = judged_documents(spark, d).orderBy(F.desc("priority"), "doc_id").limit(50).filter("label <> 'Aligned'")
+    # At most 50 rows are numbered.
+    return top.select(F.row_number().over(W.orderBy(F.desc("priority"), "doc_id")).cast("long").alias("ordinal"), "doc_id", "priority")
+
+
+@query(f"select doc_id, round(case when c > 10 and c <= 100 then c / 100 when c < 0 then 0 when c > 1 then 1 else c end, 6) repaired, round(case when label = 'Unclear' and (case when c > 10 and c <= 100 then c / 100 when c < 0 then 0 when c > 1 then 1 else c end) >= 0.6 then 0.59 else (case when c > 10 and c <= 100 then c / 100 when c < 0 then 0 when c > 1 then 1 else c end) end, 6) capped from (select *, (case doc_id % 4 when 0 then confidence when 1 then confidence * 100 when 2 then -confidence else confidence * 7 end)::double c from {ENTRIES_SQL})")
+def judge_repair(spark, d):
+    own = F.col("confidence")
+    c = F.when(F.col("doc_id") % 4 == 0, own).when(F.col("doc_id") % 4 == 1, own * 100).when(F.col("doc_id") % 4 == 2, -own).otherwise(own * 7)
+    r = S.repaired_confidence(c)
+    return judged_documents(spark, d).select("doc_id", F.round(r, 6).alias("repaired"), F.round(S.capped_confidence(r, F.col("action")), 6).alias("capped"))
+
+
+def _responses(spark, d) -> DataFrame:
+    """Judgements with findings that quote the text's head, something else, or nothing."""
+    docs = table(spark, d, "documents").join(judged_documents(spark, d).select("doc_id", "label", "action"), "doc_id")
+    f = lambda i, q: F.struct(F.lit(f"f{i}").alias("id"), F.lit("stale_fact").alias("kind"), F.lit("high").alias("severity"), q.alias("quoted_text"), F.lit("top").alias("location_hint"), F.lit("x").alias("issue"), F.lit("y").alias("suggested_fix"))
+    all_ = F.array(f(1, F.substring("text", 1, 20)), f(2, F.lit("nowhere to be found")), f(3, F.lit("")))
+    findings = F.slice(all_, F.lit(1), (F.col("doc_id") % 4).cast("int"))
+    plan = F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("s").alias("summary")))
+    return docs.select("doc_id", F.col("text").alias("body_text"), F.col("label").alias("primary_label"), F.col("action").alias("suggested_action"), F.lit(0.7).alias("confidence"), findings.alias("findings"), plan.alias("edit_plan"), F.struct(F.when(F.col("doc_id") % 7 == 0, "z").alias("should_focus_on")).alias("page_summary"), F.array(F.lit("p1"), F.lit("zz"), F.lit("p2"), F.lit("p1")).alias("affected_prompts"))
+
+
+@query(f"select doc_id, case when label = 'Aligned' and (doc_id % 4 > 0 or doc_id % 3 = 0 or doc_id % 7 = 0) then 'aligned' when action in ('UPDATE', 'REWRITE') and (doc_id % 3 <> 0 or doc_id % 4 = 0) then 'update_or_rewrite' when action = 'DELETE' and (doc_id % 4 = 0 or doc_id % 3 = 0) then 'delete' else '' end violations, (case doc_id % 4 when 0 then 0 when 1 then 1 when 2 then 1 else 2 end)::bigint n_findings, 'p1,p2,p1' prompts from {ENTRIES_SQL}")
+def judge_violations(spark, d):
+    got = J.validated(_responses(spark, d), F.array(F.lit("p1"), F.lit("p2")))
+    return got.select("doc_id", F.concat_ws(",", "violations").alias("violations"), F.size("findings").cast("long").alias("n_findings"), F.concat_ws(",", "affected_prompts").alias("prompts"))
+
+
+@query("select doc_id, list_aggregate(list_transform(list_sort(list_transform(ls, lambda x, i: {'r': coalesce(list_position(%s, x), 1), 'i': i, 'x': x})), lambda y: y.x), 'string_agg', ',') labels from (select doc_id, [%s[1 + doc_id %% 8], %s[1 + doc_id * 3 %% 8], 'Odd'] ls from documents)" % ((str(LABELS),) * 3))
+def label_order(spark, d):
+    names = F.array(*map(F.lit, LABELS))
+    own = F.array(F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")), F.element_at(names, (F.col("doc_id") * 3 % 8 + 1).cast("int")), F.lit("Odd"))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", S.sort_labels(own)).alias("labels"))
+
+
+@query(f"select doc_id, printf('%s|%s|%.1f', label, action, priority) line from {ENTRIES_SQL} where priority > 0 and action <> 'KEEP'")
+def report_lines(spark, d):
+    return judged_documents(spark, d).filter("priority > 0 and action <> 'KEEP'").select("doc_id", F.format_string("%s|%s|%.1f", "label", "action", "priority").alias("line"))
+
+
+@query()
+def audit_entries(spark, d):
+    pages = table(spark, d, "pages")
+    # Root-relative links lead to no other page of this corpus, so every page of the largest host is a seed.
+    host = pages.groupBy(U.authority(F.col("url")).alias("h")).count().orderBy(F.desc("count"), "h").first()["h"]
+    seeds = [r[0] for r in pages.filter(U.authority(F.col("url")) == host).select("url").orderBy("page_id").limit(500).collect()]
+    out = A.audit(pages, seeds[0], judge=J.rule_judge, seeds=seeds[1:], threshold=0.99)
+    return sinks.csv_frame(R.ordered(out["entries"]))
+
+
+# -- vectors ---------------------------------------------------------------------------------------------------------
+
+PAIRS_SQL = "(select a.vec_id a, b.vec_id b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4)"
+COMPONENTS_SQL = f"""with recursive p as materialized {PAIRS_SQL}, e as (select a x, b y from p union select b, a from p),
+ reach(x, y) as (select x, x from e union select r.x, e.y from reach r join e on r.y = e.x), c as (select x member, min(y) root from reach group by 1)"""
+
+
+def _pairs(spark, d) -> DataFrame:
+    return materialize(V.similar_pairs(table(spark, d, "embeddings"), 0.4, "vec_id", "embedding"), "pairs")
+
+
+@query(f"select a, b, round(s, 6) similarity from {PAIRS_SQL}")
+def similar_pairs(spark, d):
+    return _pairs(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(COMPONENTS_SQL + " select member, root, 'cl_' || lpad(k::varchar, greatest(3, len(k::varchar))::int, '0') cluster_id from c join (select root, row_number() over (order by root) k from (select distinct root from c)) using (root)")
+def dup_clusters(spark, d):
+    return V.clusters(_pairs(spark, d))
+
+
+@query(COMPONENTS_SQL + ", folded as (select root, list({'a': a, 'b': b, 's': s} order by a, b) ps from p join c on c.member = p.a group by 1) select 'cl_' || lpad(k::varchar, greatest(3, len(k::varchar))::int, '0') cluster_id, n size, members from (select root, row_number() over (order by root) k, count(*) n, string_agg(member::varchar, ',' order by member) members from c group by root)")
+def cluster_members(spark, d):
+    pairs = _pairs(spark, d)
+    return V.cluster_rollup(pairs, V.clusters(pairs)).select("cluster_id", "size", F.concat_ws(",", F.col("member_urls").cast("array<string>")).alias("members"))
+
+
+@query()
+def cluster_averages(spark, d):
+    pairs = _pairs(spark, d)
+    return V.cluster_rollup(pairs, V.clusters(pairs)).select("cluster_id", F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+DATED = "case when member % 3 = 0 then '' else '2024-01-' || lpad((1 + member * 7 % 28)::varchar, 2, '0') end"
+
+
+@query(COMPONENTS_SQL + f""", m as (select root, member, 40 + member % 4 w, {DATED} lm from c), t as (select *, max(w) over (partition by root) mw from m), f as (select *, first(lm) over (partition by root order by member) first_lm from t where w = mw)
+ select root cluster_id, first(member order by (case when first_lm = '' or lm = '' then null else lm end) nulls last, member) canonical from f group by root""")
+def canonical_member(spark, d):
+    members = V.clusters(_pairs(spark, d))
+    dated = F.when(F.col("member") % 3 == 0, "").otherwise(F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("member") * 7 % 28).cast("string"), 2, "0")))
+    own = members.select(F.col("root").alias("cluster_id"), F.col("member").alias("url"), (40 + F.col("member") % 4).alias("word_count"), dated.alias("last_modified"))
+    return V.canonical_members(own)
+
+
+# -- event log, runs and queues --------------------------------------------------------------------------------------
+
+
+@query("select event_type, count(*) n from events group by 1")
+def event_type_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') ts, event_type from events where event_type = 'error' order by ts, event_id limit 100")
+def events_ordered(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'error'").orderBy("ts", "event_id").limit(100)
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "event_type")
+
+
+@query("select user_id, max(event_id) latest_event, count(*) n, count(*) filter (event_type = 'error') errors, round(sum(value), 4) total from events group by 1")
+def latest_run(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_event"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("select conv_id, coalesce(sum(strlen(text)) filter (role = 'user'), 0)::bigint input_tokens, coalesce(sum(strlen(text)) filter (role = 'assistant'), 0)::bigint output_tokens, count(*) calls, count(*) filter (turn > 0) retries from conversations group by 1")
+def token_totals(spark, d):
+    size = F.octet_length("text")
+    total = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, size)), F.lit(0))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(total("user").alias("input_tokens"), total("assistant").alias("output_tokens"), F.count("*").alias("calls"), F.count_if(F.col("turn") > 0).alias("retries"))
+
+
+def _queue(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_id") % 5 == 0, "fetched").when(F.col("event_id") % 5 == 1, "in_flight").when(F.col("event_id") % 5 == 2, "failed").otherwise("pending")
+    t = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_id").alias("url"), F.col("user_id").alias("run_id"), (F.col("event_id") % 3).cast("int").alias("depth"), status.alias("status"), F.lit(None).cast("string").alias("claimed_by"), F.when(F.col("event_id") % 5 == 1, t).alias("claim_expires_at"), F.lit(0).alias("attempt_count"), F.when(F.col("event_id") % 5 == 2, t).alias("next_retry_at"), t.alias("discovered_at"))
+
+
+_NOW = "timestamp '2024-01-10 00:00:00'"
+
+
+@query(f"select event_id url, user_id run_id from (select *, row_number() over (partition by user_id order by event_id % 3, ts, event_id) k from events where event_id % 5 > 2 or (event_id % 5 = 2 and ts <= {_NOW})) where k <= 2")
+def claim_next(spark, d):
+    got = T.claim(_queue(spark, d), F.lit("w1"), F.expr(_NOW), 300, 2)
+    return got.filter("claimed_by = 'w1'").select("url", "run_id")
+
+
+@query(f"select case when event_id % 5 = 0 then 'fetched' when event_id % 5 = 1 and ts >= {_NOW} then 'in_flight' when event_id % 5 = 2 then 'failed' else 'pending' end status, count(*) n from events group by 1")
+def status_counts(spark, d):
+    return T.recover_claims(_queue(spark, d), F.expr(_NOW)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, n from (select doc_id, 1 n from labels where doc_id % 2 = 0 union all select doc_id, 2 n from labels where doc_id % 2 = 1)")
+def insert_or_ignore(spark, d):
+    rows = table(spark, d, "labels").select("doc_id")
+    old = rows.filter("doc_id % 2 = 0").withColumn("n", F.lit(1))
+    return T.insert_or_ignore(old, rows.withColumn("n", F.lit(2)).unionAll(rows.withColumn("n", F.lit(3))), ["doc_id"])
+
+
+@query("select doc_id, 'old' first_run, case when doc_id % 3 = 0 then 'new' else 'old' end body from labels where doc_id % 2 = 0 union all select doc_id, 'new', 'new' from labels where doc_id % 2 = 1 and doc_id % 3 = 0")
+def upsert_latest(spark, d):
+    rows = table(spark, d, "labels").select("doc_id")
+    both = lambda x: rows.withColumn("first_run", F.lit(x)).withColumn("body", F.lit(x))
+    return T.upsert(both("old").filter("doc_id % 2 = 0"), both("new").filter("doc_id % 3 = 0"), ["doc_id"], ["first_run"])
+
+
+@query("select event_id, case event_type when 'view' then 'render_report' when 'click' then 'resume' when 'error' then 'inspect_events: boom' when 'purchase' then case when ts < timestamp '2024-01-10 00:00:00' - interval 5 minute then 'resume_crashed' else 'wait' end else 'inspect_state: ' || event_type end next_action from events")
+def run_next_action(spark, d):
+    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "click", "aborted").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "running").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", S.next_action(status, F.lit("boom"), F.col("ts").cast("timestamp"), F.expr(_NOW)).alias("next_action"))
+
+
+@query("select user_id run, count(*) sessions, max(beats) longest from (select user_id, sid, count(*) beats from (select *, sum(fresh) over (partition by user_id order by ts, event_id) sid from (select *, case when lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hour > ts then 0 else 1 end fresh from events)) group by 1, 2) group by 1")
+def heartbeat_sessions(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.heartbeat_sessions(e, "6 hours").groupBy("run").agg(F.count("*").alias("sessions"), F.max("beats").alias("longest"))
+
+
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') start, event_type, count(*) n from events group by 1, 2")
+def event_windows(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.windowed_counts(e).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("select event_id, (props::json->>'$.k')::bigint k from events where (props::json->>'$.k')::bigint > 50")
+def json_payloads(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")).filter("k > 50")
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') iso, round(epoch(date_trunc('second', ts)), 0)::bigint secs from events")
+def iso_times(spark, d):
+    t = F.col("ts").cast("timestamp")
+    shown = F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    return table(spark, d, "events").select("event_id", S.rfc3339(S.parse_time(F.date_format(t, "yyyy-MM-dd HH:mm:ss"))).alias("iso"), F.unix_timestamp(S.http_date(shown)).alias("secs"))
+
+
+# -- beyond the reference: generic relational shapes -------------------------------------------------------------------
+
+
+@query("select c_custkey, c_mktsegment, count(o_orderkey) orders, coalesce(round(sum(o_totalprice), 2), 0) total from customer left join orders on c_custkey = o_custkey group by 1, 2")
+def outer_join_totals(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("t"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce(F.round("t", 2), F.lit(0.0)).alias("total"))
+
+
+@query("select count(*) n, round(sum(c_acctbal), 2) balance from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def anti_join(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("select r_name, n_name, count(*) suppliers from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
+def rollup_suppliers(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return s.rollup("r_name", "n_name").agg(F.count("*").alias("suppliers"))
+
+
+@query("select l_returnflag, l_linestatus, sum(l_quantity)::bigint qty, count(*) n, round(avg(l_discount), 6) discount from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
+def pricing_summary(spark, d):
+    return table(spark, d, "lineitem").filter("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("qty"), F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("discount"))
+
+
+@query("select e.event_id, max(p.event_id) last_view from events e left join lateral (select event_id from events v where v.user_id = e.user_id and v.event_type = 'view' and (v.ts, v.event_id) <= (e.ts, e.event_id) order by v.ts desc, v.event_id desc limit 1) p on true where e.event_type = 'purchase' group by 1")
+def as_of_last_view(spark, d):
+    before = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    e = table(spark, d, "events").withColumn("last_view", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), True).over(before))
+    return e.filter("event_type = 'purchase'").select("event_id", "last_view")
+
