@@ -65,7 +65,7 @@ def to_markdown(report: dict, top: int = 0) -> bytes:
         out += ["**Affected prompts:** " + ", ".join(f"`{x}`" for x in p["affected_prompts"] or [])] * bool(p["affected_prompts"])
         focus = p["page_summary"] or {}
         out += ["", "#### Page summary", "", f"- **Current focus:** {focus.get('current_focus') or ''}"]
-        out += [f"- **Should focus on:** {focus['should_focus_on']}"] * bool(focus.get("should_focus_on"))
+        out += [f"- **Should focus on:** {focus.get('should_focus_on')}"] * bool(focus.get("should_focus_on"))
         out.append("")
         for f in p["findings"] or []:
             out += [f"##### Finding {f['id']}: {f['kind']} (severity: {(f['severity'] or '').upper()})", "", f"**Location:** {f['location_hint']}", "", *(f"> {line}" for line in (f["quoted_text"] or "").split("\n")), "", f"**Issue:** {f['issue']}", "", f"**Suggested fix:** {f['suggested_fix']}", ""]
