@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; bounds the memory of a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes that one Arrow batch of whole texts takes at most between JVM and Python (a longer row comes alone).
+BATCH_BYTES = 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -71,6 +73,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)  # the cleaner works in a thread of its own
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, about to go to Python: from now on the session's Arrow batches are bounded by ``BATCH_BYTES``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes (a longer text comes alone)."""
     if not batch.num_rows:

@@ -24,7 +24,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import bounded, chunks
 
 #: Labelled pages that a fit reads at most: those of the smallest hashes of their id.
 MAX_LABELLED = 2_000
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(h.as_py(), weights) for h in part.column(2)], pa.string())], ["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def extract_report(pages: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, mix64
+from .common import bounded, chunks, mix64
 
 MARK = 0x2581
 #: Stands for a mark in the text itself.
@@ -250,7 +250,7 @@ def sampled(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()).alias("key")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return bounded(docs).select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()).alias("key")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(pieces: DataFrame, model_path: str) -> DataFrame:
@@ -282,5 +282,5 @@ def lattice_report(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()).alias("key"))
+    keyed = bounded(docs).select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()).alias("key"))
     return keyed.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, materialize, mix64
+from .common import bounded, chunks, materialize, mix64
 from .tokens import PATTERN
 
 LENGTH = 2048
@@ -96,7 +96,7 @@ def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_places(np.concatenate(arrays), firsts)), pa.array([x.tobytes() for x in arrays], pa.binary())], ["doc_id", "place", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, ids binary")
+    return bounded(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, ids binary")
 
 
 PIECE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

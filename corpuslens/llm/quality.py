@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import chunks, inside, mix64, split_words, window_hashes, word_hashes
+from .common import bounded, chunks, inside, mix64, split_words, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -81,7 +81,7 @@ def quality_stats(df: DataFrame, text: str = "text") -> DataFrame:
             for part in chunks(batch, at):
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in _stats(part.column(at)))], [*names, *(PREFIX + s for s in STATS)])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def stat(name: str) -> Column:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, materialize, split_words
+from .common import bounded, chunks, materialize, split_words
 from .components import components
 
 BITS = 64
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seeds: tuple[int, ...] = (SEED
                 fps = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * len(seeds)), pa.array(prints.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def covering_masks(radius: int, free: int = (1 << BITS) - 1, salt: int = 0) -> list[int]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import chunks, mix64, release, scratch_path, split_words, window_hashes, word_hashes
+from .common import bounded, chunks, mix64, release, scratch_path, split_words, window_hashes, word_hashes
 
 WIDTH, GRAM = 20, 6
 MAX_RUNS = 4
@@ -131,7 +131,7 @@ def _batch_rows(docs: DataFrame) -> DataFrame:
                 cols = [np.concatenate([x[i] for x in out]) for i in range(1, 6)]
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, cols[:3]), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(np.int32))], ["kind", "anchor", "body", "doc_id", "pos", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RUN)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, RUN)
 
 
 def _listed(ranges: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _windows(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                 doc = _owner(firsts, at)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((at - firsts[doc]).astype(np.int32)), pa.array(again)], ["h1", "h2", "doc_id", "pos", "again"])
 
-    return docs.select("doc_id", "text").join(_listed(ranges), "doc_id").mapInArrow(run, WINDOW)
+    return bounded(docs).select("doc_id", "text").join(_listed(ranges), "doc_id").mapInArrow(run, WINDOW)
 
 
 class FingerprintIndex:
@@ -300,7 +300,7 @@ def without(docs: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame
     for f in schema.fields:
         f.nullable = True
     listed = _listed(ranges).withColumnRenamed("doc_id", "__id")
-    return docs.join(listed, docs["doc_id"] == listed["__id"], "left").select(*names, "__ranges").mapInArrow(run, schema)
+    return bounded(docs).join(listed, docs["doc_id"] == listed["__id"], "left").select(*names, "__ranges").mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:

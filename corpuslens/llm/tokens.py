@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import bounded, chunks
 
 #: Pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose counts a Python worker remembers; it starts anew beyond.
 CACHE = 400_000
+#: Larger chunks hold more repetitions of a piece.
+CHUNK = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -130,12 +132,12 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def run(batches):
         merger = Merger(path)
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, CHUNK):
                 size = pc.cast(pc.fill_null(pc.binary_length(part.column(1)), 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(merger.texts(part.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return bounded(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def token_report(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
