@@ -41,7 +41,7 @@ OWN_MARK = 0x110000
 ALPHA, RANK_SHIFT = 0.5, 2.0
 SEED = 42
 #: Text bytes sampled together; a node takes some 200 bytes of working memory.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = -2
@@ -106,6 +106,12 @@ class Lattice:
         if len(np.unique(slot)) < len(slot) or len(np.unique(self.hashes)) < len(self.hashes):
             raise ValueError("pieces clash in both tables")
         self.second[slot] = rest
+        # Bits of what pieces, and starts of pieces, hash to: most substrings are neither and go no further.
+        starts = {k[:i] for k in keys for i in range(1, len(k) + 1)}
+        self.starts = np.zeros(1 << 21, bool)
+        self.starts[(np.array([self._hash(np.array([ord(c) for c in k])) for k in starts], np.uint64) >> np.uint64(43)).astype(np.int64)] = True
+        self.whole = np.zeros(1 << 21, bool)
+        self.whole[at] = True
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.uint64:
@@ -116,6 +122,12 @@ class Lattice:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece of each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        some = np.flatnonzero(self.whole[(h >> np.uint64(43)).astype(np.int64)])
+        out[some] = self._lookup(h[some])
+        return out
+
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
         i = self.first[(h >> np.uint64(43)).astype(np.int64)]
         miss = (i < 0) | (self.hashes[i] != h)
         j = self.second[(h[miss] & np.uint64((1 << 21) - 1)).astype(np.int64)]
@@ -140,7 +152,8 @@ class Lattice:
             keep = place + size <= ends[place]
             place, h = place[keep], h[keep]
             h = h * _M + mixed[place + size - 1]
-            found = self._find(mix64(h))
+            own = mix64(h)
+            found = self._find(own)
             hit = found >= 0
             node = place[hit] + unit[place[hit]] + size
             weight[node, size - 1] = self.w[found[hit]]
@@ -150,6 +163,8 @@ class Lattice:
                 node = bare + unit[bare] + 1
                 weight[node, 0] = self.byte_weight * _utf8(codes[bare])[1]
                 piece[node, 0] = _BYTES
+            more = self.starts[(own >> np.uint64(43)).astype(np.int64)]
+            place, h = place[more], h[more]
         total = np.zeros(nodes)
         share = np.full((nodes, top), 2.0, np.float32)
         order = np.argsort(-lengths, kind="stable")
@@ -159,8 +174,10 @@ class Lattice:
             sizes = np.arange(1, min(j, top) + 1)
             path = total[at[:, None] - sizes] + weight[at, : len(sizes)]
             best = path.max(1)
-            total[at] = best + np.log(np.exp(path - best[:, None]).sum(1))
-            cumulative = np.cumsum(np.exp(path - total[at][:, None]), 1)
+            part = np.exp((path - best[:, None]).astype(np.float32))
+            cumulative = np.cumsum(part, 1)
+            total[at] = best + np.log(cumulative[:, -1])
+            cumulative /= cumulative[:, -1:]
             # Whatever rounding leaves goes to the longest edge there is.
             last = len(sizes) - 1 - np.argmax(np.isfinite(path[:, ::-1]), 1)
             cumulative[np.arange(len(sizes)) >= last[:, None]] = 2.0
