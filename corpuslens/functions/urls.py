@@ -26,6 +26,11 @@ SKIPPED_SCHEMES = ["mailto:", "javascript:", "tel:"]
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, PARTS, i)
 
@@ -79,11 +84,10 @@ def clean_query(q: Column) -> Column:
 
 def canonicalize(url: Column) -> Column:
     """The canonical form of an absolute URL; null for any other."""
-    p = clean_path(path(url))
-    p = F.when(p == "", "/").when(F.length(p) > 1, F.regexp_replace(p, r"/+$", "")).otherwise(p)
-    q = clean_query(_part(F.trim(url), 4))
-    out = F.concat(scheme(url), F.lit("://"), host(url), p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    return F.when(is_absolute(url), out)
+    stripped = lambda p: F.when(p == "", "/").when(F.length(p) > 1, F.regexp_replace(p, r"/+$", "")).otherwise(p)
+    query = lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
+    out = lambda u: F.when(is_absolute(u), F.concat(scheme(u), F.lit("://"), host(u), _let(clean_path(path(u)), stripped), _let(clean_query(_part(F.trim(u), 4)), query)))
+    return _let(url, out)
 
 
 def admitted_path(url: Column, includes: list[str] | None = None, excludes: list[str] | None = None) -> Column:

@@ -34,7 +34,8 @@ def quick_edges(pages: DataFrame) -> DataFrame:
     """``(from_url, to_url)``, distinct, by pattern instead of a parser, with canonical ends."""
     hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
     each = pages.select("url", F.explode(F.array_distinct(hrefs)).alias("href")).filter("not (href like 'mailto:%' or href like 'javascript:%' or href like 'tel:%') and href <> ''")
-    return each.select(canonicalize(F.col("url")).alias("from_url"), canonicalize(resolve(F.col("url"), F.col("href"))).alias("to_url")).filter("from_url is not null and to_url is not null").distinct()
+    resolved = each.select(canonicalize(F.col("url")).alias("from_url"), resolve(F.col("url"), F.col("href")).alias("target"))
+    return resolved.select("from_url", canonicalize(F.col("target")).alias("to_url")).filter("from_url is not null and to_url is not null").distinct()
 
 
 def inbound_counts(edges: DataFrame, fetched: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import scores as S, text as X, urls as U
 from ..operators import crawl as C, judge as J, state as T, vectors as V
 from ..schemas import DAMAGE, LABELS
-from ..session import materialize
+from ..session import materialize, scratch_root
 from ..sources import sinks
 from ..streaming import events as E
 from . import audit as A, report as R
@@ -369,7 +370,27 @@ def iso_times(spark, d):
     return table(spark, d, "events").select("event_id", S.rfc3339(S.parse_time(F.date_format(t, "yyyy-MM-dd HH:mm:ss"))).alias("iso"), F.unix_timestamp(S.http_date(shown)).alias("secs"))
 
 
-# -- beyond the reference: generic relational shapes -------------------------------------------------------------------
+def _stream(spark, d, name: str, build, mode: str) -> DataFrame:
+    """What a stream over the event files has put out when it has read all of them."""
+    root = f"{scratch_root(spark)}/corpuslens"
+    at = f"{root}/{name}-{uuid.uuid4().hex}"
+    out = f"{name}_{uuid.uuid4().hex[:12]}"
+    E.run_once(build(E.event_stream(spark, f"{d}/events.parquet")), out, at, mode)
+    return spark.table(out)
+
+
+@query(ORACLE["event_windows"])
+def stream_event_windows(spark, d):
+    got = _stream(spark, d, "windows", lambda e: E.windowed_counts(e, "1 hour", "3650 days"), "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("select distinct user_id from events")
+def stream_first_seen(spark, d):
+    return _stream(spark, d, "first", lambda e: E.first_seen(e, ["user_id"], "3650 days").select("user_id"), "append")
+
+
+# -- generic relational shapes, beyond what an audit needs -------------------------------------------------------------------
 
 
 @query("select c_custkey, c_mktsegment, count(o_orderkey) orders, coalesce(round(sum(o_totalprice), 2), 0) total from customer left join orders on c_custkey = o_custkey group by 1, 2")
