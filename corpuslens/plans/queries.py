@@ -375,7 +375,7 @@ def _stream(spark, d, name: str, build, mode: str) -> DataFrame:
     root = f"{scratch_root(spark)}/corpuslens"
     at = f"{root}/{name}-{uuid.uuid4().hex}"
     out = f"{name}_{uuid.uuid4().hex[:12]}"
-    E.run_once(build(E.event_stream(spark, f"{d}/events.parquet")), out, at, mode)
+    E.run_once(build(E.event_stream(spark, d, pattern="events.parquet")), out, at, mode)
     return spark.table(out)
 
 

@@ -8,11 +8,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of ``folder`` as they appear; ``files_per_trigger`` limits the rate."""
+def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
+    """Parquet files of ``folder`` as they appear, or those whose names meet ``pattern``; ``files_per_trigger`` limits the rate."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
