@@ -44,7 +44,6 @@ SEED = 42
 CHUNK = 2 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = -2
 
 
 def _utf8(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +94,11 @@ class Lattice:
         """Two tables by bits of a piece's hash; pieces that clash in the first stand in the second."""
         h = np.array([self._hash(np.array([ord(c) for c in k])) for k in keys], np.uint64)
         order = np.argsort(h)
-        self.hashes, self.ids, self.w = h[order], ids[order], weights[order]
+        # After the pieces: byte edges of one to four bytes, and no edge.
+        n = self.pieces = len(order)
+        self.hashes, self.ids = h[order], ids[order]
+        self.w = np.concatenate([weights[order], self.byte_weight * np.arange(1, 5), [-np.inf]]).astype(np.float32)
+        self.small = np.int16 if n + 5 < 1 << 15 else np.int32
         self.first = np.full(1 << 21, -1, np.int32)
         self.second = np.full(1 << 21, -1, np.int32)
         at = (self.hashes >> np.uint64(43)).astype(np.int64)
@@ -144,8 +147,7 @@ class Lattice:
         ends = (starts + lengths)[unit]
         place = np.arange(len(codes))
         nodes = len(codes) + len(lengths)
-        weight = np.full((nodes, top), -np.inf, np.float32)
-        piece = np.full((nodes, top), -1, np.int32)
+        piece = np.full((nodes, top), self.pieces + 4, self.small)
         mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
         h = np.zeros(len(codes), np.uint64)
         for size in range(1, top + 1):
@@ -156,13 +158,11 @@ class Lattice:
             found = self._find(own)
             hit = found >= 0
             node = place[hit] + unit[place[hit]] + size
-            weight[node, size - 1] = self.w[found[hit]]
-            piece[node, size - 1] = self.ids[found[hit]]
+            piece[node, size - 1] = found[hit]
             if size == 1:
                 bare = place[~hit]
                 node = bare + unit[bare] + 1
-                weight[node, 0] = self.byte_weight * _utf8(codes[bare])[1]
-                piece[node, 0] = _BYTES
+                piece[node, 0] = self.pieces - 1 + _utf8(codes[bare])[1]
             more = self.starts[(own >> np.uint64(43)).astype(np.int64)]
             place, h = place[more], h[more]
         total = np.zeros(nodes)
@@ -172,15 +172,16 @@ class Lattice:
         for j in range(1, int(sorted_[0]) + 1 if len(sorted_) else 1):
             at = base[order[: np.searchsorted(-sorted_, -j, "right")]] + j
             sizes = np.arange(1, min(j, top) + 1)
-            path = total[at[:, None] - sizes] + weight[at, : len(sizes)]
+            path = total[at[:, None] - sizes] + self.w[piece[at, : len(sizes)]]
             best = path.max(1)
             part = np.exp((path - best[:, None]).astype(np.float32))
             cumulative = np.cumsum(part, 1)
-            total[at] = best + np.log(cumulative[:, -1])
-            cumulative /= cumulative[:, -1:]
-            # Whatever rounding leaves goes to the longest edge there is.
-            last = len(sizes) - 1 - np.argmax(np.isfinite(path[:, ::-1]), 1)
-            cumulative[np.arange(len(sizes)) >= last[:, None]] = 2.0
+            whole = cumulative[:, -1:].copy()
+            total[at] = best + np.log(whole[:, 0])
+            # Whatever rounding leaves goes to the last edge that counts.
+            last = cumulative >= whole
+            cumulative /= whole
+            cumulative[last] = 2.0
             share[at, : len(sizes)] = cumulative
         return base, total, share, piece
 
@@ -222,14 +223,11 @@ class Lattice:
         steps: list[tuple[np.ndarray, ...]] = []
         while len(active):
             at = node[active]
-            u = (mix64(stream[active] + left[active].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            size = (share[at] <= u[:, None]).sum(1) + 1
+            u = (mix64(stream[active] + left[active].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            size = (share[at] > u[:, None]).argmax(1) + 1
             got = piece[at, size - 1].astype(np.int64)
-            raw = got == _BYTES
-            count = np.ones(len(active), np.int64)
             where = opens[active] + left[active] - 1  # the character that ends here
-            if raw.any():
-                count[raw] = _utf8(codes[where[raw]])[1]
+            count = np.where(got >= self.pieces, got - self.pieces + 1, 1)
             steps.append((active, taken[active], got, count, where))
             taken[active] += count
             node[active] -= size
@@ -239,8 +237,8 @@ class Lattice:
         out = np.zeros(int(stop[-1]), np.int64)
         for who, behind, got, count, where in steps:
             last = stop[who] - 1 - behind
-            raw = got == _BYTES
-            out[last[~raw]] = got[~raw]
+            raw = got >= self.pieces
+            out[last[~raw]] = self.ids[got[~raw]]
             if raw.any():
                 bytes_, k = _utf8(codes[where[raw]])
                 for i in range(4):
