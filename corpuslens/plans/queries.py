@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import scores as S, text as X, urls as U
 from ..operators import crawl as C, judge as J, state as T, vectors as V
 from ..schemas import DAMAGE, LABELS
-from ..session import materialize, scratch_root
+from ..session import materialize, scratch_path
 from ..sources import sinks
 from ..streaming import events as E
 from . import audit as A, report as R
@@ -372,8 +372,7 @@ def iso_times(spark, d):
 
 def _stream(spark, d, name: str, build, mode: str) -> DataFrame:
     """What a stream over the event files has put out when it has read all of them."""
-    root = f"{scratch_root(spark)}/corpuslens"
-    at = f"{root}/{name}-{uuid.uuid4().hex}"
+    at = scratch_path(spark, name)
     out = f"{name}_{uuid.uuid4().hex[:12]}"
     E.run_once(build(E.event_stream(spark, d, pattern="events.parquet")), out, at, mode)
     return spark.table(out)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -33,8 +35,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder; a session that has ended has nothing left to ask."""
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except (Py4JError, ConnectionError):  # at interpreter exit the JVM may be gone
+        pass
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the scratch root, removed when the driver ends."""
+    path = f"{scratch_root(spark)}/corpuslens/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete_path, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: lineage ends there, and executors may be lost."""
-    path = f"{scratch_root(df.sparkSession)}/corpuslens/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` once to the shared scratch folder and read it back.
+
+    It cuts lineage like ``checkpoint()``, survives lost executors, and gives
+    the planner real sizes, so a side is broadcast only below the threshold.
+    """
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
