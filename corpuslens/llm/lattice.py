@@ -88,6 +88,7 @@ class Lattice:
         self.byte_weight = -alpha * (np.log(size) + 1)
         self.weights = dict(zip(keys, weights))
         self.seed = np.uint64(seed)
+        self.power = self.undo = np.ones(1, np.uint64)
         self._index(keys, np.array(ids), np.array(weights))
 
     def _index(self, keys: list[str], ids: np.ndarray, weights: np.ndarray) -> None:
@@ -147,24 +148,31 @@ class Lattice:
         ends = (starts + lengths)[unit]
         place = np.arange(len(codes))
         nodes = len(codes) + len(lengths)
-        piece = np.full((nodes, top), self.pieces + 4, self.small)
         mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
         h = np.zeros(len(codes), np.uint64)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
         for size in range(1, top + 1):
             keep = place + size <= ends[place]
             place, h = place[keep], h[keep]
+            if not len(place):
+                break
             h = h * _M + mixed[place + size - 1]
             own = mix64(h)
             found = self._find(own)
             hit = found >= 0
-            node = place[hit] + unit[place[hit]] + size
-            piece[node, size - 1] = found[hit]
+            edges.append((place[hit] + unit[place[hit]] + size, found[hit]))
             if size == 1:
                 bare = place[~hit]
-                node = bare + unit[bare] + 1
-                piece[node, 0] = self.pieces - 1 + _utf8(codes[bare])[1]
+                bare_nodes, bare_edges = bare + unit[bare] + 1, self.pieces - 1 + _utf8(codes[bare])[1]
             more = self.starts[(own >> np.uint64(43)).astype(np.int64)]
             place, h = place[more], h[more]
+        # As wide as the longest piece that occurs here.
+        top = max((i for i, (node, _) in enumerate(edges, 1) if len(node)), default=1)
+        piece = np.full((nodes, top), self.pieces + 4, self.small)
+        for i, (node, found) in enumerate(edges[:top]):
+            piece[node, i] = found
+        if edges:
+            piece[bare_nodes, 0] = bare_edges
         total = np.zeros(nodes)
         share = np.full((nodes, top), 2.0, np.float32)
         order = np.argsort(-lengths, kind="stable")
@@ -185,6 +193,12 @@ class Lattice:
             share[at, : len(sizes)] = cumulative
         return base, total, share, piece
 
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the multiplier and of its inverse up to the n-th, kept from chunk to chunk."""
+        if n >= len(self.power):
+            self.power, self.undo = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, x, np.uint64)]), dtype=np.uint64) for x in (int(_M), pow(int(_M), -1, 1 << 64)))
+        return self.power[: n + 1], self.undo[: n + 1]
+
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' pieces in order, and each text's first index (n + 1 values); ``keys`` are 64-bit hashes of the rows."""
         firsts = np.zeros(len(texts) + 1, np.int64)
@@ -205,10 +219,12 @@ class Lattice:
         opens = np.flatnonzero(head | (mark & ~np.concatenate([[False], mark[:-1]])))
         length = np.diff(np.concatenate([opens, [len(codes)]]))
         # Distinct units, by a fingerprint of their characters.
-        power, undo = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(codes), x, np.uint64)]), dtype=np.uint64) for x in (int(_M), pow(int(_M), -1, 1 << 64)))
+        power, undo = self._powers(len(codes))
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], dtype=np.uint64)])
         print_ = mix64((prefix[opens + length] - prefix[opens]) * undo[opens] + mix64(length.astype(np.uint64)))
-        _, sample, unit = np.unique(print_, return_index=True, return_inverse=True)
+        unit = pa.array(print_).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sample = np.empty(int(unit.max()) + 1, np.int64)
+        sample[unit[::-1]] = np.arange(len(unit))[::-1]
         n = length[sample]
         chars = np.repeat(opens[sample] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         base, _, share, piece = self.filter(codes[chars], n)
