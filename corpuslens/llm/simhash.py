@@ -31,14 +31,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import shingles
 from .common import bounded, chunks, materialize, split_words
 from .components import components
 
 BITS = 64
 SEED = 42
-#: Seeds of the fingerprints by which near copies are looked for: of pairs whose five-word shingles have a
-#: similarity of 0.8 or more, each seed alone links over half within three bits.
-COPY_SEEDS = (42, 43, 44, 45, 46, 47, 48, 49)
 #: Fingerprints that one task compares with one another at most.
 BUCKET = 2048
 
@@ -215,11 +213,6 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_copies(docs: DataFrame, width: int = 0, radius: int = 3, seeds: tuple[int, ...] = COPY_SEEDS) -> DataFrame:
-    """Rows of ``docs`` without those that have a near copy of smaller id; rows of null id stay.
-
-    Rows that repeat one doc_id are one document; all of them stay or go.
-    """
-    found = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), width, radius, seeds)
-    gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_first_copies(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without near copies of kept rows of smaller id, by five-word shingles (see ``shingles``)."""
+    return shingles.keep_first_copies(docs)
