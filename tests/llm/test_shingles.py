@@ -21,6 +21,15 @@ def similarity(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def first_copies(texts):
+    """Ids kept in order: those that are no near copy of a kept one."""
+    kept = []
+    for i, t in enumerate(texts):
+        if not any(similarity(t, texts[k]) >= 0.8 for k in kept):
+            kept.append(i)
+    return set(kept)
+
+
 def kept(spark, texts):
     return {r.doc_id for r in simhash.keep_first_copies(frame(spark, texts)).collect()}
 
@@ -41,6 +50,43 @@ def test_appended_and_truncated_copies_go(spark):
     assert kept(spark, texts + copies) == set(range(80))
 
 
+def test_documents_below_the_threshold_stay(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(40):
+        w = fresh(rng, 200)
+        texts.append(" ".join(w))
+        if k % 2:
+            rng.shuffle(w)  # one vocabulary, another order
+        else:
+            for i in range(10, 200, 20):
+                w[i] = f"edit{k}x{i}"  # ten words of 200: a similarity of about 0.6
+        texts.append(" ".join(w))
+    assert all(similarity(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert kept(spark, texts) == set(range(80))
+
+
+def test_links_are_not_followed_beyond_the_threshold(spark):
+    """Neighbours of a chain are near copies, others are not; every second one stays."""
+    w = fresh(random.Random(7), 400)
+    chain = [" ".join(w[25 * i : 25 * i + 250]) for i in range(7)]
+    assert similarity(chain[0], chain[1]) >= 0.8 > similarity(chain[0], chain[2])
+    assert kept(spark, chain) == {0, 2, 4, 6} == first_copies(chain)
+
+
+def test_groups_match_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", "two words", "Two words", "a b c d e", "a b c d f"]
+    base = fresh(rng, 150)
+    for k in range(60):  # one large group of copies with one to six edits each, few of them alike enough
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    assert kept(spark, texts) == first_copies(texts)
+
+
 def test_sets_and_bands():
     texts = ["a b c d e f", "A b c d e F", "one two", None, "x x x x x x x", "one two three four"]
     found, starts = shingles.shingle_sets(pa.array(texts))
