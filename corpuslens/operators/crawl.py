@@ -65,17 +65,20 @@ def admit(found: DataFrame, site: str, includes=None, excludes=None, robots=None
     return own if max_depth <= 0 else own.filter(F.col("depth") <= max_depth)
 
 
-def crawl(corpus: DataFrame, site: str, seeds: list[str] = (), includes=None, excludes=None, robots=None, max_depth: int = 6, max_pages: int = 0) -> DataFrame:
+def crawl(corpus: DataFrame, site: str, seeds: list[str] | DataFrame = (), includes=None, excludes=None, robots=None, max_depth: int = 6, max_pages: int = 0) -> DataFrame:
     """``(url, depth, discovered_via, discovered_from, status)`` of all that a breadth-first walk from the site and its seeds finds.
 
     One level is one join of the frontier with the corpus' edges; ``corpus(url, html)`` stands for the web.
+    Seeds are a list, or a table with a column ``url``.
     A page limit takes the first by (depth, url), exactly.
     """
     spark = corpus.sparkSession
     known = corpus.select(canonicalize(F.col("url")).alias("url")).filter("url is not null").distinct()
     edges = materialize(quick_edges(corpus), "edges")
-    rows = [(site, 0, "homepage", None)] + [(s, 0, "seed", None) for s in seeds]
-    frontier = admit(spark.createDataFrame(rows, "url string, depth int, via string, source string"), site, includes, excludes, robots, max_depth)
+    columns = "url string, depth int, via string, source string"
+    rows = spark.createDataFrame([(site, 0, "homepage", None)], columns)
+    more = seeds.select("url", F.lit(0).alias("depth"), F.lit("seed").alias("via"), F.lit(None).cast("string").alias("source")) if isinstance(seeds, DataFrame) else spark.createDataFrame([(s, 0, "seed", None) for s in seeds], columns)
+    frontier = admit(rows.unionByName(more), site, includes, excludes, robots, max_depth)
     frontier = materialize(frontier.groupBy("url").agg(F.min_by(F.struct("depth", "via", "source"), F.struct("depth", "via", "source")).alias("v")).select("url", "v.*"), "frontier")
     seen, depth = frontier, 0
     while not frontier.isEmpty() and (max_depth <= 0 or depth < max_depth):

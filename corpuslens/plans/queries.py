@@ -229,8 +229,9 @@ def audit_entries(spark, d):
     pages = table(spark, d, "pages")
     # Root-relative links lead to no other page of this corpus, so every page of the largest host is a seed.
     host = pages.groupBy(U.authority(F.col("url")).alias("h")).count().orderBy(F.desc("count"), "h").first()["h"]
-    seeds = [r[0] for r in pages.filter(U.authority(F.col("url")) == host).select("url").orderBy("page_id").limit(500).collect()]
-    out = A.audit(pages, seeds[0], judge=J.rule_judge, seeds=seeds[1:], threshold=0.99)
+    seeds = pages.filter(U.authority(F.col("url")) == host)
+    site = seeds.agg(F.min_by("url", "page_id")).first()[0]
+    out = A.audit(pages, site, judge=J.rule_judge, seeds=seeds.select("url"), threshold=0.99)
     return sinks.csv_frame(R.ordered(out["entries"]))
 
 
