@@ -12,3 +12,10 @@ def test_audit_covers_every_page_of_the_host(spark, tmp_path):
     page = lambda i: f"<html><body><article><p>Page {i} has its own words a{i} b{i} c{i}.</p></article></body></html>"
     d = write_pages(spark, tmp_path, [(i, f"https://big.example/p{i}", page(i)) for i in range(620)] + [(1000, "https://small.example/", page(1000))])
     assert QUERIES["audit_entries"](spark, d).count() == 620
+
+
+def test_extract_covers_pages_with_any_reference(spark, tmp_path):
+    texts = {1: ("Voil&agrave; &apos;x&apos;", "Voil\u00e0 'x'"), 2: ("Fish &amp<b>chips</b>", "Fish &chips"), 3: ("Half &am", "Half &am"), 4: ("A &amp; B", "A & B")}
+    d = write_pages(spark, tmp_path, [(i, f"https://a.example/{i}", f"<html><body><article><p>{html}</p></article></body></html>") for i, (html, _) in texts.items()])
+    got = {r.page_id: r.body_text for r in QUERIES["page_extract"](spark, d).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
