@@ -149,7 +149,7 @@ def page_metadata(spark, d):
 def crawl_levels(spark, d):
     pages = table(spark, d, "pages")
     site = pages.agg(F.min_by("url", "page_id")).first()[0]
-    return C.crawl(pages, site, max_depth=3)
+    return C.crawl(pages, site)
 
 
 # -- judgements ------------------------------------------------------------------------------------------------------

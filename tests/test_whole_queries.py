@@ -19,3 +19,9 @@ def test_extract_covers_pages_with_any_reference(spark, tmp_path):
     d = write_pages(spark, tmp_path, [(i, f"https://a.example/{i}", f"<html><body><article><p>{html}</p></article></body></html>") for i, (html, _) in texts.items()])
     got = {r.page_id: r.body_text for r in QUERIES["page_extract"](spark, d).collect()}
     assert got == {i: want for i, (_, want) in texts.items()}
+
+
+def test_crawl_reaches_six_links_deep(spark, tmp_path):
+    d = write_pages(spark, tmp_path, [(i, f"https://a.example/p{i}", f'<html><body><a href="/p{i + 1}">next</a></body></html>') for i in range(9)])
+    got = {r.url: r.depth for r in QUERIES["crawl_levels"](spark, d).collect()}
+    assert got == {f"https://a.example/p{i}": i for i in range(7)}
