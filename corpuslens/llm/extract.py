@@ -248,7 +248,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for t in found:
         kind = t[0]
         if kind.startswith("tag"):
-            scores.append(weights.get(kind, tag))
+            scores.append(0.0 if t[5] else weights.get(kind, tag))
         else:
             n = len(t[1].split())
             # Text beside the page's own content element counts as furniture, which costs by the run: a long
