@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import drop, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of ``edges(a, b)``; the root is a component's smallest node.
 
-    Large-star and small-star steps in turn, each a join over written tables, until a round changes nothing.
+    Large-star and small-star steps in turn, each a join over written tables, until every component is a star.
     """
     now = materialize(edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
-    before = None
     while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        last, both = now, now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Minima are written first, so that the joins' sides are plain tables: small ones are broadcast, hot partitions split.
         low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        now = materialize(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
-        down = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "low")
-        hung = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+        large = materialize(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        drop(last, low)
+        # After the large step every edge points to a smaller end.
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         now = materialize(hung.filter("a <> b").distinct(), "small")
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(pmod(xxhash64(a, b), 1000003))")).first()
-        if state == before:
+        drop(large, low)
+        # Done when every node hangs on one smaller node, and that on none: then a component is a star.
+        size = now.agg(F.count("*").alias("n"), F.countDistinct("a").alias("nodes")).first()
+        if size.n == size.nodes and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        before = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

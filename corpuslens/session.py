@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,11 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
 }
+#: Drops the shuffle files of a query when it ends; a written table needs them no longer.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Scratch folders of the scopes that are open, innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def build_session(app: str = "corpuslens", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,9 +34,12 @@ def build_session(app: str = "corpuslens", master: str | None = None, **conf: st
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests, a laptop) a temporary folder."""
+    """``spark.checkpoint.dir``; only where it is unset on one machine (tests, a laptop) a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,18 +58,65 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the scratch root, removed when the driver ends."""
+    """A fresh folder below the scratch root, removed when its scope, or else the driver, ends."""
     path = f"{scratch_root(spark)}/corpuslens/{name}-{uuid.uuid4().hex}"
-    atexit.register(delete_path, spark, path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    else:
+        atexit.register(delete_path, spark, path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch_scope(keep: list[DataFrame]) -> Iterator[None]:
+    """Delete the scratch tables written inside, but those that ``keep`` lists by then (they go with the outer scope or the driver)."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        own = _scopes.pop()
+        kept = {path for df in keep if (path := getattr(df, "_scratch", None))}
+        for spark, path in own:
+            if path not in kept:
+                delete_path(spark, path)
+            elif _scopes:
+                _scopes[-1].append((spark, path))
+            else:
+                atexit.register(delete_path, spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables whose last reader is done."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            delete_path(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for the jobs that run inside, as they were afterwards (``__`` in a name stands for a dot)."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     It cuts lineage like ``checkpoint()``, survives lost executors, and gives
     the planner real sizes, so a side is broadcast only below the threshold.
+    The shuffle files of the query go when it ends.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with settings(spark, **{SHUFFLE_CLEANUP: "true"}):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
