@@ -1,84 +1,47 @@
-"""Helpers that the operators of this subpackage share.
-
-Scratch tables live in the folder that the cluster names in
-``spark.checkpoint.dir``, which driver and executors share.  Only where that
-setting is absent (tests, a laptop) a temporary folder takes its place.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import time
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import drop, materialize, scratch_path, scratch_scope, settings
+
+__all__ = ["bounded", "chunks", "drop", "inside", "materialize", "mix64", "scratch_path", "scratch_scope", "settings", "split_words", "window_hashes", "word_hashes"]
 
 #: Text bytes that one vectorised step works on; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
 #: Bytes that one Arrow batch of whole texts takes at most between JVM and Python (a longer row comes alone).
 BATCH_BYTES = 16 << 20
 
-
-def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark)}/corpuslens/{name}-{uuid.uuid4().hex}"
-    atexit.register(delete_path, spark, path)
-    return path
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder; a session that has ended has nothing left to ask."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception as error:  # the JVM may already be gone at interpreter exit
-        if "Connection refused" not in str(error) and "Py4J" not in type(error).__name__ and "gateway" not in str(error).lower():
-            raise
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
-
-    It cuts lineage like ``checkpoint()``, survives lost executors, and gives
-    the planner real sizes, so a side is broadcast only below the threshold.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works in a thread of its own
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, about to go to Python: from now on the session's Arrow batches are bounded by ``BATCH_BYTES``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``df``, about to go to Python: where the session says nothing of the bytes of Arrow batches, they are bounded by ``BATCH_BYTES``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes (a longer text comes alone)."""
     if not batch.num_rows:
@@ -88,6 +51,7 @@ def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iter
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

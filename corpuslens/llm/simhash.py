@@ -31,9 +31,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.graph import components
 from . import shingles
 from .common import bounded, chunks, materialize, split_words
-from .components import components
 
 BITS = 64
 SEED = 42

@@ -9,45 +9,55 @@ Runs of candidates that lead to one another become one segment, and pointer
 jumping over segments from each file's start keeps what can be reached.
 
 Defined results: a null or empty payload has length zero; payloads under
-``MIN_REVISIT`` bytes are never revisits; equal page_ids keep a row each; an
-empty table gives an archive without records and no rows.
+``MIN_REVISIT`` bytes are never revisits; rows that repeat a page_id keep a
+record each, whether their payloads agree or not, and those of the smallest
+page_id are all responses; rows of a null page_id are responses; columns
+besides page_id, url and html are left out; an empty table gives an archive
+without records and no rows.  A record's id is its page_id and payload digest,
+so rows that repeat both share it.  Windows run by file: a file holds what one
+task wrote, and only offsets pass through them, no payloads.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize, release, scratch_path
+from .common import materialize, scratch_path
 
 MAGIC = "WARC/1.1\r\n"
 CLOSE = "\r\n\r\n"
 MIN_REVISIT = 100
+#: What a revisit says of itself (fixed value of the format).
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """``(page_id, first)`` of each page whose payload of at least ``MIN_REVISIT`` bytes a smaller page_id has too."""
-    body = F.coalesce("html", F.lit(""))
-    small = pages.filter(F.col("page_id").isNotNull() & (F.octet_length(body) >= MIN_REVISIT)).select("page_id", F.sha2(body, 256).alias("digest"))
+def revisits(bodies: DataFrame) -> DataFrame:
+    """``(page_id, digest, first)`` of ``bodies(page_id, body, digest)``: payloads of at least ``MIN_REVISIT`` bytes that a smaller page_id has too."""
+    small = bodies.filter(F.col("page_id").isNotNull() & (F.octet_length("body") >= MIN_REVISIT)).select("page_id", "digest")
     firsts = materialize(small.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").drop("last"), "firsts")
-    return materialize(small.join(firsts, "digest").filter("page_id <> first").select("page_id", "first").distinct(), "revisits")
+    return materialize(small.join(firsts, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct(), "revisits")
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
-    """One record for each row of ``pages(page_id, url, html)``."""
-    again = revisits(pages)
+def write_archive(pages: DataFrame, path: str, date: Column | None = None) -> None:
+    """One record for each row of ``pages(page_id, url, html)``; ``date`` is the time of capture in UTC (now, if not given)."""
     body = F.coalesce("html", F.lit(""))
+    bodies = pages.select("page_id", "url", body.alias("body")).withColumn("digest", F.sha2("body", 256))
+    again = revisits(bodies)
     # Where no payload repeats, or few do, the planner sees the written table's size and broadcasts it.
-    rows = pages.select("page_id", "url", body.alias("body")).join(again, "page_id", "left")
+    rows = bodies.join(again, ["page_id", "digest"], "left")
     revisit = F.col("first").isNotNull()
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20")
+    named = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(">"))
+    when = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if date is None else date
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        F.coalesce(line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))), F.lit("")),
+        line("WARC-Record-ID", named(F.col("page_id"))),
+        line("WARC-Date", F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
-        F.coalesce(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2("body", 256))),
+        F.when(revisit, F.concat(line("WARC-Refers-To", named(F.col("first"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Payload-Length", F.octet_length("body").cast("string")),
         line("Content-Type", F.lit("text/html")),
         line("Content-Length", F.when(revisit, 0).otherwise(F.octet_length("body")).cast("string")),
@@ -82,8 +92,8 @@ def candidate_records(pieces: DataFrame) -> DataFrame:
     small = rows.select(
         "file", "block", "at", F.octet_length("value").cast("long").alias("size"), skip.cast("long").alias("skip"), "length", whole.alias("whole"),
         _field(F.col("head"), "WARC-Type").alias("type"),
-        F.regexp_extract(_field(F.col("head"), "WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
-        F.regexp_extract(_field(F.col("head"), "WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract(_field(F.col("head"), "WARC-Record-ID"), r"<urn:page:(-?\d+)[:>]", 1).try_cast("long").alias("page_id"),
+        F.regexp_extract(_field(F.col("head"), "WARC-Refers-To"), r"<urn:page:(-?\d+)[:>]", 1).try_cast("long").alias("refers_to"),
         F.regexp_extract(_field(F.col("head"), "WARC-Payload-Digest"), r"^sha256:([0-9a-f]{64})$", 1).alias("said"),
         _field(F.col("head"), "WARC-Payload-Length").try_cast("long").alias("said_bytes"),
         _field(F.col("head"), "WARC-Target-URI").alias("uri"),
@@ -153,5 +163,4 @@ def archive_report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archive(pages, path)
-    release(spark)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

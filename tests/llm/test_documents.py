@@ -48,7 +48,7 @@ def test_large_buckets_lose_no_link(spark):
             prints.add(b ^ sum(1 << p for p in rng.sample(range(16), rng.randint(1, 3))))
     ids = sorted(simhash._signed(p) for p in prints)
     fps = spark.createDataFrame([(0, p, p) for p in ids], "which int, fp long, node long")
-    from corpuslens.llm.components import components
+    from corpuslens.operators.graph import components
 
     got = {r.node: r.root for r in components(simhash.links(fps, 3, bucket=8)).collect()}
     want = brute.component_ids(ids, [p & (2**64 - 1) for p in ids])

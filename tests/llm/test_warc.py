@@ -60,6 +60,30 @@ def test_empty_and_extra_columns(spark):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_repeated_page_ids_keep_their_payloads(spark):
+    a, b = "a" * 120, "b" * 120
+    rows = [(1, "u", a), (2, "u", a), (2, "u", b), (2, "u", b), (3, "u", b), (None, "u", a), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = sorted((tuple(r) for r in warc.archive_report(pages).collect()), key=str)
+    want = [(1, 120, digest(a), "response", None), (2, 120, digest(a), "revisit", 1), (2, 120, digest(b), "response", None), (2, 120, digest(b), "response", None), (3, 120, digest(b), "revisit", 2), (None, 120, digest(a), "response", None), (None, 0, digest(""), "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_records_carry_the_mandatory_fields(spark):
+    from pyspark.sql import functions as F
+
+    path = scratch_path(spark, "fields")
+    pages = spark.createDataFrame([(1, "u", "x" * 100), (2, "u", "x" * 100), (None, "u", "y")], "page_id long, url string, html string")
+    warc.write_archive(pages, path, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    data = "".join(bytes(r.content).decode() for r in spark.read.format("binaryFile").load(path).collect())
+    records = [x for x in data.split("WARC/1.1\r\n") if x]
+    assert len(records) == 3
+    assert all("WARC-Date: 2024-05-06T07:08:09Z\r\n" in x and "WARC-Record-ID: <urn:page:" in x and "Content-Length: " in x for x in records)
+    (again,) = [x for x in records if "WARC-Type: revisit" in x]
+    assert "WARC-Profile: http" in again and "WARC-Refers-To: <urn:page:1:" in again
+
+
 def test_files_are_plain_warc(spark):
     path = scratch_path(spark, "plain")
     warc.write_archive(spark.createDataFrame(ROWS[:1], "page_id long, url string, html string"), path)
