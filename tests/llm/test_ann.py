@@ -64,3 +64,34 @@ def test_unusable_vectors_and_few_rows(spark):
     assert {q: [j for j, _ in v] for q, v in got.items()} == {0: [6, 50], 50: [6, 0]}
     assert ann.nearest_report(df.limit(0)).count() == 0
     assert ann.nearest_report(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_short_lists_are_filled_up(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i * 7 + 1, (np.r_[1, np.zeros(7)] + 0.01 * rng.standard_normal(8)).tolist()) for i in range(3000) if (i * 7 + 1) % 50]
+    lone = rng.standard_normal((3, 8))
+    lone[:, 0] = -9
+    rows += [(50 * i, v.tolist()) for i, v in zip((1000, 2000, 3000), lone)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # One list holds nothing but the three queries.
+    monkeypatch.setattr(ann, "fit_centres", lambda x, n: np.eye(8)[[0, 0]] * [[1], [-1]])
+    monkeypatch.setattr(ann, "fit_probes", lambda *_: 1)
+    got, want = grouped(ann.nearest_report(df)), brute_force(rows)
+    assert set(got) == set(want) == {50_000, 100_000, 150_000}
+    for q in want:
+        assert [j for j, _ in got[q]] == [j for j, _ in want[q]]
+
+
+def test_repeated_queries_and_huge_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(40)]
+    rows += [(50, rows[3][1]), (50, rows[8][1]), (20, rows[20][1]), (51, (np.array(rows[9][1]) * 1e160).tolist()), (52, (np.array(rows[9][1]) * 1e-170).tolist()), (100, (rng.standard_normal(6) * 1e300).tolist())]
+    got = grouped(ann.nearest_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    unit = lambda v: np.array(v) / np.abs(v).max()
+    cosine = lambda a, b: float(unit(a) @ unit(b) / np.linalg.norm(unit(a)) / np.linalg.norm(unit(b)))
+    for q in (0, 50, 100):
+        asked = [v for i, v in rows if i == q]
+        want = sorted((-max(cosine(a, v) for a in asked), i) for i, v in rows if i != q)[:5]
+        assert len(got[q]) == 5
+        assert all(abs(s + w) < 1e-12 for (_, s), (w, _) in zip(got[q], want))
+        assert sorted(j for j, _ in got[q]) == sorted(j for _, j in want)
