@@ -82,3 +82,40 @@ def test_dropping_keeps_columns_and_untouched_texts(spark):
     out = S.drop_repeats(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {0: "two  spaces\nkept", 1: long, 2: "head words tail", 4: None}
+
+
+def test_old_runs_are_merge_joined_as_they_lie(spark):
+    docs = frame(spark, invented(9))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        index = S.FingerprintIndex(spark, buckets=3)
+        for a, b in ((0, 40), (41, 80)):
+            index.add(docs.filter(f"doc_id between {a} and {b}"))
+        for df in (index._merged_entries(S._batch_rows(docs)), index._merged_windows(index._run(S._windows(index.texts[0], index.entries[0]).repartition(3, "h1", "h2"), "x", "h1", "h2").filter("not again"))):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            count = lambda what, lines=lines: sum(what in x for x in lines)
+            # The batch alone is shuffled and sorted.
+            assert (count("SortMergeJoin"), count("Sort [")) == (2, 1) and count("Exchange") <= 1 and count("Bucketed: true") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+
+
+def test_query_compacts(spark, monkeypatch):
+    seen = []
+    compact = S.FingerprintIndex.compact
+    monkeypatch.setattr(S.FingerprintIndex, "compact", lambda self: (seen.append(len(self.entries)), compact(self)))
+    texts = invented(11)
+    docs = frame(spark, texts)
+    got = sorted(tuple(r) for r in S.substring_report(docs).collect())
+    assert got == brute.substring_dedup(list(enumerate(texts))) and seen == [2]
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(400_000))
+    rows = [(1, long), (2, "head " + long[50_000:60_000] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.substring_report(docs).collect()) == brute.substring_dedup(rows)
