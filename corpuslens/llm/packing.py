@@ -7,9 +7,15 @@ the curve: documents follow one another, cut where a sequence is full.  What
 remains at the end of a range is cut into powers of two, which need no
 padding, so no sequence is padded.
 
+Long documents lie in the curve's middle, close together, so documents are cut
+into parts of at most a sequence before the sort: ranges of equally many parts
+then hold about equally many bytes, and their number follows from the bytes
+there are (``RANGE_BYTES`` each).
+
 Defined results: a null or empty text is the closing id alone; equal places
-are ordered by doc_id, and a hot place is split between ranges; rows that
-repeat a doc_id are packed each; an empty table gives no rows.
+are ordered by doc_id and start, and a hot place, or a very long text, is
+split between ranges; rows that repeat a doc_id are packed each; columns
+besides the key and the text are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from .tokens import PATTERN
 LENGTH = 2048
 CLOSING_ID = 1
 DIMENSIONS, ORDER = 3, 10
+#: Bytes of 16-bit ids that one range holds, about.
+RANGE_BYTES = 16 << 20
 
 
 def encoder(ranks_path: str, special: dict[str, int]) -> tiktoken.Encoding:
@@ -80,30 +88,39 @@ def curve_places(ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return hilbert_index(np.stack(points, 1), ORDER)
 
 
-def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, place, ids)``: 16-bit ids of every whole text with the closing id, and its place on the curve."""
+def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``(doc_id, place, start, total, ids)``: 16-bit ids of every whole text with the closing id, in parts of at most ``length``;
+    the document's place on the curve, the ids before a part, and the document's number of ids."""
 
     def run(batches):
         enc = encoder(ranks_path, special)
         allowed = set(special)
         for batch in batches:
             for part in chunks(batch, 1):
-                ids = [enc.encode(t, allowed_special=allowed, disallowed_special=()) if any(s in t for s in allowed) else enc.encode_ordinary(t) for t in pc.fill_null(part.column(1), "").to_pylist()]
-                for x in ids:
-                    x.append(CLOSING_ID)
-                arrays = [np.array(x, "<u2") for x in ids]
-                firsts = np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve_places(np.concatenate(arrays), firsts)), pa.array([x.tobytes() for x in arrays], pa.binary())], ["doc_id", "place", "ids"])
+                arrays = []
+                for t in pc.fill_null(part.column(1), ""):
+                    t = t.as_py()
+                    ids = enc.encode(t, allowed_special=allowed, disallowed_special=()) if any(s in t for s in allowed) else enc.encode_ordinary(t)
+                    ids.append(CLOSING_ID)
+                    arrays.append(np.array(ids, "<u2"))
+                size = np.array([len(x) for x in arrays], np.int64)
+                firsts = np.concatenate([[0], np.cumsum(size)])
+                places = curve_places(np.concatenate(arrays), firsts)
+                parts = -(-size // length)
+                doc = np.repeat(np.arange(len(size)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * length
+                ids = pa.array([arrays[i][a : a + length].tobytes() for i, a in zip(doc.tolist(), start.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(places[doc]), pa.array(start), pa.array(size[doc]), ids], ["doc_id", "place", "start", "total", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return bounded(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, ids binary")
+    return bounded(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, start long, total long, ids binary")
 
 
 PIECE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Pieces of ``placed(doc_id, place, ids)`` along the curve; ``ids`` are a piece's 32-bit little-endian ids."""
+    """Pieces of ``placed(doc_id, place, start, total, ids)`` along the curve; ``ids`` are a piece's 32-bit little-endian ids."""
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40
@@ -129,13 +146,16 @@ def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
         size, kind = 0, pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for doc, first, total, ids in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                total = len(wide) // 4
                 start = 0
-                while start < total:
-                    n = min(length - size, total - start)
-                    open_.append((doc, start, wide[4 * start : 4 * (start + n)], total))
+                while start < len(wide) // 4:
+                    n = min(length - size, len(wide) // 4 - start)
+                    # Parts of one document that follow one another stay one piece.
+                    if open_ and open_[-1][0] == doc and doc is not None and open_[-1][1] + len(open_[-1][2]) // 4 == first + start and open_[-1][3] == total:
+                        open_[-1] = (doc, open_[-1][1], open_[-1][2] + wide[4 * start : 4 * (start + n)], total)
+                    else:
+                        open_.append((doc, first + start, wide[4 * start : 4 * (start + n)], total))
                     size, start = size + n, start + n
                     if size == length:
                         emit(open_)
@@ -159,8 +179,10 @@ def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
             yield flush(kind)
 
     kind = placed.schema["doc_id"].dataType.simpleString()
-    ranged = placed.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id")
-    return ranged.mapInArrow(run, PIECE.format(kind))
+    order = ("place", "doc_id", "start")
+    n_bytes = placed.agg(F.sum(F.length("ids").cast("long"))).first()[0] or 0
+    ranged = placed.repartitionByRange(max(1, -(-n_bytes // RANGE_BYTES)), *order).sortWithinPartitions(*order)
+    return bounded(ranged).mapInArrow(run, PIECE.format(kind))
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, special: dict[str, int]) -> DataFrame:

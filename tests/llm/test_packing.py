@@ -53,9 +53,26 @@ def test_pieces_hold_each_id_once(spark, sf):
     assert sum(s == 2048 for s in sizes) > 0.5 * len(sizes)
 
 
+def test_hot_place_is_split_between_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_BYTES", 20_000)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["the same words of one place " * 40] * 200 + ["very long " * 40_000]
+    placed = packing.tokenized(frame(spark, texts), path, queries.SPECIAL)
+    assert placed.agg({"place": "approx_count_distinct"}).first()[0] == 2
+    rows = packing.pack(placed).collect()
+    tasks = {}
+    for r in rows:
+        tasks[r.sequence_id >> 40] = tasks.get(r.sequence_id >> 40, 0) + 2 * r.length
+    total = sum(tasks.values())
+    assert total >= 200_000 and len(tasks) >= 0.8 * total / 20_000 and max(tasks.values()) <= 80_000
+    for i, n in ((7, None), (200, None)):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in own] == list(np.cumsum([0, *(r.length for r in own)])[:-1]) and sum(r.length for r in own) == own[0].doc_tokens
+
+
 def test_empty_and_repeated(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     assert packing.packing_report(frame(spark, []), path, queries.SPECIAL).count() == 0
-    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string").selectExpr("*", "0 as ids", "1 as place")
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string").selectExpr("*", "0 as ids", "1 as place", "2 as start", "3 as length", "4 as total")
     got = packing.packing_report(df, path, queries.SPECIAL).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in got} == {1: 8, None: 1}
