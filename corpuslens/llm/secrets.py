@@ -2,17 +2,23 @@
 
 Each rule's regular expression is parsed on the driver into a Boolean query
 over trigrams that every match must contain.  The inverted index holds, for
-each trigram that some rule asks for, the documents whose lower-cased text has
-it; a document's postings are brought together and the queries decide which
-rules may match there.  Only those rules' expressions then run over its text.
-A rule without mandatory trigrams runs over every text.
+each trigram that some rule asks for and each block of ``1 << BLOCK_BITS``
+doc_ids, a posting list: the sorted ids whose lower-cased text has it.  A
+rule's query is answered block by block, by intersecting and uniting posting
+lists, and what is left are its candidates.  Only there its expression runs,
+over the whole text.  A rule without mandatory trigrams runs over every text,
+and every rule over texts without a doc_id, which no posting can name.
 
 Positions come from the lengths of what lies between and within the matches,
 as running sums, so a text with many matches costs no more per match.
 
 Defined results: a null or empty text has no spans (zero counts, the digest of
 the empty string); rows that repeat a doc_id, or have a null one, keep a row
-each; an empty table gives no rows.
+each; a very long text is one posting a trigram; an empty table gives no rows.
+Masking covers the union of all spans, found on the text as it came; where
+spans overlap or touch, they become one mark, of the kind that starts first
+(of equals, the one listed first).  Columns of a masked table may have any
+names but those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -26,6 +32,10 @@ from .common import materialize
 
 #: Strings that a part of an expression may expand to before it is cut.
 EXPAND = 16
+#: Doc_ids of one block of the index: a posting list holds at most 1 << BLOCK_BITS ids.
+BLOCK_BITS = 14
+#: Code points of a segment of a text that is masked.
+SEGMENT = 4096
 
 
 @dataclass(frozen=True)
@@ -122,38 +132,42 @@ def trigrams_of(query: tuple) -> set[str]:
     return {query[1]} if query[0] == "has" else set().union(*map(trigrams_of, query[1:])) if query[0] in ("and", "or") else set()
 
 
-def _holds(query: tuple, owned: Column) -> Column:
-    if query == ALL:
-        return F.lit(True)
+def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The inverted index ``(block, trigram, postings)`` over lower-cased whole texts; postings ascend."""
+    folded = docs.filter("doc_id is not null").select("doc_id", F.lower("text").alias("low"))
+    found = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), t) for t in trigrams)))
+    rows = folded.select("doc_id", F.explode(found).alias("trigram"))
+    block = F.shiftright(F.col("doc_id"), BLOCK_BITS).alias("block")
+    return rows.groupBy(block, "trigram").agg(F.sort_array(F.collect_set("doc_id")).alias("postings"))
+
+
+def _answer(query: tuple, lists: Column) -> Column:
+    """The ids that meet ``query``, from a block's map of trigrams to postings."""
     if query[0] == "has":
-        return F.array_contains(owned, query[1])
-    out = _holds(query[1], owned)
+        return F.coalesce(lists[query[1]], F.array().cast("array<long>"))
+    out = _answer(query[1], lists)
     for q in query[2:]:
-        out = out & _holds(q, owned) if query[0] == "and" else out | _holds(q, owned)
+        out = (F.array_intersect if query[0] == "and" else F.array_union)(out, _answer(q, lists))
     return out
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index ``(trigram, doc_id)`` over lower-cased whole texts."""
-    folded = docs.select("doc_id", F.lower("text").alias("low"))
-    found = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), t) for t in trigrams)))
-    return folded.select("doc_id", F.explode(found).alias("trigram")).select("trigram", "doc_id")
-
-
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``(doc_id, may)``: which rules' trigram queries each document's postings meet; rules that scan all are left out."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    """``(doc_id, may)``: the rules whose trigram queries a document meets; rules that scan all are left out."""
+    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALL}
     asked = sorted(set().union(*map(trigrams_of, queries.values())))
-    gathered = trigram_index(docs, asked).groupBy("doc_id").agg(F.collect_set("trigram").alias("owned"))
-    may = F.array_compact(F.array(*(F.when(_holds(q, F.col("owned")), k) for k, q in queries.items() if q != ALL)))
-    return gathered.select("doc_id", may.alias("may")).filter(F.size("may") > 0)
+    index = trigram_index(docs.select(F.col("doc_id").cast("long"), "text"), asked)
+    blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("lists"))
+    answers = F.array(*(F.struct(F.lit(kind).alias("kind"), _answer(q, F.col("lists")).alias("ids")) for kind, q in queries.items()))
+    met = blocks.select(F.explode(answers).alias("a")).select("a.kind", F.explode("a.ids").alias("doc_id"))
+    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("may"))
 
 
 def _with_candidates(docs: DataFrame, rules) -> tuple[DataFrame, dict[str, Column]]:
     """``docs`` with ``__may``, and for each rule whether it has to run."""
     may = materialize(candidates(docs.select("doc_id", "text"), rules), "candidates").select(F.col("doc_id").alias("__id"), F.col("may").alias("__may"))
-    joined = docs.join(may, docs["doc_id"].eqNullSafe(may["__id"]), "left").drop("__id")
-    return joined, {r.kind: F.lit(True) if trigram_query(r.pattern) == ALL else F.coalesce(F.array_contains("__may", r.kind), F.lit(False)) for r in rules}
+    joined = docs.join(may, docs["doc_id"] == may["__id"], "left").drop("__id")
+    lost = F.col("doc_id").isNull()
+    return joined, {r.kind: F.lit(True) if trigram_query(r.pattern) == ALL else lost | F.coalesce(F.array_contains("__may", r.kind), F.lit(False)) for r in rules}
 
 
 def _lengths(rule: SecretRule, needed: Column) -> Column:
@@ -166,17 +180,27 @@ def _lengths(rule: SecretRule, needed: Column) -> Column:
     return F.when(needed & text.rlike(rule.pattern), F.arrays_zip(F.slice(gaps, 1, F.size(all_)).alias("gap"), all_.alias("len"), counted.alias("counted")))
 
 
-def _spans(docs: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(__row, doc_id)``, and their spans ``(__row, kind, order, start, end)`` in code points, end exclusive."""
-    joined, needed = _with_candidates(docs.select("doc_id", "text"), rules)
-    cols = [_lengths(r, needed[r.kind]).alias(f"m{i}") for i, r in enumerate(rules)]
-    found = materialize(joined.select(F.monotonically_increasing_id().alias("__row"), "doc_id", *cols), "matches")
-    kinds = F.filter(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(i).alias("order"), F.lit(r.least).alias("least"), F.col(f"m{i}").cast("array<struct<gap:int,len:int,counted:int>>").alias("hits")) for i, r in enumerate(rules))), lambda x: F.size(x["hits"]) > 0)
+def _matches(docs: DataFrame, rules) -> DataFrame:
+    """``docs`` with ``__row`` and each rule's matches, ``__m0`` and so on, written once."""
+    joined, needed = _with_candidates(docs, rules)
+    cols = [_lengths(r, needed[r.kind]).cast("array<struct<gap:int,len:int,counted:int>>").alias(f"__m{i}") for i, r in enumerate(rules)]
+    return joined.select(F.monotonically_increasing_id().alias("__row"), *docs.columns, *cols)
+
+
+def _spans_of(found: DataFrame, rules) -> DataFrame:
+    """``(__row, kind, order, start, end, counted)`` of every match that counts, in code points, end exclusive."""
+    kinds = F.filter(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(i).alias("order"), F.lit(r.least).alias("least"), F.col(f"__m{i}").alias("hits")) for i, r in enumerate(rules))), lambda x: F.size(x["hits"]) > 0)
     each = found.select("__row", F.explode(kinds).alias("k")).select("__row", "k.kind", "k.order", "k.least", F.posexplode("k.hits").alias("at", "m"))
     before = W.partitionBy("__row", "order").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap").cast("long") + F.col("m.len")).over(before)
     spans = each.select("__row", "kind", "order", "least", "m", end.alias("end")).filter(F.col("m.counted") >= F.col("least"))
-    return found.select("__row", "doc_id"), spans.select("__row", "kind", "order", (F.col("end") - F.col("m.len")).alias("start"), "end")
+    return spans.select("__row", "kind", "order", (F.col("end") - F.col("m.len")).alias("start"), "end", F.col("m.counted").alias("counted"))
+
+
+def _spans(docs: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(__row, doc_id)``, and their spans."""
+    found = materialize(_matches(docs.select("doc_id", "text"), rules).drop("text"), "matches")
+    return found.select("__row", "doc_id"), _spans_of(found, rules)
 
 
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -201,19 +225,40 @@ def secret_report(docs: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
+def _covered(spans: DataFrame, rules) -> DataFrame:
+    """``(__row, __covers)``: spans to mask as disjoint ``(start, end, kind)`` in order; of an assignment only the value goes."""
+    valued = F.col("kind").isin([r.kind for r in rules if r.group])
+    own = spans.select("__row", F.when(valued, F.col("end") - F.col("counted")).otherwise(F.col("start")).alias("start"), "end", "order", "kind")
+    order = W.partitionBy("__row").orderBy("start", "order", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = own.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    runs = opens.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    each = runs.groupBy("__row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "order")).alias("kind"))
+    return each.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__covers"))
+
+
 def mask_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with each secret replaced by ``[kind]``; an assigned value goes, its name stays."""
-    joined, needed = _with_candidates(docs, rules)
-    text = F.col("text")
-    for r in rules:
-        if r.group:
-            # The text before the counted group stays.
-            at = r.pattern.rindex("(")
-            pattern, to = f"({r.pattern[:at]}){r.pattern[at:-2]}{{{r.least},}})", f"$1[{r.kind}]"
-        else:
-            pattern, to = r.pattern, f"[{r.kind}]"
-            if r.pattern.endswith("+"):
-                fixed = len(r.pattern.split("[")[0])
-                pattern = f"{r.pattern[:-1]}{{{r.least - fixed},}}"
-        text = F.when(needed[r.kind] & text.rlike(pattern), F.regexp_replace(text, pattern, to)).otherwise(text)
-    return joined.withColumn("text", text).select(*docs.columns)
+    """``docs`` with the union of all secrets' spans replaced by ``[kind]`` marks; an assigned value goes, its name stays."""
+    found = materialize(_matches(docs, rules), "matches")
+    some = F.lit(False)
+    for i in range(len(rules)):
+        some = some | F.coalesce(F.size(f"__m{i}") > 0, F.lit(False))
+    covers = _covered(_spans_of(found.filter(some), rules), rules)
+    # What lies between two covers is taken from the segments that it touches, so a cut costs no walk from the text's start.
+    segments = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__covers", lambda c: c["end"]))
+    ends = F.concat(F.transform("__covers", lambda c: c["start"]), F.array(F.length("text").cast("long")))
+    marks = F.concat(F.transform("__covers", lambda c: F.concat(F.lit("["), c["kind"], F.lit("]"))), F.array(F.lit("")))
+    size = F.lit(SEGMENT).cast("long")
+
+    def kept(x: Column) -> Column:
+        first = F.floor(x["a"] / size).cast("int")
+        last = F.floor((x["b"] - 1) / size).cast("int")
+        near = F.array_join(F.slice(F.col("__segments"), first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        piece = F.when(x["b"] > x["a"], F.substr(near, (x["a"] - first * size + 1).cast("int"), (x["b"] - x["a"]).cast("int"))).otherwise("")
+        return F.concat(piece, x["mark"])
+
+    hit = found.filter(some).join(covers, "__row", "left")
+    cut = hit.withColumn("__segments", segments).withColumn("__cuts", F.arrays_zip(starts.alias("a"), ends.alias("b"), marks.alias("mark")))
+    masked = cut.withColumn("text", F.when(F.col("__covers").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__cuts", kept), "")))
+    return found.filter(~some).select(*docs.columns).unionByName(masked.select(*docs.columns))
