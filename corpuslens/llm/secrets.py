@@ -239,7 +239,7 @@ def _covered(spans: DataFrame, rules) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with the union of all secrets' spans replaced by ``[kind]`` marks; an assigned value goes, its name stays."""
-    found = materialize(_matches(docs, rules), "matches")
+    found = materialize(_matches(docs, rules), "matches", "zstd")
     some = F.lit(False)
     for i in range(len(rules)):
         some = some | F.coalesce(F.size(f"__m{i}") > 0, F.lit(False))

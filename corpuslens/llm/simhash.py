@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
 from . import shingles
-from .common import bounded, chunks, materialize, split_words
+from .common import bounded, chunks, materialize, scratch_scope, split_words
 
 BITS = 64
 SEED = 42
@@ -197,16 +197,23 @@ def links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """``(doc_id, fps, component_id)``: the smallest id reachable over links of at most ``radius`` bits in some fingerprint."""
     prints = materialize(fingerprints(docs, width, seeds), "fingerprints")
+    kept: list[DataFrame] = []
+    with scratch_scope(kept):
+        kept.append(_labels(prints, radius, len(seeds)))
+    return prints.join(kept[0], "fps").select("doc_id", "fps", "component_id")
+
+
+def _labels(prints: DataFrame, radius: int, n_seeds: int) -> DataFrame:
+    """``(fps, component_id)`` of all distinct fingerprints."""
     nodes = materialize(prints.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
     each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
     # Texts that share one fingerprint but not all hang on the smallest of them.
-    heads = materialize(each.groupBy("which", "fp").agg(F.min("node").alias("head")), "heads") if len(seeds) > 1 else each.withColumnRenamed("node", "head")
+    heads = materialize(each.groupBy("which", "fp").agg(F.min("node").alias("head")), "heads") if n_seeds > 1 else each.withColumnRenamed("node", "head")
     edges = links(heads.select("which", "fp", F.col("head").alias("node")), radius)
-    if len(seeds) > 1:
+    if n_seeds > 1:
         edges = edges.unionAll(each.join(heads, ["which", "fp"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     roots = materialize(components(edges), "roots").withColumnRenamed("node", "at")
-    label = materialize(nodes.join(roots, nodes["node"] == roots["at"], "left").select("fps", F.coalesce("root", "node").alias("component_id")), "labels")
-    return prints.join(label, "fps").select("doc_id", "fps", "component_id")
+    return materialize(nodes.join(roots, nodes["node"] == roots["at"], "left").select("fps", F.coalesce("root", "node").alias("component_id")), "labels")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import SHUFFLE_CLEANUP
-from .common import bounded, chunks, materialize, mix64, scratch_path, settings, split_words, window_hashes, word_hashes
+from .common import bounded, chunks, materialize, mix64, scratch_path, scratch_scope, settings, split_words, window_hashes, word_hashes
 
 WIDTH, GRAM = 20, 6
 #: Runs that a batch is merge-joined with at most; they are merged into one before.
@@ -112,9 +112,10 @@ class _Words:
 
     def __init__(self, texts: pa.Array):
         words, self.firsts = split_words(texts)
-        self.hashes = word_hashes(words)
-        self.codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        self.joined = b" ".join(words.cast(pa.binary()).to_pylist())
+        coded = words.dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+        self.hashes = word_hashes(coded.dictionary)[self.codes] if len(words) else np.zeros(0, np.uint64)
+        self.joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_buffer().to_pybytes()
         self.ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
 
     def digests(self, start: np.ndarray, count: np.ndarray, size: int) -> list[bytes]:
@@ -358,7 +359,14 @@ def without(docs: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame
 
 
 def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Ranges of all windows of ``docs`` that start earlier elsewhere, entered in ``batches`` ranges of doc_id."""
+    """Ranges of all windows of ``docs`` that start earlier elsewhere, entered in ``batches`` ranges of doc_id into an index of its own."""
+    kept: list[DataFrame] = []
+    with scratch_scope(kept):
+        kept.append(materialize(_entered(docs, batches), "ranges", "zstd"))
+    return kept[0]
+
+
+def _entered(docs: DataFrame, batches: int) -> DataFrame:
     index = FingerprintIndex(docs.sparkSession)
     known = docs.filter("doc_id is not null")
     cuts = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
