@@ -122,37 +122,55 @@ def parse(page: str) -> Node:
     return b.root
 
 
-def _meta(root: Node, test) -> str:
-    n = root.first(test)
+class _Firsts:
+    """The first element of each kind that extraction asks for, found in one walk."""
+
+    def __init__(self, root: Node):
+        self.by_tag: dict[str, Node] = {}
+        self.meta: dict[tuple[str, str], Node] = {}
+        self.canonical = self.dated = self.base = None
+        for n in root.walk():
+            self.by_tag.setdefault(n.tag, n)
+            if n.tag == "meta":
+                for key in ("property", "name"):
+                    if key in n.attrs:
+                        self.meta.setdefault((key, n.attrs[key]), n)
+            elif n.tag == "link" and self.canonical is None and n.attrs.get("rel") == "canonical":
+                self.canonical = n
+            elif n.tag == "time" and self.dated is None and "datetime" in n.attrs:
+                self.dated = n
+            elif n.tag == "base" and self.base is None and n.attrs.get("href"):
+                self.base = n
+
+
+def _content(n: Node | None) -> str:
+    """An element's content attribute, else its datetime, else its text."""
     return "" if n is None else n.attrs.get("content") or n.attrs.get("datetime") or n.text().strip()
 
 
 def extract(page: str, url: str) -> tuple:
     root = parse(page or "")
-    named = lambda tag, key, value: lambda n: n.tag == tag and n.attrs.get(key) == value
-    tagged = lambda tag: lambda n: n.tag == tag
-    text_of = lambda n: "" if n is None else n.text().strip()
-    title = text_of(root.first(tagged("title"))) or text_of(root.first(tagged("h1")))
-    canonical = root.first(named("link", "rel", "canonical"))
-    modified = _meta(root, named("meta", "property", "article:modified_time")) or _meta(root, named("meta", "name", "last-modified"))
-    published = _meta(root, named("meta", "property", "article:published_time")) or _meta(root, lambda n: n.tag == "time" and "datetime" in n.attrs)
-    description = _meta(root, named("meta", "name", "description"))
+    found = _Firsts(root)
+    text_of = lambda tag: "" if tag not in found.by_tag else found.by_tag[tag].text().strip()
+    meta = lambda key, value: _content(found.meta.get((key, value)))
+    title = text_of("title") or text_of("h1")
+    modified = meta("property", "article:modified_time") or meta("name", "last-modified")
+    published = meta("property", "article:published_time") or _content(found.dated)
+    description = meta("name", "description")
 
     unseen = lambda n: n.tag in UNSEEN or n.tag in FURNITURE or n.attrs.get("aria-hidden") == "true"
-    region = root.first(tagged("main")) or root.first(tagged("article"))
+    region = found.by_tag.get("main") or found.by_tag.get("article")
     if region is not None:
         region.drop(unseen)
         body = region.text()
     else:
         # Without a body element all that isn't the head's stands for it.
-        own = root.first(tagged("body")) or root
-        body = own.text(lambda n: unseen(n) or n.tag in ("head", "title"))
+        body = found.by_tag.get("body", root).text(lambda n: unseen(n) or n.tag in ("head", "title"))
 
     base, links, seen = url or "", [], set()
-    override = root.first(lambda n: n.tag == "base" and n.attrs.get("href"))
     try:
-        if override is not None:
-            base = urljoin(base, override.attrs["href"])
+        if found.base is not None:
+            base = urljoin(base, found.base.attrs["href"])
         own_host = urlsplit(base).netloc
     except ValueError:
         own_host = ""
@@ -168,7 +186,8 @@ def extract(page: str, url: str) -> tuple:
         if to not in seen:
             seen.add(to)
             links.append({"to_url": to, "anchor": collapse(a.text()), "is_internal": host == own_host})
-    return collapse(body), title, description.strip(), canonical.attrs.get("href", "").strip() if canonical is not None else "", modified.strip(), published.strip(), links
+    canonical = "" if found.canonical is None else found.canonical.attrs.get("href", "").strip()
+    return collapse(body), title, description.strip(), canonical, modified.strip(), published.strip(), links
 
 
 def _frame(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
-from ..schemas import ACTIONS, DAMAGE, LABELS, RETRYABLE_STATUS, SEVERITY_RANK
+from ..schemas import ACTIONS, DAMAGE, ERROR_EXIT_CODES, LABELS, RETRYABLE_STATUS, SEVERITY_RANK
 
 
 def lookup(values: dict, key: Column, default) -> Column:
@@ -117,6 +117,36 @@ def backoff_bound(base: float, cap: float, attempt: Column, retry_after: Column)
     return F.when(retry_after > 0, F.least(retry_after.cast("double"), F.lit(cap))).otherwise(own)
 
 
+def backoff_delay(base: float, cap: float, attempt: Column, retry_after: Column, seed: Column) -> Column:
+    """A wait drawn evenly from zero to the bound, by a hash of ``seed`` and the attempt; what the server asks for is no draw."""
+    bound = backoff_bound(base, cap, attempt, retry_after)
+    share = F.pmod(F.xxhash64(seed, attempt), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.when(retry_after > 0, bound).otherwise(bound * share)
+
+
+def now_utc() -> Column:
+    """The query's own time, in whole seconds."""
+    return F.date_trunc("second", F.current_timestamp())
+
+
+def duration_seconds(started: Column, ended: Column) -> Column:
+    """Whole seconds; 0 where an end is missing."""
+    return F.coalesce(F.unix_timestamp(ended) - F.unix_timestamp(started), F.lit(0)).cast("long")
+
+
+def time_ago(at: Column, now: Column) -> Column:
+    """A time with its age in hours, minutes and seconds, as far as they count."""
+    s = F.unix_timestamp(now) - F.unix_timestamp(at)
+    h, m = F.floor(s / 3600).cast("long"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("long")
+    parts = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), F.when((h > 0) | (m > 0), F.concat(m.cast("string"), F.lit("m"))).otherwise(""), F.pmod(s, F.lit(60)).cast("string"), F.lit("s"))
+    return F.when(at.isNull(), "(never)").otherwise(F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss 'UTC ('"), parts, F.lit(" ago)")))
+
+
+def exit_code(error: Column) -> Column:
+    """A process's exit code for the kind of an error; 0 for none, 1 for an unknown one."""
+    return F.when(error.isNull(), 0).otherwise(lookup(ERROR_EXIT_CODES, error, 1))
+
+
 def is_retryable_status(code: Column) -> Column:
     return code.isin(RETRYABLE_STATUS)
 

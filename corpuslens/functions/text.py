@@ -83,3 +83,21 @@ def system_prompt(prompts: list[dict], messaging: list[dict], schema: str) -> st
     lines += ["", "Questions that pages should answer:"]
     lines += [f"- {p['id']} (weight {p.get('weight', 1.0):g}): {p['text']}" for p in prompts]
     return "\n".join(lines)
+
+
+def html_safe_json(value: Column) -> Column:
+    """A struct, array or map as JSON in which "<", ">" and "&" are written as escapes."""
+    out = F.to_json(value, {"ignoreNullFields": "false"})
+    for c in "<>&":
+        out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return out
+
+
+def json_list(text: Column, kind: str = "array<string>") -> Column:
+    """An array from JSON; null where the text is null, empty, "null" or no such array."""
+    return F.from_json(F.when(text.rlike(r"^\s*\["), text), kind, {"mode": "PERMISSIVE"})
+
+
+def list_json(value: Column) -> Column:
+    """An array as JSON; null becomes the empty one."""
+    return F.when(value.isNull(), "[]").otherwise(F.to_json(value))

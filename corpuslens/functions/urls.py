@@ -73,27 +73,54 @@ def clean_path(p: Column) -> Column:
     return F.when(p == "", F.lit("")).otherwise(F.concat(joined, F.when(p.endswith("/") & (joined != "/"), "/").otherwise("")))
 
 
+def _escaped(s: Column, plain: str) -> Column:
+    """Percent-encoding that leaves letters, digits, "-_.~" and ``plain`` as they are; a space becomes "+" unless that is plain."""
+    out = F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    if "+" in plain:
+        out = F.replace(out, F.lit("+"), F.lit("%20"))
+    for c in plain:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(s.rlike(f"^[A-Za-z0-9_.~{plain}-]*$"), s).otherwise(out)
+
+
+def decoded_path(raw: Column) -> Column:
+    """A path without percent signs; null where an escape is malformed."""
+    return F.when(F.contains(raw, F.lit("%")), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
+
+
+def canonical_path(raw: Column) -> Column:
+    """Resolved, without a slash at the end, escaped; a path that is clean as it stands keeps its own escapes.  Null where malformed."""
+    stripped = lambda p: F.when(p == "", "/").when(F.length(p) > 1, F.regexp_replace(p, r"/+$", "")).otherwise(p)
+    valid = raw.rlike(r"^[A-Za-z0-9_.~!$&'()*+,;=:@/%\[\]-]+$")
+    shown = lambda x: F.when(x["plain"].isNull(), None).when((x["clean"] == x["plain"]) & valid, raw).otherwise(_escaped(x["clean"], "$&+,/:;=@"))
+    both = lambda plain: F.struct(plain.alias("plain"), stripped(clean_path(plain)).alias("clean"))
+    return _let(_let(decoded_path(raw), both), shown)
+
+
 def clean_query(q: Column) -> Column:
-    """Tracking keys dropped, pairs in order of their keys; values of one key keep their order, an empty value loses its "="."""
-    pair = lambda x, i: F.struct(F.url_decode(F.regexp_extract(x, r"^([^=]*)", 1)).alias("k"), i.alias("i"), F.url_decode(F.regexp_extract(x, r"^[^=]*=(.*)$", 1)).alias("v"))
-    pairs = F.transform(F.filter(F.split(q, "&"), lambda x: x != ""), pair)
-    kept = F.filter(pairs, lambda x: ~F.lower(x["k"]).isin(TRACKING) & ~F.lower(x["k"]).startswith("utm_"))
-    shown = F.transform(F.array_sort(kept), lambda x: F.concat(F.url_encode(x["k"]), F.when(x["v"] == "", "").otherwise(F.concat(F.lit("="), F.url_encode(x["v"])))))
+    """Tracking keys dropped, pairs in order of their keys; values of one key keep their order, an empty value loses its "=".
+
+    Pairs with a malformed escape or a semicolon go.
+    """
+    pair = lambda x, i: F.struct(F.try_url_decode(F.regexp_extract(x, r"^([^=]*)", 1)).alias("k"), i.alias("i"), F.try_url_decode(F.regexp_extract(x, r"^[^=]*=(.*)$", 1)).alias("v"))
+    pairs = F.transform(F.filter(F.split(q, "&"), lambda x: (x != "") & ~F.contains(x, F.lit(";"))), pair)
+    kept = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull() & ~F.lower(x["k"]).isin(TRACKING) & ~F.lower(x["k"]).startswith("utm_"))
+    shown = F.transform(F.array_sort(kept), lambda x: F.concat(_escaped(x["k"], ""), F.when(x["v"] == "", "").otherwise(F.concat(F.lit("="), _escaped(x["v"], "")))))
     return F.array_join(shown, "&")
 
 
 def canonicalize(url: Column) -> Column:
-    """The canonical form of an absolute URL; null for any other."""
-    stripped = lambda p: F.when(p == "", "/").when(F.length(p) > 1, F.regexp_replace(p, r"/+$", "")).otherwise(p)
+    """The canonical form of an absolute URL; null for any other, and where an escape in the path is malformed."""
     query = lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
-    out = lambda u: F.when(is_absolute(u), F.concat(scheme(u), F.lit("://"), host(u), _let(clean_path(path(u)), stripped), _let(clean_query(_part(F.trim(u), 4)), query)))
+    asked = lambda u: F.when(F.trim(u).rlike(r"^[^#?]*\?(?:#|$)"), "?").otherwise(_let(clean_query(_part(F.trim(u), 4)), query))
+    out = lambda u: F.when(is_absolute(u), F.concat(scheme(u), F.lit("://"), host(u), canonical_path(path(u)), asked(u)))
     return _let(url, out)
 
 
 def admitted_path(url: Column, includes: list[str] | None = None, excludes: list[str] | None = None) -> Column:
     """True where the decoded path meets one of ``includes``, if any are given, and none of ``excludes``."""
     excludes = DEFAULT_EXCLUDES if excludes is None else excludes
-    p = F.coalesce(F.try_url_decode(F.replace(path(url), F.lit("+"), F.lit("%2B"))), path(url))
+    p = F.coalesce(decoded_path(path(url)), path(url))
     ok = F.lit(True)
     if includes:
         ok = p.rlike("|".join(f"(?:{x})" for x in includes))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import capped_confidence, judgement_violations, known_ids, quoted_findings, repaired_confidence
-from ..functions.text import byte_prefix, title_or_url
+from ..functions.text import byte_prefix, list_json, title_or_url
 from ..schemas import FINDING, JUDGEMENT
 
 RETRIES = 3
@@ -100,6 +100,13 @@ def judged(pages: DataFrame, judge: Callable[[dict], dict] = rule_judge, prompts
     return raw.select("page_url", nested.alias("j"), "judge_status", "attempts", "error").select("page_url", "j.*", "judge_status", "attempts", "error")
 
 
+def encoded(*fields: str) -> Column:
+    """A judgement's fields as one JSON object; missing lists are empty ones."""
+    lists = {"secondary_labels", "affected_prompts", "findings"}
+    parts = [F.concat(F.lit(f'"{n}":'), list_json(F.col(n)) if n in lists else F.regexp_extract(F.to_json(F.struct(F.col(n).alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)) for n in fields]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def _top_level(ddl: str) -> list[str]:
     out, depth, at = [], 0, 0
     for i, c in enumerate(ddl):

@@ -136,9 +136,85 @@ def complete_classifications(table: DataFrame, done: DataFrame) -> DataFrame:
     return joined.select(*(F.when(hit, F.lit("judged")).otherwise(F.col(c)).alias(c) if c == "judge_status" else F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in table.columns))
 
 
+#: Tables whose rows go with the page that the column names.
+PAGE_CHILDREN = {"links": "from_url", "classifications": "page_url", "embeddings": "page_url"}
+
+
 def delete_run(tables: dict[str, DataFrame], run_id: str) -> dict[str, DataFrame]:
-    """The run and every row that belongs to it."""
-    return {name: df.filter((F.col("id") if name == "runs" else F.col("run_id")) != run_id) if name == "runs" or "run_id" in df.columns else df for name, df in tables.items()}
+    """The run, every row that belongs to it, its pages, and what hangs on those pages, whatever run wrote it."""
+    out = {}
+    pages = tables.get("pages")
+    gone = None if pages is None else pages.filter(F.col("first_run_id") == run_id).select("url")
+    for name, df in tables.items():
+        mine = {"runs": "id", "pages": "first_run_id"}.get(name, "run_id")
+        if mine in df.columns:
+            df = df.filter(F.col(mine).isNull() | (F.col(mine) != run_id))
+        if gone is not None and name in PAGE_CHILDREN:
+            df = df.join(gone.withColumnRenamed("url", PAGE_CHILDREN[name]), PAGE_CHILDREN[name], "left_anti").select(*df.columns)
+        out[name] = df
+    return out
+
+
+def delete_duplicates(duplicates: DataFrame, run_id: str) -> DataFrame:
+    """The pairs of all other runs."""
+    return duplicates.filter(F.col("run_id") != run_id)
+
+
+def touch_heartbeats(runs: DataFrame, beats: DataFrame) -> DataFrame:
+    """``beats(run_id, at)``: each run's last sign of life, which never goes back; beats of unknown runs are ignored."""
+    last = beats.groupBy(F.col("run_id").alias("id")).agg(F.max("at").alias("__at"))
+    joined = runs.join(last, "id", "left")
+    return joined.select(*(F.greatest("last_heartbeat_at", "__at").alias(c) if c == "last_heartbeat_at" else F.col(c) for c in runs.columns))
+
+
+def lookup(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """``keys`` with the table's row of each, its columns null where there is none."""
+    return keys.join(table.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def pages_by_run(pages: DataFrame, urls: DataFrame, run_id: str) -> DataFrame:
+    """The pages that a run fetched, by url."""
+    own = urls.filter((F.col("run_id") == run_id) & (F.col("status") == "fetched")).select("url").distinct()
+    return pages.join(own, "url", "left_semi").orderBy("url")
+
+
+def done_embeddings(embeddings: DataFrame, run_id: str, provider: str, model: str) -> DataFrame:
+    return embeddings.filter((F.col("run_id") == run_id) & (F.col("embed_status") == "done") & (F.col("provider") == provider) & (F.col("model") == model)).orderBy("page_url")
+
+
+def ordered_duplicates(duplicates: DataFrame, run_id: str) -> DataFrame:
+    return duplicates.filter(F.col("run_id") == run_id).orderBy("cluster_id", "page_url_a", "page_url_b")
+
+
+def store_report(reports: DataFrame, run_id: str, fmt: str, content: bytes, now: Column) -> DataFrame:
+    """One rendering for each run and format; a later one replaces it."""
+    one = reports.sparkSession.createDataFrame([(run_id, fmt, bytearray(content))], "run_id string, format string, content binary")
+    new = one.select("run_id", "format", now.alias("rendered_at"), F.sha2("content", 256).alias("sha256"), "content")
+    return upsert(reports, new.select(*reports.columns), ["run_id", "format"], order=["rendered_at"])
+
+
+def stored_report(reports: DataFrame, run_id: str, fmt: str) -> bytes | None:
+    row = reports.filter((F.col("run_id") == run_id) & (F.col("format") == fmt)).select("content").first()
+    return None if row is None else bytes(row.content)
+
+
+def split_claims(claims: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claimed ``claims(run_id, page_url)`` with their page, and those whose page is missing as failures."""
+    p = pages.withColumnRenamed("url", "page_url")
+    found = claims.join(p, "page_url")
+    lost = claims.join(p.select("page_url"), "page_url", "left_anti").select("run_id", "page_url", F.lit("failed").alias("new_status"), F.lit("page not found").alias("new_error"))
+    return found, lost
+
+
+def resolve_run(runs: DataFrame, new: DataFrame, now: Column, resume: bool = False) -> tuple[str, DataFrame]:
+    """The id to go on with, and the table of runs: with ``resume`` the active run of the site and configuration, alive or
+    dead, else the one row of ``new``, which raises where an active run is there."""
+    row = new.first()
+    if resume:
+        same = active_runs(runs, now, 90).filter((F.col("site_url") == row.site_url) & (F.col("prompts_sha256") == row.prompts_sha256)).first()
+        if same is not None:
+            return same.id, runs
+    return row.id, insert_run(runs, new)
 
 
 def append_events(events: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -12,6 +13,8 @@ from ..session import materialize
 from .graph import components, with_ordinal
 
 BLOCK = 1024
+#: Blocks that meet in one task, squared.
+GROUP = 16
 DEFAULT_THRESHOLD = 0.92
 
 
@@ -20,7 +23,9 @@ def similar_pairs(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
 
     By the triangle inequality of angles, two vectors within the threshold's angle lie within that angle
     of each other as seen from any pivot, so a row meets only its own band of pivot angles and the next.
-    Bands are cut into blocks, and block pairs are multiplied.  Null, empty and zero vectors meet none.
+    Bands are cut into blocks, and block pairs are multiplied, by groups of blocks a task.  Where the threshold is
+    low or the vectors lie all about, as random ones do, bands prune little and the work is that of all pairs.
+    Null, empty and zero vectors meet none.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
     kind = rows.schema["id"].dataType.simpleString()
@@ -38,14 +43,25 @@ def similar_pairs(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
 
     placed = materialize(rows.mapInArrow(banded, f"id {kind}, v array<double>, band int").filter("band is not null"), "banded")
     sizes = placed.groupBy("band", F.size("v").alias("d")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = placed.withColumn("d", F.size("v")).join(sizes, ["band", "d"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    blocks = materialize(dealt.groupBy("band", "d", "part").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat")), "blocks")
-    left = blocks.select(F.col("band").alias("meet"), "d", F.col("band").alias("b1"), F.col("part").alias("p1"), F.col("ids").alias("ids1"), F.col("flat").alias("flat1"))
-    right = blocks.select(F.explode(F.array("band", F.col("band") - 1)).alias("meet"), "d", F.col("band").alias("b2"), F.col("part").alias("p2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
-    pairs = left.join(right, ["meet", "d"]).filter("b2 > b1 or p2 >= p1").select("d", F.expr("b1 = b2 and p1 = p2").alias("same"), "ids1", "flat1", "ids2", "flat2")
+    dealt = placed.withColumn("d", F.size("v")).join(sizes, ["band", "d"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    blocks = materialize(dealt.groupBy("band", "d", "part", "parts").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat")), "blocks")
+    # Blocks meet by groups of GROUP, a key for each two groups, so that a band of any size is many tasks.
+    group = F.floor(F.col("part") / GROUP).cast("int")
+    groups = F.ceil(F.col("parts") / GROUP).cast("int")
+    own = blocks.select("d", "band", "part", group.alias("group"), groups.alias("groups"), "ids", "flat")
+    near = materialize(own.select("d", "band", "groups").distinct(), "groups")
+    # The first of a pair lies in the same band or the one below; within a band in the same group or one before.
+    left = own.join(near.select("d", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("b2"), F.col("groups").alias("more")), ["d", "band"])
+    left = left.withColumn("g2", F.explode(F.when(F.col("b2") == F.col("band"), F.sequence("group", F.col("more") - 1)).otherwise(F.sequence(F.lit(0), F.col("more") - 1))))
+    left = left.select("d", "b2", "g2", F.col("band").alias("b1"), F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("ids").alias("ids1"), F.col("flat").alias("flat1"))
+    meet = left.select("d", "b2", "g2", "b1", "g1").distinct()
+    right = own.select("d", F.col("band").alias("b2"), F.col("group").alias("g2"), F.col("part").alias("p2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2")).join(meet, ["d", "b2", "g2"])
+    pairs = left.join(right, ["d", "b2", "g2", "b1", "g1"]).filter("b2 > b1 or p2 >= p1").select("d", F.expr("b1 = b2 and p1 = p2").alias("same"), "ids1", "flat1", "ids2", "flat2")
 
     def multiply(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out = ([], [], [])
             for d, same, ids1, flat1, ids2, flat2 in zip(*batch.columns):
                 d, a, b = d.as_py(), ids1.values, ids2.values
@@ -58,7 +74,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
                 out[0].extend(a.take(pa.array(i)).to_pylist())
                 out[1].extend(b.take(pa.array(j)).to_pylist())
                 out[2].extend(s[i, j].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], ids1.values.type), pa.array(out[1], ids1.values.type), pa.array(out[2], pa.float64())], ["a", "b", "similarity"]) if batch.num_rows else batch.schema.empty_table().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], ids1.values.type), pa.array(out[1], ids1.values.type), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
 
     found = pairs.mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").filter("a < b")
@@ -129,6 +145,26 @@ def embedded(pages: DataFrame, embed=fake_embedding, key: str = "url", text: str
     return pages.select(F.col(key).alias("url"), F.col(text)).mapInArrow(run, "url string, vector array<float>")
 
 
+def packed(vector: Column) -> Column:
+    """32-bit little-endian floats, one after another; null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else pack_vector(x))
+
+    return run(vector)
+
+
+def unpacked(raw: Column) -> Column:
+    """The floats of ``packed`` bytes."""
+
+    @F.pandas_udf("array<float>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return run(raw)
+
+
 def pack_vector(v: list[float]) -> bytes:
     return np.asarray(v, "<f4").tobytes()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import next_action
 from ..operators import crawl as C, judge as J, vectors as V
@@ -15,11 +15,11 @@ def audit(corpus: DataFrame, site: str, prompts: list[str] = (), judge=J.rule_ju
 
     ``dry_run`` ends after the crawl.  Thin pages are judged by rule alone, and shells are not embedded.
     """
-    urls = materialize(C.crawl(corpus, site, **crawl_options), "urls")
-    known = corpus.select(C.canonicalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.min("html").alias("html"))
-    pages = materialize(C.extract_pages(known.join(urls.filter("status = 'fetched'").select("url"), "url"), thin_words), "pages")
-    edges = materialize(C.link_edges(pages).withColumn("to_url", F.coalesce(C.canonicalize(F.col("to_url")), F.col("to_url"))).groupBy("from_url", "to_url").agg(F.min("anchor").alias("anchor"), F.max("is_internal").alias("is_internal")), "links")
-    out = {"urls": urls, "pages": pages, "links": edges, "aliases": C.canonical_aliases(pages.withColumn("final_url", F.col("url")))}
+    walked = C.walk(corpus, site, thin_words=thin_words, **crawl_options)
+    urls, pages = materialize(walked["urls"], "urls"), materialize(walked["pages"], "pages")
+    edges = C.link_edges(pages).filter("is_internal").withColumn("to_url", C.canonicalize(F.col("to_url"))).filter("to_url is not null")
+    edges = materialize(edges.groupBy("from_url", "to_url").agg(F.min("anchor").alias("anchor"), F.max("is_internal").alias("is_internal")), "links")
+    out = {"urls": urls, "pages": pages, "links": edges, "aliases": walked["aliases"]}
     if dry_run:
         return out
     thin = J.thin_judgements(pages, thin_words).withColumn("judge_status", F.lit("judged"))
@@ -39,6 +39,17 @@ def audit(corpus: DataFrame, site: str, prompts: list[str] = (), judge=J.rule_ju
     return out | {"classifications": classified, "duplicates": pairs.join(members.select(F.col("member").alias("a"), "cluster_id"), "a"), "clusters": rollup, "entries": entries}
 
 
+def config_snapshot(**settings) -> Column:
+    """Settings, given as columns by name, as one JSON object."""
+    return F.to_json(F.struct(*(c.alias(k) for k, c in settings.items())), {"ignoreNullFields": "false"})
+
+
+def label_counts(classifications: DataFrame, run_id: str) -> DataFrame:
+    """``(label, n)`` of a run's judgements that have come to an end; a missing label is the empty one."""
+    own = classifications.filter((F.col("run_id") == run_id) & F.col("judge_status").isin("judged", "failed", "failed_schema"))
+    return own.groupBy(F.coalesce("primary_label", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
+
+
 def inspect(runs: DataFrame, urls: DataFrame, classifications: DataFrame, events: DataFrame, calls: DataFrame, run_id: str, now) -> DataFrame:
     """One row about a run: status counts, label counts, event counts, token sums, retries and what to do next."""
     of = lambda df: df.filter(F.col("run_id") == run_id)

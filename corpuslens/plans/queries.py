@@ -7,9 +7,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scores as S, text as X, urls as U
 from ..operators import crawl as C, judge as J, state as T, vectors as V
@@ -18,24 +17,7 @@ from ..session import materialize, scratch_path
 from ..sources import sinks
 from ..streaming import events as E
 from . import audit as A, report as R
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE, QUERIES, query, table
 
 SPACE_SQL = "'" + X.SPACE.replace("\\x0b", "\\v") + "'"
 COLLAPSED = f"trim(regexp_replace(coalesce(text, ''), {SPACE_SQL}, ' ', 'g'), ' ')"
@@ -115,13 +97,17 @@ def exclude_filter(spark, d):
     return table(spark, d, "pages").select("page_id", U.admitted_path(F.col("url"), [r"^/(en|de|fr)/"], [r"/fr/", r"\d{3}$"]).alias("admitted"))
 
 
-EDGES_SQL = f"""(select distinct canonical from_url, regexp_extract(canonical, '^([^:]+://[^/]*)', 1) || (case when href in ('', '/') then '/' else regexp_replace(href, '/+$', '') end) to_url from
+#: Percent-encoding of a path, as links carry it.
+ESCAPED_SQL = "url_encode(@@)"
+for _c in "$&+,/:;=@":
+    ESCAPED_SQL = f"replace({ESCAPED_SQL}, '%{ord(_c):02X}', '{_c}')"
+EDGES_SQL = f"""(select distinct canonical from_url, regexp_extract(canonical, '^([^:]+://[^/]*)', 1) || (case when href in ('', '/') then '/' else {ESCAPED_SQL.replace("@@", "regexp_replace(href, '/+$', '')")} end) to_url from
  (select {CANONICAL_SQL} canonical, unnest(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1))) href from {PARTS_SQL}))"""
 
 
 @query(f"select to_url, count(*) inbound from {EDGES_SQL} group by 1")
 def inbound_links(spark, d):
-    return C.inbound_counts(C.quick_edges(table(spark, d, "pages")))
+    return C.inbound_counts(C.page_edges(table(spark, d, "pages")))
 
 
 @query(f"select max(n) max_inbound from (select count(*) n from {EDGES_SQL} group by to_url)")
@@ -129,23 +115,25 @@ def max_inbound(spark, d):
     return R.max_inbound(inbound_links(spark, d))
 
 
-UNTAGGED = "trim(regexp_replace(replace(replace(regexp_replace(@@, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), " + SPACE_SQL + ", ' ', 'g'), ' ')"
+UNTAGGED = "trim(regexp_replace(regexp_replace(replace(regexp_replace(@@, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;?', '&', 'g'), " + SPACE_SQL + ", ' ', 'g'), ' ')"
 ARTICLE = UNTAGGED.replace("@@", "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")
 
 
-@query(f"select page_id, {ARTICLE} body_text, (case when {ARTICLE} = '' then 0 else len(string_split({ARTICLE}, ' ')) end)::bigint word_count, len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)))::bigint n_links from pages where not regexp_matches(html, '&am?p?(?:[^;amp]|$)')")
+@query(f"select page_id, {ARTICLE} body_text, (case when {ARTICLE} = '' then 0 else len(string_split({ARTICLE}, ' ')) end)::bigint word_count, len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)))::bigint n_links from pages")
 def page_extract(spark, d):
-    pages = table(spark, d, "pages")
-    got = C.extract_pages(pages)
-    return got.join(pages.select("page_id", "url"), "url").select("page_id", "body_text", "word_count", F.size("links").cast("long").alias("n_links"))
+    got = C.extract_pages(table(spark, d, "pages"), keep=["page_id"])
+    return got.select("page_id", "body_text", "word_count", F.size("links").cast("long").alias("n_links"))
 
 
-@query()
+@query("""select url, trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g'), '&quot;', '"'), '^\\s+|\\s+$', '', 'g')) title, '' meta_description, '' canonical_url, '' last_modified, '' published_date, """ + f"(case when {ARTICLE} = '' then 0 else len(string_split({ARTICLE}, ' ')) end) < 50 is_empty_shell, strlen(html)::bigint body_size_bytes from pages")
 def page_metadata(spark, d):
     return C.extract_pages(table(spark, d, "pages")).select("url", "title", "meta_description", "canonical_url", "last_modified", "published_date", "is_empty_shell", "body_size_bytes")
 
 
-@query()
+@query(f"""with recursive e as materialized (select * from {EDGES_SQL} where not regexp_matches(regexp_extract(to_url, '^[^:]+://[^/?#]*([^?#]*)', 1), '{"|".join(U.DEFAULT_EXCLUDES).replace("'", "''")}')), known as (select distinct {CANONICAL_SQL} url from {PARTS_SQL}),
+ site as (select {CANONICAL_SQL} url from {PARTS_SQL} order by page_id limit 1), r(url, depth) as (select url, 0 from site union select e.to_url, r.depth + 1 from r join e on e.from_url = r.url where r.depth < 6), m as (select url, min(depth) depth from r group by 1),
+ s as (select m.url, min(e.from_url) source from m join e on e.to_url = m.url join m f on f.url = e.from_url and f.depth = m.depth - 1 group by 1)
+ select m.url, m.depth, case when m.depth = 0 then 'homepage' else 'bfs_link' end discovered_via, s.source discovered_from, case when known.url is null then 'failed' else 'fetched' end status from m left join s using (url) left join known on known.url = m.url""")
 def crawl_levels(spark, d):
     pages = table(spark, d, "pages")
     site = pages.agg(F.min_by("url", "page_id")).first()[0]
@@ -262,7 +250,9 @@ def cluster_members(spark, d):
     return V.cluster_rollup(pairs, V.clusters(pairs)).select("cluster_id", "size", F.concat_ws(",", F.col("member_urls").cast("array<string>")).alias("members"))
 
 
-@query()
+@query(COMPONENTS_SQL + """, l as (select c.root, list({'a': a, 'b': b, 's': s} order by a, b, s) ps from p join c on c.member = p.a group by 1),
+ f(root, ps, i, mean, m) as (select root, ps, 0, 0.0::double, []::bigint[] from l union all select root, ps, i + 1, (mean * len(m) + ps[i + 1].s) / (len(m) + 1), list_distinct(list_concat(m, [ps[i + 1].a, ps[i + 1].b]))::bigint[] from f where i < len(ps))
+ select 'cl_' || lpad(k::varchar, greatest(3, len(k::varchar))::int, '0') cluster_id, round(mean, 6) avg_similarity from f join (select root, row_number() over (order by root) k from (select distinct root from c)) using (root) where i = len(ps)""")
 def cluster_averages(spark, d):
     pairs = _pairs(spark, d)
     return V.cluster_rollup(pairs, V.clusters(pairs)).select("cluster_id", F.round("avg_similarity", 6).alias("avg_similarity"))
@@ -422,3 +412,6 @@ def as_of_last_view(spark, d):
     e = table(spark, d, "events").withColumn("last_view", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), True).over(before))
     return e.filter("event_type = 'purchase'").select("event_id", "last_view")
 
+
+
+from . import state_queries, web_queries  # noqa: E402, F401  they enter their own queries

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
-from urllib.robotparser import RobotFileParser
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.urls import decoded_path, path as url_path, same_host
+from ..session import materialize
+
 MAX_INDEX_DEPTH = 5
 
 
@@ -49,7 +52,7 @@ def expand_sitemaps(documents: DataFrame, roots: list[str]) -> DataFrame:
     """Pages that ``roots`` list, directly or through indexes up to ``MAX_INDEX_DEPTH`` deep; ``documents`` stands for the web."""
     spark = documents.sparkSession
     frontier, out, seen = spark.createDataFrame([(r,) for r in roots], "source string"), None, None
-    entries = sitemap_entries(documents)
+    entries = materialize(sitemap_entries(documents), "sitemaps")
     for _ in range(MAX_INDEX_DEPTH + 1):
         level = entries.join(frontier, "source", "left_semi")
         pages = level.filter("not is_index").select("loc", "lastmod", "source")
@@ -61,24 +64,69 @@ def expand_sitemaps(documents: DataFrame, roots: list[str]) -> DataFrame:
     return out
 
 
+def robots_rules(robots_txt: str, agent: str = "*") -> list[tuple[bool, str]]:
+    """``(allowed, pattern)`` of the group whose agent's name is the longest that ``agent`` begins with, else that of "*"."""
+    groups: dict[str, list[tuple[bool, str]]] = {}
+    open_, naming = [], False
+    for line in robots_txt.splitlines():
+        key, colon, value = line.partition("#")[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if not colon:
+            continue
+        if key == "user-agent":
+            if not naming:
+                open_ = []
+            naming = True
+            open_.append(value.lower())
+            groups.setdefault(value.lower(), [])
+        elif key in ("allow", "disallow"):
+            naming = False
+            # An empty rule says nothing.
+            if value:
+                for name in open_:
+                    groups[name].append((key == "allow", value))
+    names = [n for n in groups if n != "*" and n and agent.lower().startswith(n)]
+    return groups[max(names, key=len)] if names else groups.get("*", [])
+
+
+def robots_pattern(rule: str) -> str:
+    """A rule as a regular expression: "*" is any run of characters, "$" at the end is the path's end."""
+    ends = rule.endswith("$")
+    body = ".*".join(map(re.escape, (rule[:-1] if ends else rule).split("*")))
+    return f"(?s)^{body}{'$' if ends else ''}"
+
+
 def robots_filter(robots_txt: str | None, agent: str = "*"):
-    """A function from a url column to whether the rules allow it; no file allows all.  Rules are parsed once a task."""
-    if not robots_txt:
+    """A function from a url column to whether the rules allow its path: the longest rule that matches decides, an
+    allowing one of equals; no file allows all."""
+    rules = robots_rules(robots_txt or "", agent)
+    if not rules:
         return lambda url: F.lit(True)
 
-    @F.pandas_udf("boolean")
-    def allowed(urls: pd.Series) -> pd.Series:
-        rules = RobotFileParser()
-        rules.parse(robots_txt.splitlines())
-        return urls.map(lambda u: rules.can_fetch(agent, u))
+    def allowed(url: Column) -> Column:
+        path = F.coalesce(F.nullif(decoded_path(url_path(url)), F.lit("")), F.lit("/"))
+        longest = lambda kind: F.greatest(F.lit(-1), F.lit(-1), *(F.when(path.rlike(robots_pattern(r)), len(r)).otherwise(-1) for ok, r in rules if ok == kind))
+        return longest(True) >= longest(False)
 
-    return lambda url: allowed(url)
+    return allowed
 
 
 def robots_sitemaps(robots_txt: str) -> list[str]:
     return re.findall(r"(?im)^\s*sitemap:\s*(\S+)", robots_txt or "")
 
 
+def gunzipped(name: Column, raw: Column, encoding: Column | None = None) -> Column:
+    """A body as text, unpacked where its header says gzip or its name ends in ".gz" and it begins like a gzip file."""
+
+    @F.pandas_udf("binary")
+    def unpack(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: None if b is None else gzip.decompress(b))
+
+    said = F.lower(F.coalesce(encoding, F.lit(""))).contains("gzip") if encoding is not None else F.lit(False)
+    packed = (said | F.lower(F.coalesce(name, F.lit(""))).endswith(".gz")) & (F.substring(raw, 1, 2) == F.unhex(F.lit("1F8B")))
+    return F.decode(F.when(packed, unpack(F.when(packed, raw))).otherwise(raw), "UTF-8")
+
+
 class ConfigError(ValueError):
     pass
 
@@ -130,6 +178,4 @@ def prompts_frame(spark, config: dict) -> DataFrame:
 
 
 def allowed_host(url: Column, site: str) -> Column:
-    from ..functions.urls import same_host
-
     return same_host(F.lit(site), url)

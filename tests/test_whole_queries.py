@@ -25,3 +25,33 @@ def test_crawl_reaches_six_links_deep(spark, tmp_path):
     d = write_pages(spark, tmp_path, [(i, f"https://a.example/p{i}", f'<html><body><a href="/p{i + 1}">next</a></body></html>') for i in range(9)])
     got = {r.url: r.depth for r in QUERIES["crawl_levels"](spark, d).collect()}
     assert got == {f"https://a.example/p{i}": i for i in range(7)}
+
+
+def test_audit_entries_by_brute_force(spark, tmp_path):
+    import numpy as np
+
+    from corpuslens.operators.vectors import fake_embedding
+
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    bodies = {1: words(1, 130), 2: words(2, 130), 3: words(1, 130), 4: words(4, 60), 5: words(5, 10), 6: words(1, 130)}
+    links = {1: [2, 3], 2: [3], 3: [3], 4: [1], 5: [], 6: [2]}
+    url = lambda i: f"https://a.example/p{i}"
+    page = lambda i: f"<html><head><title>T{i}</title></head><body>{''.join(f'<a href=/p{x}> </a>' for x in links[i])}<article>{bodies[i]}</article></body></html>"
+    got = {r.url: r for r in QUERIES["audit_entries"](spark, write_pages(spark, tmp_path, [(i, url(i), page(i)) for i in bodies])).collect()}
+    inbound = {i: sum(i in v for v in links.values()) for i in bodies}
+    most = max(inbound.values())
+    vectors = {i: np.array(fake_embedding(b), float) for i, b in bodies.items() if len(b.split()) >= 50}
+    near = {(a, b) for a in vectors for b in vectors if a < b and vectors[a] @ vectors[b] >= 0.99}
+    assert {(1, 3), (1, 6), (3, 6)} <= near
+    group = {i: min(a for a in vectors if a == i or (a, i) in near) for p in near for i in p}
+    assert set(got) == {url(i) for i in bodies}
+    for i, b in bodies.items():
+        n = len(b.split())
+        label, action, sure = ("Thin", "DELETE", 1.0) if n < 50 else ("Unclear", "MANUAL_REVIEW", 0.5) if n < 120 else ("Aligned", "KEEP", 0.9)
+        if i in group and i != group[i] and label in ("Aligned", "Unclear"):
+            label, action = "Redundant", "DELETE" if action == "KEEP" else action
+        weight = {"Thin": 0.35, "Unclear": 0.2, "Aligned": 0.0, "Redundant": 0.3}[label]
+        r = got[url(i)]
+        assert (r.primary_label, r.suggested_action, r.inbound_internal_links, r.word_count) == (label, action, str(inbound[i]), str(n))
+        assert r.priority == f"{np.floor(weight * (0.5 + 0.5 * inbound[i] / most) * sure * 1000 + 0.5) / 10:.1f}"
+        assert (r.duplicate_cluster_id is not None) == (i in group)
