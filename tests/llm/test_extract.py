@@ -42,13 +42,62 @@ def plain_reference(page):
 def test_generated_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     weights = X.fit_weights(pages)
-    assert weights["word"] > 0 > weights["off"] and all(v < 0 for k, v in weights.items() if k.startswith("tag"))
+    assert weights["word"] > 0 > weights["beside"] and all(v < 0 for k, v in weights.items() if k.startswith("tag"))
+    changed = {k for k, v in weights.items() if v != X.DEFAULT.get(k)}
+    assert {"word", "mark:<nav>", "mark:<footer>", "tag:p", "tag:li"} <= changed
     want = {r.page_id: plain_reference(r.html) for r in pages.collect()}
     for r in X.extract_report(pages).collect():
         assert r.text == want[r.page_id]
         assert r.n_chars == len(r.text)
 
 
+HAND_MADE = {
+    "heading ids": ("<article><h2 id=\"search-trees\">Search trees</h2><p>They are balanced.</p><section id=\"comments-on-method\"><p>On the method.</p></section><p class=\"market-share\">Its share grew.</p><p title=\"the hidden life\">Of trees.</p></article>", "Search trees\nThey are balanced.\nOn the method.\nIts share grew.\nOf trees."),
+    "math and labels": ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p>Press <button>OK</button> or <label>Stop</label> now.</p></article>", "Let x=1 be.\nPress OK or Stop now."),
+    "links in content": ("<article><p>See these pages for more about it:</p><ul>" + "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(20)) + "</ul><p>The end.</p></article>", "See these pages for more about it:\n" + "\n".join(f"Page {i}" for i in range(20)) + "\nThe end."),
+    "hidden": ("<article><p>Seen here.</p><p hidden>Not this.</p><div style='color:red; display: none'>Nor this.</div><span aria-hidden=true>x</span><p data-hidden='no'>But this.</p></article>", "Seen here.\nSeen too."),
+    "links only": ("<div><a href=/>Home</a> <a href=/a>About us</a> <a href=/b>Contact</a></div><div><h2>A title of it</h2><p>The first paragraph has words enough to count.</p><p>So does this second one here.</p></div><div><a href=1>More</a> <a href=2>Even more</a></div>", "A title of it\nThe first paragraph has words enough to count.\nSo does this second one here."),
+    "role": ("<div role=navigation>Go here go there</div><div id=content><p>These are the words of the text.</p></div><div role=contentinfo>All rights</div>", "These are the words of the text."),
+}
+HAND_MADE["hidden"] = (HAND_MADE["hidden"][0], "Seen here.\nBut this.")
+
+
+@pytest.mark.parametrize("name", HAND_MADE)
+def test_hand_made_pages(name):
+    page, want = HAND_MADE[name]
+    assert X.main_text(page, X.DEFAULT) == want
+
+
+def test_the_scan_decides(monkeypatch):
+    pages = [HAND_MADE["links only"], PAGES["no content element"]]
+    assert [X.main_text(p, X.DEFAULT) for p, _ in pages] == [w for _, w in pages]
+    monkeypatch.setattr(X, "best_region", lambda scores: (0, len(scores) - 1))
+    assert X.main_text(HAND_MADE["links only"][0], X.DEFAULT) == "Home About us Contact\n" + HAND_MADE["links only"][1] + "\nMore Even more"
+
+
+def test_weights_are_learned():
+    usual = "<html><body><nav><a href=/>Home page</a></nav><div class=teaser>Read this other story now please</div><article><p>{}</p></article><footer>Foot words</footer></body></html>"
+    inverted = "<html><body><nav><a href=/>Home page</a></nav><article><div class=teaser><p>{}</p></div></article><div class=prose>Words beside it that nobody needs</div></body></html>"
+
+    def fitted(page):
+        totals = {}
+        for i in range(30):
+            for k, (a, b) in X.counts(page.format(" ".join(f"w{i}x{j}" for j in range(20)))).items():
+                x, y = totals.get(k, (0, 0))
+                totals[k] = (x + a, y + b)
+        assert totals
+        return X.weights_from(totals)
+
+    a, b = fitted(usual), fitted(inverted)
+    assert a["mark:teaser"] < -3 and b["mark:teaser"] > 1 and b["mark:prose"] < -3 and "mark:prose" not in a
+    assert all(w != X.DEFAULT for w in (a, b))
+    page = "<div class=teaser>Some words of the one</div><div class=prose>Some words of the other</div>"
+    assert X.main_text(page, a) == "Some words of the other" and X.main_text(page, b) == "Some words of the one"
+    # A mark that the prior calls furniture is content where pages use it so.
+    assert X.main_text("<div class=comments>Words that stay here</div>", fitted(inverted.replace("teaser", "comments"))) == "Words that stay here"
+    assert X.main_text("<div class=comments>Words that go from here</div>", X.DEFAULT) == ""
+
+
 def test_region_is_best():
     rng = random.Random(3)
     for _ in range(300):
