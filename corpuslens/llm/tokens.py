@@ -8,13 +8,17 @@ rank is popped and merged until none is left, and the count is the number of
 bytes minus the number of merges.  No identifiers are made.
 
 Defined results: a null or empty text has no bytes and no tokens.  Strings of
-added special tokens count one each, as the tokenizer's default has it.
+added special tokens count one each, as the tokenizer's default has it.  Rows
+that repeat a key, or have none, are counted each; a very long text is a chunk
+of its own, and a long run without spaces takes some 40 bytes of memory a
+byte; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,11 @@ from .common import bounded, chunks
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose counts a Python worker remembers; it starts anew beyond.
 CACHE = 400_000
+#: Characters of a piece that is remembered at most, so what is remembered is bounded in bytes too.
+REMEMBERED = 64
+#: Bytes from which a pre-token's symbols are held in arrays instead of lists.
+LONG = 1 << 12
+PLACE = (1 << 40) - 1
 #: Larger chunks hold more repetitions of a piece.
 CHUNK = 4 << 20
 
@@ -48,53 +57,79 @@ class Merger:
         to_byte = {c: b for b, c in byte_letters().items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         raw = lambda s: bytes(to_byte[c] for c in s)
-        self.ranks = {(a, b): i for i, (a, b) in enumerate((raw(a), raw(b)) for a, b in merges)}
+        pairs = [(raw(a), raw(b)) for a, b in merges]
+        # Symbols by number: single bytes are their own, what a merge makes follows.
+        number = {bytes([b]): b for b in range(256)}
+        for a, b in pairs:
+            number.setdefault(a + b, len(number))
+        self.ranks = {number[a] << 32 | number[b]: i for i, (a, b) in enumerate(pairs)}
+        self.makes = array("i", [number[a + b] for a, b in pairs])
+        self.first = np.full(1 << 16, -1, np.int32)
+        for i, (a, b) in enumerate(pairs):
+            if len(a) == len(b) == 1:
+                self.first[a[0] << 8 | b[0]] = i
         self.special = [t["content"] for t in file.get("added_tokens", [])]
-        self.find = regex.compile(PATTERN).findall
+        self.find = regex.compile(PATTERN).finditer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.known: dict[str, int] = {}
 
     def merged(self, symbols: bytes) -> int:
-        """Tokens of one pre-token: its bytes minus its merges."""
+        """Tokens of one pre-token: its bytes minus its merges.
+
+        The pairs there are at first lie sorted by rank and place in one array, those that merges make in a heap; the
+        lower of both heads is next.  So a byte takes some tens of bytes of memory, however long the pre-token.
+        """
         n = len(symbols)
         if n < 2:
             return n
-        ranks = self.ranks
-        part: list[bytes | None] = [symbols[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := ranks.get((part[i], part[i + 1]))) is not None]
-        heapq.heapify(heap)
-        left = n
-        while heap:
-            r, i, j = heapq.heappop(heap)
+        ranks, makes = self.ranks, self.makes
+        if n < LONG:
+            part, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+            start = sorted((r << 40) | i for i in range(n - 1) if (r := ranks.get(part[i] << 32 | part[i + 1])) is not None)
+        else:
+            raw = np.frombuffer(symbols, np.uint8).astype(np.int32)
+            part, after, before = array("i", raw.tobytes()), array("i", np.arange(1, n + 1, dtype=np.int32).tobytes()), array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+            rank = self.first[raw[:-1] << 8 | raw[1:]].astype(np.int64)
+            at = np.flatnonzero(rank >= 0)
+            start = array("q", np.sort(rank[at] << 40 | at).tobytes())
+        left, k, end, heap = n, 0, len(start), []
+        while k < end or heap:
+            if heap and (k == end or heap[0] < start[k]):
+                entry = heapq.heappop(heap)
+            else:
+                entry = start[k]
+                k += 1
+            r, i = entry >> 40, entry & PLACE
             # A stale entry: one of its ends was merged since, so the pair has another rank or is gone.
-            if part[i] is None or after[i] != j or part[j] is None or ranks.get((part[i], part[j])) != r:
+            if part[i] < 0 or (j := after[i]) == n or ranks.get(part[i] << 32 | part[j]) != r:
                 continue
-            part[i] += part[j]
-            part[j] = None
-            after[i] = k = after[j]
+            made = part[i] = makes[r]
+            part[j] = -1
+            after[i] = j = after[j]
             left -= 1
-            if k < n:
-                before[k] = i
-                if (q := ranks.get((part[i], part[k]))) is not None:
-                    heapq.heappush(heap, (q, i, k))
-            if (h := before[i]) >= 0 and (q := ranks.get((part[h], part[i]))) is not None:
-                heapq.heappush(heap, (q, h, i))
+            if j < n:
+                before[j] = i
+                if (q := ranks.get(made << 32 | part[j])) is not None:
+                    heapq.heappush(heap, q << 40 | i)
+            if (h := before[i]) >= 0 and (q := ranks.get(part[h] << 32 | made)) is not None:
+                heapq.heappush(heap, q << 40 | h)
         return left
 
     def piece(self, text: str) -> int:
         if (n := self.known.get(text)) is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            n = self.known[text] = sum(self.merged(p.encode()) for p in self.find(text))
+            n = sum(self.merged(m[0].encode()) for m in self.find(text))
+            if len(text) <= REMEMBERED:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[text] = n
         return n
 
     def text(self, text: str) -> int:
         """Tokens of a whole text, without the shortcut over pieces."""
         if self.split_special is None:
-            return sum(map(self.piece, self.find(text)))
+            return sum(self.piece(m[0]) for m in self.find(text))
         special = set(self.special)
-        return sum(1 if part in special else sum(map(self.piece, self.find(part))) for part in self.split_special(text))
+        return sum(1 if part in special else sum(self.piece(m[0]) for m in self.find(part)) for part in self.split_special(text))
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
