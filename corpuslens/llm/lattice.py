@@ -10,8 +10,11 @@ share of that sum, so a segmentation comes up by exactly its share.  Random
 numbers are hashes of the row's key, the unit's place in its text and the
 node, so every layout of the table gives the same segmentations.
 
-A chunk's distinct units are filtered once, all together, node by node, and
-all units of the chunk are sampled together, edge by edge.
+A chunk's distinct units are filtered once, together, node by node, and all
+units of the chunk are sampled together, edge by edge.  A unit is parted where
+no piece reaches over a node, which changes no share, as all paths meet there;
+so a long run without spaces takes few steps too.  A run that has no such node
+is filtered a step a character.
 
 Decoding joins the pieces' bytes and turns marks into spaces; a mark that
 stands in the text itself is written in byte pieces, so every text comes back.
@@ -42,6 +45,8 @@ ALPHA, RANK_SHIFT = 0.5, 2.0
 SEED = 42
 #: Text bytes sampled together; a node takes some 200 bytes of working memory.
 CHUNK = 2 << 20
+#: Characters of distinct units that one lattice holds, about.
+BLOCK = 1 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,9 +143,10 @@ class Lattice:
         i[miss] = np.where((j >= 0) & (self.hashes[j] == h[miss]), j, -1)
         return i
 
-    def filter(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def filter(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of units whose characters follow one another in ``codes``: each unit's first node, the log
-        sum of all paths to each node, the cumulative shares of the edges into it by length, and their pieces."""
+        sum of all paths to each node, the cumulative shares of the edges into it by length, their pieces, and
+        each segment's first node and length."""
         top = min(self.longest, int(lengths.max(initial=1)))
         starts = np.cumsum(lengths) - lengths
         base = starts + np.arange(len(lengths))
@@ -173,25 +179,49 @@ class Lattice:
             piece[node, i] = found
         if edges:
             piece[bare_nodes, 0] = bare_edges
-        total = np.zeros(nodes)
         share = np.full((nodes, top), 2.0, np.float32)
-        order = np.argsort(-lengths, kind="stable")
-        sorted_ = lengths[order]
+        # Nodes that no edge reaches over part a unit into segments: all paths meet there, so each segment is filtered by itself.
+        over = np.zeros(nodes + 1, np.int32)
+        for i, (node, _) in enumerate(edges[1:], 2):
+            np.add.at(over, node - i + 1, 1)
+            np.add.at(over, node, -1)
+        parts = np.cumsum(over)[:nodes] == 0
+        last_nodes = base + lengths
+        parts[last_nodes] = False
+        first = np.flatnonzero(parts)
+        stop = np.minimum(np.append(first[1:], nodes), last_nodes[np.searchsorted(base, first, "right") - 1])
+        size_of = stop - first
+        total = np.zeros(nodes)
+        ends = np.zeros(len(first))
+        order = np.argsort(-size_of, kind="stable")
+        sorted_ = size_of[order]
         for j in range(1, int(sorted_[0]) + 1 if len(sorted_) else 1):
-            at = base[order[: np.searchsorted(-sorted_, -j, "right")]] + j
+            own = order[: np.searchsorted(-sorted_, -j, "right")]
+            at = first[own] + j
             sizes = np.arange(1, min(j, top) + 1)
             path = total[at[:, None] - sizes] + self.w[piece[at, : len(sizes)]]
             best = path.max(1)
             part = np.exp((path - best[:, None]).astype(np.float32))
             cumulative = np.cumsum(part, 1)
             whole = cumulative[:, -1:].copy()
-            total[at] = best + np.log(whole[:, 0])
+            sums = best + np.log(whole[:, 0])
+            # A segment's end is the next one's start, which counts from zero again.
+            done = size_of[own] == j
+            total[at[~done]] = sums[~done]
+            ends[own[done]] = sums[done]
             # Whatever rounding leaves goes to the last edge that counts.
             last = cumulative >= whole
             cumulative /= whole
             cumulative[last] = 2.0
             share[at, : len(sizes)] = cumulative
-        return base, total, share, piece
+        # Each segment's nodes on top of all segments of its unit before.
+        before = np.cumsum(ends) - ends
+        own_first = np.searchsorted(first, base)
+        offset = before - before[own_first[np.searchsorted(base, first, "right") - 1]]
+        segment = np.searchsorted(first, np.arange(nodes), "right") - 1
+        total += offset[segment]
+        total[last_nodes] = offset[segment[last_nodes]] + ends[segment[last_nodes]]
+        return base, total, share, piece, first, size_of
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of the multiplier and of its inverse up to the n-th, kept from chunk to chunk."""
@@ -226,31 +256,57 @@ class Lattice:
         sample = np.empty(int(unit.max()) + 1, np.int64)
         sample[unit[::-1]] = np.arange(len(unit))[::-1]
         n = length[sample]
-        chars = np.repeat(opens[sample] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        base, _, share, piece = self.filter(codes[chars], n)
         row = np.searchsorted(begin, opens, "right") - 1
         first_of_row = np.searchsorted(opens, begin)
         own_keys = keys[np.array(some)][row]
         stream = mix64(own_keys ^ mix64((np.arange(len(opens)) - first_of_row[row]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + self.seed))
-
-        node, left = base[unit] + n[unit], n[unit].copy()
-        active = np.arange(len(opens))
-        taken = np.zeros(len(opens), np.int64)
         steps: list[tuple[np.ndarray, ...]] = []
-        while len(active):
-            at = node[active]
-            u = (mix64(stream[active] + left[active].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            size = (share[at] > u[:, None]).argmax(1) + 1
-            got = piece[at, size - 1].astype(np.int64)
-            where = opens[active] + left[active] - 1  # the character that ends here
-            count = np.where(got >= self.pieces, got - self.pieces + 1, 1)
-            steps.append((active, taken[active], got, count, where))
-            taken[active] += count
-            node[active] -= size
-            left[active] -= size
-            active = active[left[active] > 0]
-        stop = np.cumsum(taken)
-        out = np.zeros(int(stop[-1]), np.int64)
+        # Of every segment of every unit in the texts: where it starts, and how many pieces it has.
+        starts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        known = 0
+        # Units are filtered and sampled by blocks of about BLOCK characters, which bounds the lattice's memory.
+        block_of = (np.cumsum(n) - n) // BLOCK
+        for block in range(int(block_of[-1]) + 1):
+            low, high = np.searchsorted(block_of, [block, block + 1])
+            if low == high:
+                continue
+            m = n[low:high]
+            chars = np.repeat(opens[sample[low:high]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            base, _, share, piece, first, size_of = self.filter(codes[chars], m)
+            occurs = np.flatnonzero((unit >= low) & (unit < high))
+            own = unit[occurs] - low
+            lead = np.searchsorted(first, base)
+            many = np.diff(np.append(lead, len(first)))[own]
+            # Segments are sampled side by side; draws are keyed by the place in the unit, so parting changes none.
+            who = np.repeat(occurs, many)
+            segment = np.repeat(lead[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            origin = np.repeat(base[own], many)
+            least = first[segment] - origin
+            left = least + size_of[segment]
+            taken = np.zeros(len(who), np.int64)
+            starts.append(opens[who] + least)
+            counts.append(taken)
+            node, active = origin + left, np.arange(len(who))
+            del origin, segment
+            while len(active):
+                u = (mix64(stream[who[active]] + left.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+                size = (share[node] > u[:, None]).argmax(1) + 1
+                got = piece[node, size - 1].astype(np.int32)
+                where = opens[who[active]] + left - 1  # the character that ends here
+                count = np.where(got >= self.pieces, got - self.pieces + 1, 1)
+                steps.append((active + known, taken[active], got, count.astype(np.int8), where))
+                taken[active] += count
+                node, left = node - size, left - size
+                go = left > least[active]
+                active, node, left = active[go], node[go], left[go]
+            known += len(who)
+        # Pieces come in the order of the text.
+        starts_, taken = np.concatenate(starts), np.concatenate(counts)
+        order = np.argsort(starts_)
+        stop = np.empty(len(order), np.int64)
+        stop[order] = np.cumsum(taken[order])
+        out = np.zeros(int(taken.sum()), np.int64)
         for who, behind, got, count, where in steps:
             last = stop[who] - 1 - behind
             raw = got >= self.pieces
@@ -261,7 +317,7 @@ class Lattice:
                     has = k > i
                     out[(last[raw] - k + 1 + i)[has]] = self.byte_ids[bytes_[has, i]]
         per = np.zeros(len(texts), np.int64)
-        np.add.at(per, np.array(some)[row], taken)
+        np.add.at(per, np.array(some)[np.searchsorted(begin, starts_, "right") - 1], taken)
         np.cumsum(per, out=firsts[1:])
         return out, firsts
 

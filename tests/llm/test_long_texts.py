@@ -42,3 +42,9 @@ def test_count_of_a_long_run_is_bounded():
 def test_windows_of_a_long_text_are_bounded():
     code = "t = ' '.join(random.Random(1).choices([f'w{i}' for i in range(5000)], k=1_800_000))\nw = substrings._Words(pa.array([t]))\ne = substrings._entries(w.hashes, w.firsts)\nassert len(e[0]) > 100_000"
     assert peak(code) < 500
+
+
+def test_sampling_of_a_long_run_is_bounded_and_lossless():
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    code = f"l = lattice.Lattice({model!r})\nt = ''.join(random.Random(1).choices('etaoinshrdlu', k=1_500_000))\nids, f = l.encode([t], np.array([5], np.uint64))\nassert l.decode(ids.tolist()) == t"
+    assert peak(code) < 500
