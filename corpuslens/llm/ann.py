@@ -41,6 +41,8 @@ QUERIES = 512
 #: Blocks of a list that one task joins with the list's queries.
 GROUP = 32
 COLUMNS = 16
+#: Share of pairs left below which they are followed one by one.
+SPARSE = 0.1
 #: Width of the test: a candidate goes where its scaled partial distance exceeds (1 + EPSILON / sqrt(columns seen)) times the k-th best.
 EPSILON = 2.1
 TARGET = 0.97
@@ -100,8 +102,8 @@ def fit_probes(x: np.ndarray, centres: np.ndarray, k: int, target: float = TARGE
 def adaptive_scan(queries: np.ndarray, rotated: np.ndarray, k: int, first: int = 256, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(query, row)`` that survive the tests, of rotated unit queries (q x d) and rows (n x d), in order of query.
 
-    All queries go through a strip of rows together: the first block of columns is one matrix product, later
-    blocks only touch the pairs that are left.
+    All queries go through a strip of rows together, a block of columns at a time as one matrix product; once few
+    pairs are left, later blocks touch only those.
     """
     (m, d), n = queries.shape, len(rotated)
     near = queries @ rotated[:first].T
@@ -112,22 +114,26 @@ def adaptive_scan(queries: np.ndarray, rotated: np.ndarray, k: int, first: int =
         # Squared distance of unit vectors from their cosine; the slack covers rounding.
         radius = 2 - 2 * best[:, -1] + 1e-9 if best.shape[1] >= k else np.full(m, np.inf)
         q = i = None
+        table = np.zeros((m, len(strip)))
         partial = np.zeros(0)
         for c in range(0, d, COLUMNS):
             seen = min(c + COLUMNS, d)
-            x, y = queries[:, c:seen], strip[:, c:seen]
+            limit = radius * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else radius + 1e-9
             if q is None:
-                table = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
-                limit = radius * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else radius + 1e-9
-                q, i = np.nonzero(table * (d / seen) <= limit[:, None])
-                partial = table[q, i]
+                x, y = queries[:, c:seen], strip[:, c:seen]
+                table += (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
+                alive = table * (d / seen) <= limit[:, None]
+                # Dropped pairs stay dropped, also while most are left and all are summed on by products of blocks.
+                table[~alive] = np.inf
+                if seen == d or np.count_nonzero(alive) < SPARSE * alive.size:
+                    q, i = np.nonzero(alive)
+                    partial = table[q, i]
             else:
-                diff = x[q] - y[i]
+                diff = queries[q, c:seen] - strip[i, c:seen]
                 partial += (diff * diff).sum(1)
-                limit = radius * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else radius + 1e-9
                 ok = partial * (d / seen) <= limit[q]
                 q, i, partial = q[ok], i[ok], partial[ok]
-            if not len(q):
+            if q is not None and not len(q):
                 break
         if len(q):
             at[0].append(q)

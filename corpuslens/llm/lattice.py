@@ -47,6 +47,8 @@ SEED = 42
 CHUNK = 2 << 20
 #: Characters of distinct units that one lattice holds, about.
 BLOCK = 1 << 20
+#: Characters of a unit beyond which it is parted.
+LONG_UNIT = 256
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,7 +149,8 @@ class Lattice:
         """Of units whose characters follow one another in ``codes``: each unit's first node, the log
         sum of all paths to each node, the cumulative shares of the edges into it by length, their pieces, and
         each segment's first node and length."""
-        top = min(self.longest, int(lengths.max(initial=1)))
+        top_length = int(lengths.max(initial=1))
+        top = min(self.longest, top_length)
         starts = np.cumsum(lengths) - lengths
         base = starts + np.arange(len(lengths))
         unit = np.repeat(np.arange(len(lengths)), lengths)
@@ -180,17 +183,23 @@ class Lattice:
         if edges:
             piece[bare_nodes, 0] = bare_edges
         share = np.full((nodes, top), 2.0, np.float32)
-        # Nodes that no edge reaches over part a unit into segments: all paths meet there, so each segment is filtered by itself.
-        over = np.zeros(nodes + 1, np.int32)
-        for i, (node, _) in enumerate(edges[1:], 2):
-            np.add.at(over, node - i + 1, 1)
-            np.add.at(over, node, -1)
-        parts = np.cumsum(over)[:nodes] == 0
+        # Nodes of long units that no edge reaches over part them into segments: all paths meet there, so each segment is
+        # filtered by itself.  Short units are one segment each.
         last_nodes = base + lengths
-        parts[last_nodes] = False
-        first = np.flatnonzero(parts)
-        stop = np.minimum(np.append(first[1:], nodes), last_nodes[np.searchsorted(base, first, "right") - 1])
-        size_of = stop - first
+        first, size_of = base, lengths
+        if top_length > LONG_UNIT:
+            long_ = np.repeat(lengths > LONG_UNIT, lengths + 1)
+            over = np.zeros(nodes + 1, np.int64)
+            for i, (node, _) in enumerate(edges[1:], 2):
+                own = node[long_[node]]
+                over += np.bincount(own - i + 1, minlength=nodes + 1)
+                over -= np.bincount(own, minlength=nodes + 1)
+            parts = (np.cumsum(over)[:nodes] == 0) & long_
+            parts[last_nodes] = False
+            parts[base] = True
+            first = np.flatnonzero(parts)
+            stop = np.minimum(np.append(first[1:], nodes), last_nodes[np.searchsorted(base, first, "right") - 1])
+            size_of = stop - first
         total = np.zeros(nodes)
         ends = np.zeros(len(first))
         order = np.argsort(-size_of, kind="stable")
@@ -205,22 +214,25 @@ class Lattice:
             cumulative = np.cumsum(part, 1)
             whole = cumulative[:, -1:].copy()
             sums = best + np.log(whole[:, 0])
-            # A segment's end is the next one's start, which counts from zero again.
-            done = size_of[own] == j
-            total[at[~done]] = sums[~done]
-            ends[own[done]] = sums[done]
+            if first is base:
+                total[at] = sums
+            else:
+                # A segment's end is the next one's start, which counts from zero again.
+                done = size_of[own] == j
+                total[at[~done]] = sums[~done]
+                ends[own[done]] = sums[done]
             # Whatever rounding leaves goes to the last edge that counts.
             last = cumulative >= whole
             cumulative /= whole
             cumulative[last] = 2.0
             share[at, : len(sizes)] = cumulative
-        # Each segment's nodes on top of all segments of its unit before.
-        before = np.cumsum(ends) - ends
-        own_first = np.searchsorted(first, base)
-        offset = before - before[own_first[np.searchsorted(base, first, "right") - 1]]
-        segment = np.searchsorted(first, np.arange(nodes), "right") - 1
-        total += offset[segment]
-        total[last_nodes] = offset[segment[last_nodes]] + ends[segment[last_nodes]]
+        if first is not base:
+            # Each segment's nodes on top of all segments of its unit before.
+            before = np.cumsum(ends) - ends
+            offset = before - before[np.searchsorted(first, base)[np.searchsorted(base, first, "right") - 1]]
+            segment = np.searchsorted(first, np.arange(nodes), "right") - 1
+            total += offset[segment]
+            total[last_nodes] = offset[segment[last_nodes]] + ends[segment[last_nodes]]
         return base, total, share, piece, first, size_of
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,19 +288,21 @@ class Lattice:
             base, _, share, piece, first, size_of = self.filter(codes[chars], m)
             occurs = np.flatnonzero((unit >= low) & (unit < high))
             own = unit[occurs] - low
-            lead = np.searchsorted(first, base)
-            many = np.diff(np.append(lead, len(first)))[own]
-            # Segments are sampled side by side; draws are keyed by the place in the unit, so parting changes none.
-            who = np.repeat(occurs, many)
-            segment = np.repeat(lead[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            origin = np.repeat(base[own], many)
-            least = first[segment] - origin
-            left = least + size_of[segment]
+            if first is base:
+                who, origin, least, left = occurs, base[own], np.zeros(len(occurs), np.int64), m[own]
+            else:
+                # Segments are sampled side by side; draws are keyed by the place in the unit, so parting changes none.
+                lead = np.searchsorted(first, base)
+                many = np.diff(np.append(lead, len(first)))[own]
+                who = np.repeat(occurs, many)
+                segment = np.repeat(lead[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                origin = np.repeat(base[own], many)
+                least = first[segment] - origin
+                left = least + size_of[segment]
             taken = np.zeros(len(who), np.int64)
             starts.append(opens[who] + least)
             counts.append(taken)
             node, active = origin + left, np.arange(len(who))
-            del origin, segment
             while len(active):
                 u = (mix64(stream[who[active]] + left.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
                 size = (share[node] > u[:, None]).argmax(1) + 1
@@ -303,9 +317,12 @@ class Lattice:
             known += len(who)
         # Pieces come in the order of the text.
         starts_, taken = np.concatenate(starts), np.concatenate(counts)
-        order = np.argsort(starts_)
-        stop = np.empty(len(order), np.int64)
-        stop[order] = np.cumsum(taken[order])
+        if len(starts) == 1 and first is base:
+            stop = np.cumsum(taken)
+        else:
+            order = np.argsort(starts_)
+            stop = np.empty(len(order), np.int64)
+            stop[order] = np.cumsum(taken[order])
         out = np.zeros(int(taken.sum()), np.int64)
         for who, behind, got, count, where in steps:
             last = stop[who] - 1 - behind
@@ -317,7 +334,7 @@ class Lattice:
                     has = k > i
                     out[(last[raw] - k + 1 + i)[has]] = self.byte_ids[bytes_[has, i]]
         per = np.zeros(len(texts), np.int64)
-        np.add.at(per, np.array(some)[np.searchsorted(begin, starts_, "right") - 1], taken)
+        np.add.at(per, np.array(some)[row if len(starts) == 1 and first is base else np.searchsorted(begin, starts_, "right") - 1], taken)
         np.cumsum(per, out=firsts[1:])
         return out, firsts
 

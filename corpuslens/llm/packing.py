@@ -8,7 +8,7 @@ remains at the end of a range is cut into powers of two, which need no
 padding, so no sequence is padded.
 
 Long documents lie in the curve's middle, close together, so documents are cut
-into parts of at most a sequence before the sort: ranges of equally many parts
+into parts of at most ``PART`` ids before the sort: ranges of equally many parts
 then hold about equally many bytes, and their number follows from the bytes
 there are (``RANGE_BYTES`` each).
 
@@ -38,6 +38,8 @@ CLOSING_ID = 1
 DIMENSIONS, ORDER = 3, 10
 #: Bytes of 16-bit ids that one range holds, about.
 RANGE_BYTES = 16 << 20
+#: Ids of a part that is sorted by itself at most; the smaller, the more evenly ranges of equally many parts fill.
+PART = 512
 
 
 def encoder(ranks_path: str, special: dict[str, int]) -> tiktoken.Encoding:
@@ -88,7 +90,7 @@ def curve_places(ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return hilbert_index(np.stack(points, 1), ORDER)
 
 
-def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: str = "doc_id", text: str = "text", length: int = PART) -> DataFrame:
     """``(doc_id, place, start, total, ids)``: 16-bit ids of every whole text with the closing id, in parts of at most ``length``;
     the document's place on the curve, the ids before a part, and the document's number of ids."""
 
