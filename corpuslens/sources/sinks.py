@@ -90,11 +90,11 @@ def page_section(i: int, p: dict) -> list[str]:
 
 
 def to_markdown(report: dict, top: int = 0) -> bytes:
-    """The limit counts pages before aligned ones are left out."""
-    s, by = report["summary"], report["provider"]
-    out = ["# Content report", "", f"**Site:** {report['site']}", f"**Run:** {report['run_id']}", f"**Judge:** {by['judge']}"]
+    """The limit counts pages before aligned ones are left out; a document without provider or version leaves these empty."""
+    s, by = report["summary"], report.get("provider") or {}
+    out = ["# Content report", "", f"**Site:** {report['site']}", f"**Run:** {report['run_id']}", f"**Judge:** {by.get('judge') or ''}"]
     out += [f"**Embeddings:** {by['embedding']}"] if by.get("embedding") else []
-    out += [f"**Completed:** {report['completed_at']}", f"**Duration:** {report['duration_seconds']}s", f"**API calls:** {s['total_api_calls']}", f"**Report version:** {report['report_version']}", ""]
+    out += [f"**Completed:** {report['completed_at']}", f"**Duration:** {report['duration_seconds']}s", f"**API calls:** {s['total_api_calls']}", f"**Report version:** {report.get('report_version') or ''}", ""]
     out += ["## How to use this report", "", "Each numbered section is one page that needs work, the most pressing first; the lists at the end name pages that repeat one another.", ""]
     out += ["## Summary", "", "| Action | Count |", "| --- | --- |", *(f"| {a} | {s['by_action'].get(a, 0)} |" for a in ACTIONS), ""]
     out += ["**By primary label:** " + " ".join(f"{x} {s['by_label'][x]}" for x in LABELS if s["by_label"].get(x)), ""]
