@@ -1,4 +1,4 @@
-"""The queries of the ten operators: thin, over whole tables, with production parameters."""
+"""The queries of the operators: thin, over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -79,7 +79,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op8_lattice_sampling, op9_warc_round_trip, op10_secret_scan)}
+def op11_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_links import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interaction import interaction_report
+
+    return interaction_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill_report
+
+    return infill_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_nearest_neighbours, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op7_curve_packing, op8_lattice_sampling, op9_warc_round_trip, op10_secret_scan, op11_lattice_links, op12_filter_interaction, op13_infill)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -126,5 +144,34 @@ g as (select doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + n), ',
 select doc_id, {", ".join(f"coalesce(n_{RULES[i].kind}, 0) n_{RULES[i].kind}" for i in base)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from documents left join g using (doc_id)"""
 
 
+_OP12 = rf"""
+with w as (select doc_id, coalesce(text, '') t, coalesce(lang, '') part, {_WORDS} ws from documents),
+said as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+m as (
+  select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::int
+   + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int mask
+  from w left join said using (doc_id)),
+c as (select part, mask, count(*) n, sum(good) good, sum(toxic) toxic from m group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) x, unnest([1, 2, 4, 8, 16]) bit),
+o as (
+  select a.x || b.x || c.x || d.x || e.x filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] bits
+  from l a, l b, l c, l d, l e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s as (select filter_order, step, bits[step] bit, list_sum(list_concat([0], bits[1:step - 1]))::int before from o, (select unnest([1, 2, 3, 4, 5]) step)),
+r as (
+  select part, filter_order, step, bit, sum(case when mask & (before | bit) = 0 then n else 0 end)::bigint kept, sum(case when mask & before = 0 and mask & bit > 0 then n else 0 end)::bigint removed,
+   sum(case when mask & before > 0 and mask & bit > 0 then n else 0 end)::bigint redundant, sum(case when mask = bit then n else 0 end)::bigint unique_fails,
+   sum(case when mask & before = 0 and mask & bit > 0 then good else 0 end)::bigint good_lost, sum(case when mask & before = 0 and mask & bit > 0 then toxic else 0 end)::bigint toxic_lost
+  from c, s group by 1, 2, 3, 4)
+select part, filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint shapley from r"""
+
+_OP13 = """
+with h as (select doc_id, coalesce(text, '') t, length(coalesce(text, ''))::bigint n, sha256('1:' || coalesce(doc_id::varchar, 'null')) x from documents),
+g as (select *, ('0x' || x[1:8])::bigint % (n + 1) p1, ('0x' || x[9:16])::bigint % (n + 1) p2, ('0x' || x[17:24])::bigint % 100 c3, ('0x' || x[25:32])::bigint % 100 c4 from h),
+f as (select doc_id, t, n, least(p1, p2) a, greatest(p1, p2) b, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c3 >= 90 then 'plain' when c4 < 20 then 'spm' else 'psm' end form from g),
+z as (select *, substring(t, 1, a) p, substring(t, a + 1, b - a) m, substring(t, b + 1) s from f)
+select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from z"""
+
+
 #: The others' hashes, tokens, samples, learned rules and searches are beyond SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op1_main_text": _OP1, "op3_substring_dedup": _OP3, "op9_warc_round_trip": _OP9, "op10_secret_scan": _op10()}
+ORACLE: dict[str, str] = {"op1_main_text": _OP1, "op3_substring_dedup": _OP3, "op9_warc_round_trip": _OP9, "op10_secret_scan": _op10(), "op12_filter_interaction": _OP12, "op13_infill": _OP13}
