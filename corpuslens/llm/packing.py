@@ -21,6 +21,7 @@ besides the key and the text are left out; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -40,6 +41,9 @@ DIMENSIONS, ORDER = 3, 10
 RANGE_BYTES = 16 << 20
 #: Ids of a part that is sorted by itself at most; the smaller, the more evenly ranges of equally many parts fill.
 PART = 512
+#: The pattern's white space, and the characters from which a run of it is cut before the pattern sees it.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 1 << 14
 
 
 def encoder(ranks_path: str, special: dict[str, int]) -> tiktoken.Encoding:
@@ -48,6 +52,32 @@ def encoder(ranks_path: str, special: dict[str, int]) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encode(enc: tiktoken.Encoding, text: str, special: dict[str, int], longest: int = LONG_RUN) -> list[int]:
+    """Ids of a whole text.
+
+    The pre-token pattern looks ahead at the end of white space and overflows the stack in runs of a million. Where a run
+    is long it is cut as the pattern would: all but its last character, or all of it before a special string and at the
+    end, is one pre-token, and goes to the merging of pairs without the pattern.
+    """
+    allowed = {s for s in special if s in text}
+    if len(text) < longest or not any(m.end() - m.start() >= longest for m in SPACE.finditer(text)):
+        return enc.encode(text, allowed_special=allowed, disallowed_special=()) if allowed else enc.encode_ordinary(text)
+    ids: list[int] = []
+    for part in re.split("(" + "|".join(map(re.escape, sorted(allowed, key=len, reverse=True))) + ")", text) if allowed else [text]:
+        if part in allowed:
+            ids.append(special[part])
+            continue
+        at = 0
+        for m in SPACE.finditer(part):
+            if m.end() - m.start() >= longest:
+                end = m.end() - (m.end() < len(part))
+                ids += enc.encode_ordinary(part[at : m.start()])
+                ids += enc._encode_single_piece(part[m.start() : end])
+                at = end
+        ids += enc.encode_ordinary(part[at:])
+    return ids
+
+
 def hilbert_index(points: np.ndarray, order: int) -> np.ndarray:
     """Place on the Hilbert curve of integer points (n, d) with ``order`` bits a coordinate."""
     x = points.astype(np.int64).T.copy()
@@ -91,18 +121,17 @@ def curve_places(ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: str = "doc_id", text: str = "text", length: int = PART) -> DataFrame:
-    """``(doc_id, place, start, total, ids)``: 16-bit ids of every whole text with the closing id, in parts of at most ``length``;
-    the document's place on the curve, the ids before a part, and the document's number of ids."""
+    """``(doc_id, place, start, total, row, ids)``: 16-bit ids of every whole text with the closing id, in parts of at most ``length``;
+    the document's place on the curve, the ids before a part, the document's number of ids, and a number of the row it came from."""
 
     def run(batches):
         enc = encoder(ranks_path, special)
-        allowed = set(special)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in chunks(batch, 1):
                 arrays = []
                 for t in pc.fill_null(part.column(1), ""):
-                    t = t.as_py()
-                    ids = enc.encode(t, allowed_special=allowed, disallowed_special=()) if any(s in t for s in allowed) else enc.encode_ordinary(t)
+                    ids = encode(enc, t.as_py(), special)
                     ids.append(CLOSING_ID)
                     arrays.append(np.array(ids, "<u2"))
                 size = np.array([len(x) for x in arrays], np.int64)
@@ -112,17 +141,18 @@ def tokenized(docs: DataFrame, ranks_path: str, special: dict[str, int], key: st
                 doc = np.repeat(np.arange(len(size)), parts)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * length
                 ids = pa.array([arrays[i][a : a + length].tobytes() for i, a in zip(doc.tolist(), start.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(places[doc]), pa.array(start), pa.array(size[doc]), ids], ["doc_id", "place", "start", "total", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(places[doc]), pa.array(start), pa.array(size[doc]), pa.array(row + doc), ids], ["doc_id", "place", "start", "total", "row", "ids"])
+                row += len(size)
 
     kind = docs.schema[key].dataType.simpleString()
-    return bounded(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, start long, total long, ids binary")
+    return bounded(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, start long, total long, row long, ids binary")
 
 
 PIECE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Pieces of ``placed(doc_id, place, start, total, ids)`` along the curve; ``ids`` are a piece's 32-bit little-endian ids."""
+    """Pieces of ``placed(doc_id, place, start, total, row, ids)`` along the curve; ``ids`` are a piece's 32-bit little-endian ids."""
 
     def run(batches):
         base = TaskContext.get().partitionId() << 40
@@ -131,7 +161,7 @@ def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def emit(pieces: list[tuple]) -> None:
             at = 0
-            for doc, start, ids, total in pieces:
+            for doc, start, ids, total, _ in pieces:
                 n = len(ids) // 4
                 rows.append((doc, start, n, zlib.crc32(ids), total, base + state["sequence"], at, ids))
                 at += n
@@ -148,16 +178,16 @@ def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
         size, kind = 0, pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, first, total, ids in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+            for doc, first, total, row, ids in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 start = 0
                 while start < len(wide) // 4:
                     n = min(length - size, len(wide) // 4 - start)
                     # Parts of one document that follow one another stay one piece.
-                    if open_ and open_[-1][0] == doc and doc is not None and open_[-1][1] + len(open_[-1][2]) // 4 == first + start and open_[-1][3] == total:
-                        open_[-1] = (doc, open_[-1][1], open_[-1][2] + wide[4 * start : 4 * (start + n)], total)
+                    if open_ and open_[-1][4] == row and open_[-1][1] + len(open_[-1][2]) // 4 == first + start:
+                        open_[-1] = (doc, open_[-1][1], open_[-1][2] + wide[4 * start : 4 * (start + n)], total, row)
                     else:
-                        open_.append((doc, first + start, wide[4 * start : 4 * (start + n)], total))
+                        open_.append((doc, first + start, wide[4 * start : 4 * (start + n)], total, row))
                     size, start = size + n, start + n
                     if size == length:
                         emit(open_)
@@ -169,11 +199,11 @@ def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
             n = 1 << (size.bit_length() - 1)
             full, room = [], n
             while room:
-                doc, start, ids, total = open_.pop(0)
+                doc, start, ids, total, row = open_.pop(0)
                 m = min(room, len(ids) // 4)
-                full.append((doc, start, ids[: 4 * m], total))
+                full.append((doc, start, ids[: 4 * m], total, row))
                 if 4 * m < len(ids):
-                    open_.insert(0, (doc, start + m, ids[4 * m :], total))
+                    open_.insert(0, (doc, start + m, ids[4 * m :], total, row))
                 room -= m
             emit(full)
             size -= n
@@ -181,7 +211,7 @@ def pack(placed: DataFrame, length: int = LENGTH) -> DataFrame:
             yield flush(kind)
 
     kind = placed.schema["doc_id"].dataType.simpleString()
-    order = ("place", "doc_id", "start")
+    order = ("place", "doc_id", "row", "start")
     n_bytes = placed.agg(F.sum(F.length("ids").cast("long"))).first()[0] or 0
     ranged = placed.repartitionByRange(max(1, -(-n_bytes // RANGE_BYTES)), *order).sortWithinPartitions(*order)
     return bounded(ranged).mapInArrow(run, PIECE.format(kind))

@@ -96,7 +96,7 @@ def candidate_records(pieces: DataFrame) -> DataFrame:
         F.regexp_extract(_field(F.col("head"), "WARC-Refers-To"), r"<urn:page:(-?\d+)[:>]", 1).try_cast("long").alias("refers_to"),
         F.regexp_extract(_field(F.col("head"), "WARC-Payload-Digest"), r"^sha256:([0-9a-f]{64})$", 1).alias("said"),
         _field(F.col("head"), "WARC-Payload-Length").try_cast("long").alias("said_bytes"),
-        _field(F.col("head"), "WARC-Target-URI").alias("uri"),
+        _field(F.col("head"), "WARC-Target-URI").alias("uri"), F.md5(F.encode("value", "utf-8")).alias("piece"),
         F.when(whole, F.sha2(payload, 256)).alias("digest"),
     )
     order = W.partitionBy("file").orderBy("block", "at")
@@ -128,13 +128,19 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def _assembled(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
-    """Digests of records whose payload holds version lines, from all pieces that such a record spans."""
+    """Digests of records whose payload holds version lines, from all pieces that such a record spans.
+
+    Their text is read again.  A second read may be split otherwise, so pieces are told by their content, never by their
+    place in a read; which content stands where was settled by the first.
+    """
     order = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
     owners = broken.select("file", "start", F.col("start").alias("owner"), F.col("next").alias("until"), "length", "skip")
-    owned = found.select("file", "block", "at", "start").join(owners, ["file", "start"], "left")
-    filled = owned.select("file", "block", "at", "start", *(F.last(c, True).over(order).alias(c) for c in ("owner", "until", "length", "skip"))).filter("start < until")
-    parts = _pieces(spark, path).join(materialize(filled, "spanned"), ["file", "block", "at"])
-    joined = parts.groupBy("file", F.col("owner").alias("start"), "length", "skip").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    owned = found.select("file", "piece", "start").join(owners, ["file", "start"], "left")
+    filled = owned.select("file", "piece", "start", *(F.last(c, True).over(order).alias(c) for c in ("owner", "until", "length", "skip"))).filter("start < until")
+    filled = materialize(filled, "spanned")
+    again = _pieces(spark, path).select("value", F.md5(F.encode("value", "utf-8")).alias("piece"))
+    texts = again.join(filled.select("piece").distinct(), "piece", "left_semi").dropDuplicates(["piece"])
+    joined = filled.join(texts, "piece").groupBy("file", F.col("owner").alias("start"), "length", "skip").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     payload = F.expr("substring(encode(value, 'utf-8'), cast(skip + 1 as int), cast(length as int))")
     return joined.select("file", "start", F.sha2(payload, 256).alias("joined_digest"))
 

@@ -1,5 +1,6 @@
 """Operator 7: exact round trip of ids, and the curve."""
 
+import random
 import zlib
 
 import numpy as np
@@ -76,3 +77,42 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string").selectExpr("*", "0 as ids", "1 as place", "2 as start", "3 as length", "4 as total")
     got = packing.packing_report(df, path, queries.SPECIAL).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in got} == {1: 8, None: 1}
+
+
+SPACES = {"space": " ", "newline": "\n", "tab": "\t", "mixed": " \n\t", "wide": "　", "letter": "x"}
+
+
+@pytest.mark.parametrize("name", SPACES)
+@pytest.mark.parametrize("n", [40, 20_000, 300_000])
+def test_ids_of_long_runs_are_the_librarys(name, n):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), queries.SPECIAL)
+    run = (SPACES[name] * n)[:n]
+    for text in (run, f"a{run}", f"{run}b", f"{run} b", f"one{run}two {run}\x1cthree", f"{run}<|endoftext|>{run}c", f"é{run}'s"):
+        assert packing.encode(enc, text, queries.SPECIAL, 1000) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_cutting_runs_of_any_length_changes_no_id():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), queries.SPECIAL)
+    rng = random.Random(3)
+    for _ in range(400):
+        text = "".join(rng.choice([" ", "\n", "  ", "\t", "a", "b's", "12", "..", "\xa0", "\x1f", "<|endoftext|>"]) for _ in range(30))
+        assert packing.encode(enc, text, queries.SPECIAL, 2) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_millions_of_spaces_go_through_a_job(spark):
+    texts = [" " * 1_000_000, "\n" * 10_000_000, "some words" + " " * 3_000_000 + "more words", "\t" * 1_000_000 + "x" * 1_000_000]
+    rows = packing.packing_report(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), queries.SPECIAL).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(rows) == 4 and all(r["sum(length)"] == r["max(doc_tokens)"] for r in rows)
+    assert {r.doc_id: r["max(doc_tokens)"] for r in rows}[0] == 1_000_001
+
+
+def test_texts_of_one_id_are_never_one_piece(spark):
+    texts = ["alpha beta " * 600, "alpha beta " * 599 + "beta alpha "]
+    df = spark.createDataFrame([(1, t) for t in texts] * 3, "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = packing.encoder(path, queries.SPECIAL)
+    ids = [np.array(packing.encode(enc, t, queries.SPECIAL) + [packing.CLOSING_ID], "<u4") for t in texts]
+    for r in packing.pack_documents(df, path, queries.SPECIAL).collect():
+        assert any(x[r.start : r.start + r.length].tobytes() == r.ids for x in ids)

@@ -89,3 +89,23 @@ def test_files_are_plain_warc(spark):
     warc.write_archive(spark.createDataFrame(ROWS[:1], "page_id long, url string, html string"), path)
     data = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect())
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"\r\n\r\n" + b"x" * 100 + b"\r\n\r\n")
+
+
+def test_splits_may_change_between_the_reads(spark, monkeypatch):
+    """The second read, of records whose payload holds version lines, is split otherwise than the first."""
+    rows = [(i, "u", f"{i} before\r\n" + FAKE * (i % 4) + "x" * (7 * i) + "WARC/1.1\r\n") for i in range(60)]
+    assembled = warc._assembled
+
+    def otherwise(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return assembled(*args)
+
+    monkeypatch.setattr(warc, "_assembled", otherwise)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        got = sorted(tuple(r) for r in warc.archive_report(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == expected(rows)
