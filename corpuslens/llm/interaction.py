@@ -36,8 +36,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of texts that a task folds before it sends them on.
 FOLD_BYTES = 32 << 20
-#: Partitions that texts are routed to, for each partition read.
-SPREAD = 2
+#: Bytes of texts that one partition of fingerprints holds at most, about: its chains are in memory.
+ROUTE_BYTES = 32 << 20
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 SYMBOLS = (b"#", b"$", b"%", b"&", b"*", b"|")
 
@@ -105,8 +105,9 @@ def chained(records):
 
 def failures(docs: DataFrame) -> DataFrame:
     """``(doc_id, part, mask, n)``: ``n`` rows of a doc_id and part with these failures, bit i for the filter of letter i."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part")).rdd
-    texts = rows.mapPartitions(routed).partitionBy(max(1, SPREAD * rows.getNumPartitions()), int)
+    texts = rows.mapPartitions(routed).partitionBy(max(1, -(-n_bytes // ROUTE_BYTES)), int)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.sparkSession.createDataFrame(texts.mapPartitions(chained), f"doc_id {kind}, part string, mask int, n long")
 
