@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..schemas import ACTIVE_RUN_STATUSES, KEYS
+from ..schemas import ACTIVE_RUN_STATUSES, KEYS, QUEUES
+from ..session import materialize
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -64,34 +65,56 @@ def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(existing, checked, ["run_id", "page_url", "provider", "model"], order=["created_at"])
 
 
-def claim(table: DataFrame, worker: Column, now: Column, ttl_seconds: int, n: int = 1, status: str = "status", order: list[str] = ("depth", "discovered_at", "url"), runs: str = "run_id") -> DataFrame:
-    """The first ``n`` open rows of each run go to a worker for a time: pending ones, and failed ones whose retry is due."""
-    due = F.col(status) == "pending"
+def _moment(table: DataFrame, status: str, now: Column) -> Column:
+    """Whether a row may be claimed: it is open, or failed with a retry that is due at this very moment or was before."""
+    due = F.col(status) == QUEUES[status][0]
     if "next_retry_at" in table.columns:
-        due = (due & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))) | ((F.col(status) == "failed") & F.col("next_retry_at").isNotNull() & (F.col("next_retry_at") <= now))
-    rank = F.row_number().over(W.partitionBy(runs, due).orderBy(*order))
-    hit = due & (F.col("__n") <= n)
-    out = table.withColumn("__n", rank)
+        due = due | ((F.col(status) == "failed") & F.col("next_retry_at").isNotNull() & (F.col("next_retry_at") <= now))
+    return F.coalesce(due, F.lit(False))
+
+
+def claims(table: DataFrame, worker: Column, now: Column, ttl_seconds: int, n: int = 1, status: str = "status", order: list[str] = ("depth", "discovered_at", "url"), key: list[str] = ("url",), runs: str = "run_id") -> DataFrame:
+    """The rows that are claimed, as they are afterwards: of each run the first ``n`` that are due.
+
+    Each task keeps its own first ``n`` of a run, and only those are shuffled by run (Spark does so for up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` rows), so a queue of any size in one run costs no shuffle of it.
+    """
+    rank = F.row_number().over(W.partitionBy(runs).orderBy(*order, *key))
+    held = table.filter(_moment(table, status, now)).withColumn("__n", rank).filter(F.col("__n") <= n)
     changed = {
-        status: F.when(hit, "in_flight").otherwise(F.col(status)),
-        "claimed_by": F.when(hit, worker).otherwise(F.col("claimed_by")),
-        "claim_expires_at": F.when(hit, now + F.make_dt_interval(secs=F.lit(float(ttl_seconds)))).otherwise(F.col("claim_expires_at")),
-        "attempt_count": F.when(hit, F.col("attempt_count") + 1).otherwise(F.col("attempt_count")).cast("int"),
+        status: F.lit(QUEUES[status][1][0]),
+        "claimed_by": worker,
+        "claim_expires_at": now + F.make_dt_interval(secs=F.lit(float(ttl_seconds))),
+        "attempt_count": (F.col("attempt_count") + 1).cast("int"),
     }
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in table.columns))
+    return held.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in table.columns))
+
+
+def put(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """The table with ``rows`` in the place of those of the same key; a written table of few rows is broadcast."""
+    return table.join(rows.select(*key), list(key), "left_anti").select(*table.columns).unionByName(rows)
+
+
+def claim(table: DataFrame, worker: Column, now: Column, ttl_seconds: int, n: int = 1, status: str = "status", order: list[str] = ("depth", "discovered_at", "url"), key: list[str] = ("url",), runs: str = "run_id") -> DataFrame:
+    """The table after ``claims``: these are written once, and the table keeps its partitions."""
+    return put(table, materialize(claims(table, worker, now, ttl_seconds, n, status, order, key, runs), "claims"), key)
 
 
-def recover_claims(table: DataFrame, now: Column, status: str = "status") -> DataFrame:
-    """Claims whose time is over go back to pending."""
-    stale = (F.col(status) == "in_flight") & F.col("claim_expires_at").isNotNull() & (F.col("claim_expires_at") < now)
-    changed = {status: F.when(stale, "pending").otherwise(F.col(status)), "claimed_by": F.when(~stale | stale.isNull(), F.col("claimed_by")), "claim_expires_at": F.when(~stale | stale.isNull(), F.col("claim_expires_at"))}
+def recover_claims(table: DataFrame, run_id: str | Column | None, now: Column, status: str = "status") -> DataFrame:
+    """Claims of a run (of all runs, if none is given) whose time is over, also those that end at this very moment, are open again."""
+    idle, busy = QUEUES[status]
+    stale = F.col(status).isin(*busy) & F.col("claim_expires_at").isNotNull() & (F.col("claim_expires_at") <= now)
+    if run_id is not None:
+        stale = stale & (F.col("run_id") == run_id)
+    stale = F.coalesce(stale, F.lit(False))
+    changed = {status: F.when(stale, idle).otherwise(F.col(status)), "claimed_by": F.when(~stale, F.col("claimed_by")), "claim_expires_at": F.when(~stale, F.col("claim_expires_at"))}
     return table.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in table.columns))
 
 
 def apply_fetches(urls: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """``outcomes(run_id, url, outcome, final_url, status_code, error, next_retry_at)`` with outcome fetched, failed or skipped."""
-    o = outcomes.select("run_id", "url", "outcome", F.col("final_url").alias("__final"), F.col("status_code").alias("__code"), F.col("error").alias("__error"), F.col("next_retry_at").alias("__retry"))
-    joined = urls.join(o, ["run_id", "url"], "left")
+    """``outcomes(url, outcome, final_url, status_code, error, next_retry_at)`` with outcome fetched, failed or skipped; a url is in one run only."""
+    o = outcomes.select("url", "outcome", F.col("final_url").alias("__final"), F.col("status_code").alias("__code"), F.col("error").alias("__error"), F.col("next_retry_at").alias("__retry"))
+    joined = urls.join(o, "url", "left")
     kind = F.col("outcome")
     changed = {
         "status": F.coalesce(kind, F.col("status")),
@@ -99,7 +122,7 @@ def apply_fetches(urls: DataFrame, outcomes: DataFrame, now: Column) -> DataFram
         "status_code": F.when(kind == "fetched", F.col("__code")).otherwise(F.col("status_code")),
         "fetched_at": F.when(kind == "fetched", now).otherwise(F.col("fetched_at")),
         "last_error": F.when(kind.isin("failed", "skipped"), F.col("__error")).when(kind == "fetched", None).otherwise(F.col("last_error")),
-        "next_retry_at": F.when(kind == "failed", F.col("__retry")).otherwise(F.col("next_retry_at")),
+        "next_retry_at": F.when(kind == "failed", F.col("__retry")).when(kind == "fetched", None).otherwise(F.col("next_retry_at")),
         "claimed_by": F.when(kind.isNull(), F.col("claimed_by")),
         "claim_expires_at": F.when(kind.isNull(), F.col("claim_expires_at")),
     }

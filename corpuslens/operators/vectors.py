@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
 from .graph import components, with_ordinal
+from .scan import running_average
 
 BLOCK = 1024
 #: Blocks that meet in one task, squared.
@@ -87,19 +88,12 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return members.join(named, "root").select(F.col("node").alias("member"), "root", "cluster_id")
 
 
-def running_average(pairs: Column) -> Column:
-    """Fold of (a, b, similarity) in order: each pair counts once beside as many as there are members so far."""
-    start = F.struct(F.lit(0.0).alias("avg"), F.transform(F.slice(pairs, 1, 0), lambda p: p["a"]).alias("m"))
-    step = lambda s, p: F.struct(((s["avg"] * F.size(s["m"]) + p["similarity"]) / (F.size(s["m"]) + 1)).alias("avg"), F.array_union(s["m"], F.array(p["a"], p["b"])).alias("m"))
-    return F.aggregate(F.sort_array(pairs), start, step, lambda s: s["avg"])
-
-
 def cluster_rollup(pairs: DataFrame, member_clusters: DataFrame) -> DataFrame:
-    """``(cluster_id, member_urls, size, avg_similarity)``."""
+    """``(cluster_id, member_urls, size, avg_similarity)``; the average runs over a cluster's pairs in order, in tasks of any number."""
     own = pairs.join(member_clusters.select(F.col("member").alias("a"), "cluster_id"), "a")
-    folded = own.groupBy("cluster_id").agg(running_average(F.collect_list(F.struct("a", "b", "similarity"))).alias("avg_similarity"))
+    averages = running_average(own)
     members = member_clusters.groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("member_urls"), F.count("*").alias("size"))
-    return members.join(folded, "cluster_id").select("cluster_id", "member_urls", "size", "avg_similarity")
+    return members.join(averages, "cluster_id").select("cluster_id", "member_urls", "size", "avg_similarity")
 
 
 def canonical_members(members: DataFrame) -> DataFrame:

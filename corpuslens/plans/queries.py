@@ -296,25 +296,34 @@ def token_totals(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(total("user").alias("input_tokens"), total("assistant").alias("output_tokens"), F.count("*").alias("calls"), F.count_if(F.col("turn") > 0).alias("retries"))
 
 
-def _queue(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    status = F.when(F.col("event_id") % 5 == 0, "fetched").when(F.col("event_id") % 5 == 1, "in_flight").when(F.col("event_id") % 5 == 2, "failed").otherwise("pending")
-    t = F.col("ts").cast("timestamp")
-    return e.select(F.col("event_id").alias("url"), F.col("user_id").alias("run_id"), (F.col("event_id") % 3).cast("int").alias("depth"), status.alias("status"), F.lit(None).cast("string").alias("claimed_by"), F.when(F.col("event_id") % 5 == 1, t).alias("claim_expires_at"), F.lit(0).alias("attempt_count"), F.when(F.col("event_id") % 5 == 2, t).alias("next_retry_at"), t.alias("discovered_at"))
+_NOW = "timestamp '2024-01-10 00:00:00'"
+#: Every 35th event stands at the very moment of ``_NOW``.
+_AT = f"case when event_id % 35 < 5 then {_NOW} else ts end"
+_QUEUE_STATUS = "['fetched', 'claimed', 'failed', 'discovered', 'fetching'][1 + event_id % 5]"
 
 
-_NOW = "timestamp '2024-01-10 00:00:00'"
+def _queue(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ["fetched", "claimed", "failed", "discovered", "fetching"])), (k % 5 + 1).cast("int"))
+    at = F.when(k % 35 < 5, F.expr(_NOW)).otherwise(F.col("ts").cast("timestamp"))
+    return e.select(k.alias("url"), F.col("user_id").alias("run_id"), (k % 3).cast("int").alias("depth"), status.alias("status"), F.lit(None).cast("string").alias("claimed_by"), F.when((k % 5).isin(1, 4), at).alias("claim_expires_at"), F.lit(0).alias("attempt_count"), F.when((k % 5 == 2) & (k % 7 > 0), at).alias("next_retry_at"), F.col("ts").cast("timestamp").alias("discovered_at"))
 
 
-@query(f"select event_id url, user_id run_id from (select *, row_number() over (partition by user_id order by event_id % 3, ts, event_id) k from events where event_id % 5 > 2 or (event_id % 5 = 2 and ts <= {_NOW})) where k <= 2")
+@query(f"select event_id url, user_id run_id, 1 attempt_count from (select *, row_number() over (partition by user_id order by event_id % 3, ts, event_id) k from events where event_id % 5 = 3 or (event_id % 5 = 2 and event_id % 7 > 0 and {_AT} <= {_NOW})) where k <= 2")
 def claim_next(spark, d):
     got = T.claim(_queue(spark, d), F.lit("w1"), F.expr(_NOW), 300, 2)
-    return got.filter("claimed_by = 'w1'").select("url", "run_id")
+    return got.filter("claimed_by = 'w1' and status = 'claimed'").select("url", "run_id", "attempt_count")
 
 
-@query(f"select case when event_id % 5 = 0 then 'fetched' when event_id % 5 = 1 and ts >= {_NOW} then 'in_flight' when event_id % 5 = 2 then 'failed' else 'pending' end status, count(*) n from events group by 1")
+@query(f"select case when event_id % 5 in (1, 4) and {_AT} <= {_NOW} then 'discovered' else {_QUEUE_STATUS} end status, count(*) n from events group by 1")
 def status_counts(spark, d):
-    return T.recover_claims(_queue(spark, d), F.expr(_NOW)).groupBy("status").agg(F.count("*").alias("n"))
+    return T.recover_claims(_queue(spark, d), None, F.expr(_NOW)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"select user_id run_id, case when user_id = 7 and event_id % 5 in (1, 4) and {_AT} <= {_NOW} then 'discovered' else {_QUEUE_STATUS} end status, count(*) n from events group by 1, 2")
+def recovered_run(spark, d):
+    return T.recover_claims(_queue(spark, d), "7", F.expr(_NOW)).groupBy("run_id", "status").agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, n from (select doc_id, 1 n from labels where doc_id % 2 = 0 union all select doc_id, 2 n from labels where doc_id % 2 = 1)")
@@ -414,4 +423,4 @@ def as_of_last_view(spark, d):
 
 
 
-from . import state_queries, web_queries  # noqa: E402, F401  they enter their own queries
+from . import flow_queries, state_queries, web_queries  # noqa: E402, F401  they enter their own queries

@@ -126,13 +126,13 @@ def alias_inserts(spark, d):
 def _urls(spark, d) -> DataFrame:
     one = table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
     none = lambda kind: F.lit(None).cast(kind)
-    return one.select(F.lit("r1").alias("run_id"), "url", "page_id", F.lit("in_flight").alias("status"), F.lit("w").alias("claimed_by"), now().alias("claim_expires_at"), none("string").alias("final_url"), none("int").alias("status_code"), none("timestamp").alias("fetched_at"), F.lit("old").alias("last_error"), none("timestamp").alias("next_retry_at"))
+    return one.select(F.lit("r1").alias("run_id"), "url", "page_id", F.lit("fetching").alias("status"), F.lit("w").alias("claimed_by"), now().alias("claim_expires_at"), none("string").alias("final_url"), none("int").alias("status_code"), none("timestamp").alias("fetched_at"), F.lit("old").alias("last_error"), none("timestamp").alias("next_retry_at"))
 
 
 _OUTCOME = "case page_id % 4 when 0 then 'fetched' when 1 then 'failed' when 2 then 'skipped' end"
 
 
-@query(f"select url, coalesce({_OUTCOME}, 'in_flight') status, case when page_id % 4 = 0 then url || '#f' end final_url, case when page_id % 4 = 0 then 200 end status_code, case page_id % 4 when 0 then null when 3 then 'old' else 'why' end last_error, case when page_id % 4 = 1 then '2024-01-10 00:00:00' end next_retry_at, case when page_id % 4 = 3 then 'w' end claimed_by from (select url, min(page_id) page_id from pages group by 1)")
+@query(f"select url, coalesce({_OUTCOME}, 'fetching') status, case when page_id % 4 = 0 then url || '#f' end final_url, case when page_id % 4 = 0 then 200 end status_code, case page_id % 4 when 0 then null when 3 then 'old' else 'why' end last_error, case when page_id % 4 = 1 then '2024-01-10 00:00:00' end next_retry_at, case when page_id % 4 = 3 then 'w' end claimed_by from (select url, min(page_id) page_id from pages group by 1)")
 def fetch_outcomes(spark, d):
     u = _urls(spark, d)
     out = u.filter("page_id % 4 < 3").select("run_id", "url", F.element_at(F.array(F.lit("fetched"), F.lit("failed"), F.lit("skipped")), (F.col("page_id") % 4 + 1).cast("int")).alias("outcome"), F.concat("url", F.lit("#f")).alias("final_url"), F.lit(200).alias("status_code"), F.lit("why").alias("error"), now().alias("next_retry_at"))
@@ -148,7 +148,7 @@ def pages_by_run(spark, d):
 @query("select page_url, attempt_count from (select doc_id::varchar page_url, 1 attempt_count, row_number() over (order by doc_id::varchar) n from labels) where n <= 25")
 def judgement_claims(spark, d):
     c = table(spark, d, "labels").select(F.lit("r1").alias("run_id"), F.col("doc_id").cast("string").alias("page_url"), F.lit("pending").alias("judge_status"), F.lit(None).cast("string").alias("claimed_by"), F.lit(None).cast("timestamp").alias("claim_expires_at"), F.lit(0).alias("attempt_count"))
-    return T.claim(c, F.lit("w1"), now(), 300, 25, status="judge_status", order=["page_url"]).filter("claimed_by = 'w1'").select("page_url", "attempt_count")
+    return T.claim(c, F.lit("w1"), now(), 300, 25, status="judge_status", order=["page_url"], key=["run_id", "page_url"]).filter("claimed_by = 'w1'").select("page_url", "attempt_count")
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then 'page not found' else 'found' end outcome from labels")
@@ -171,20 +171,20 @@ def pending_judgements(spark, d):
 
 def _classified(spark, d) -> DataFrame:
     label = F.when(F.col("toxic") == 1, "Contradictory").when(F.col("quality") == 0, "OffBrand")
-    return table(spark, d, "labels").select(F.lit("r1").alias("run_id"), F.col("doc_id").cast("string").alias("page_url"), F.lit("in_flight").alias("judge_status"), F.lit(1).alias("attempt_count"), label.alias("primary_label"), F.lit(0.5).alias("confidence"), F.lit("KEEP").alias("suggested_action"), F.lit(None).cast("string").alias("error"), "doc_id")
+    return table(spark, d, "labels").select(F.lit("r1").alias("run_id"), F.col("doc_id").cast("string").alias("page_url"), F.lit("judging").alias("judge_status"), F.lit(1).alias("attempt_count"), label.alias("primary_label"), F.lit(0.5).alias("confidence"), F.lit("KEEP").alias("suggested_action"), F.lit(None).cast("string").alias("error"), "doc_id")
 
 
 _LABEL = "case when toxic = 1 then 'Contradictory' when quality = 0 then 'OffBrand' end"
 
 
-@query(f"select doc_id, case when doc_id % 5 = 0 then 'failed_schema' else 'in_flight' end judge_status, case when doc_id % 5 = 0 then 'Unclear' else {_LABEL} end primary_label, case when doc_id % 5 = 0 then 0.0 else 0.5 end::double confidence, case when doc_id % 5 = 0 then 'MANUAL_REVIEW' else 'KEEP' end suggested_action, case when doc_id % 5 = 0 then 'bad' end error from labels")
+@query(f"select doc_id, case when doc_id % 5 = 0 then 'failed_schema' else 'judging' end judge_status, case when doc_id % 5 = 0 then 'Unclear' else {_LABEL} end primary_label, case when doc_id % 5 = 0 then 0.0 else 0.5 end::double confidence, case when doc_id % 5 = 0 then 'MANUAL_REVIEW' else 'KEEP' end suggested_action, case when doc_id % 5 = 0 then 'bad' end error from labels")
 def failed_judgements(spark, d):
     c = _classified(spark, d)
     bad = c.filter("doc_id % 5 = 0").select("run_id", "page_url", F.lit("failed_schema").alias("new_status"), F.lit("bad").alias("new_error"))
     return T.fail_classifications(c, bad).select("doc_id", "judge_status", "primary_label", "confidence", "suggested_action", "error")
 
 
-@query(f"select doc_id, case when doc_id % 5 = 0 then 'judged' else 'in_flight' end judge_status, case when doc_id % 5 = 0 then 'Stale' else {_LABEL} end primary_label, 1 attempt_count from labels")
+@query(f"select doc_id, case when doc_id % 5 = 0 then 'judged' else 'judging' end judge_status, case when doc_id % 5 = 0 then 'Stale' else {_LABEL} end primary_label, 1 attempt_count from labels")
 def completed_judgements(spark, d):
     c = _classified(spark, d)
     done = c.filter("doc_id % 5 = 0").select("run_id", "page_url", F.lit("Stale").alias("primary_label"), F.lit(7).alias("attempt_count"))

@@ -30,7 +30,7 @@ SCHEMA_VERSION = 1
 
 #: Key columns that a writer asserts to be unique.
 KEYS = {
-    "runs": ["id"], "urls": ["run_id", "url"], "url_aliases": ["alias_url"], "pages": ["url"], "links": ["from_url", "to_url"],
+    "runs": ["id"], "urls": ["url"], "url_aliases": ["alias_url"], "pages": ["url"], "links": ["from_url", "to_url"],
     "classifications": ["run_id", "page_url"], "embeddings": ["run_id", "page_url", "provider", "model"], "duplicates": ["run_id", "page_url_a", "page_url_b"], "reports": ["run_id", "format"],
 }
 
@@ -40,9 +40,11 @@ ACTIONS = ["REWRITE", "UPDATE", "DELETE", "MANUAL_REVIEW", "KEEP"]
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
 RUN_STATUSES = ["running", "paused_budget", "paused_user", "paused_provider_auth", "completed", "failed", "aborted"]
 ACTIVE_RUN_STATUSES = ["running", "paused_budget", "paused_user", "paused_provider_auth"]
-URL_STATUSES = ["pending", "in_flight", "fetched", "failed", "skipped", "robots_blocked"]
-JUDGE_STATUSES = ["pending", "in_flight", "judged", "failed", "failed_schema", "skipped"]
-EMBED_STATUSES = ["pending", "in_flight", "done", "failed"]
+URL_STATUSES = ["discovered", "claimed", "fetching", "fetched", "failed", "skipped"]
+JUDGE_STATUSES = ["pending", "claimed", "judging", "judged", "failed", "failed_schema"]
+EMBED_STATUSES = ["pending", "embedding", "done", "failed"]
+#: Of each status column of a queue: the value of an open row, and those of a row that a worker holds (the first from its claim on).
+QUEUES = {"status": ("discovered", ("claimed", "fetching")), "judge_status": ("pending", ("claimed", "judging"))}
 SEVERITIES = ["debug", "info", "warn", "error"]
 DISCOVERED_VIA = ["homepage", "seed", "sitemap_index", "bfs_link", "canonical_alias", "canonical_tag"]
 ALIAS_TYPES = ["http_redirect", "canonical_tag"]

@@ -107,12 +107,45 @@ def test_inserts_and_upserts(spark):
         T.assert_unique(runs.union(runs), "runs")
 
 
+def _queue(spark, rows):
+    t = spark.createDataFrame(rows, "url string, run_id string, depth int, status string, claimed_by string, attempt_count int, expires int, retry int")
+    at = lambda c: F.when(F.col(c).isNotNull(), now() + F.make_dt_interval(secs=F.col(c)))
+    return t.withColumn("claim_expires_at", at("expires")).withColumn("next_retry_at", at("retry")).withColumn("discovered_at", now()).drop("expires", "retry")
+
+
 def test_claims_and_recovery(spark):
-    rows = [("u1", "r", 1, "pending", None, 0), ("u2", "r", 0, "pending", None, 0), ("u3", "r", 0, "fetched", None, 0), ("u4", "r", 2, "failed", None, 1), ("u5", "s", 0, "in_flight", None, 1)]
-    table = spark.createDataFrame(rows, "url string, run_id string, depth int, status string, claimed_by string, attempt_count int").withColumn("claim_expires_at", F.when(F.col("url") == "u5", now() - F.expr("INTERVAL 1 SECOND"))).withColumn("next_retry_at", F.when(F.col("url") == "u4", now())).withColumn("discovered_at", now())
+    rows = [
+        ("u1", "r", 1, "discovered", None, 0, None, None), ("u2", "r", 0, "discovered", None, 0, None, None), ("u3", "r", 0, "fetched", None, 0, None, None), ("u4", "r", 2, "failed", None, 1, None, 0),
+        ("u5", "s", 0, "claimed", "x", 1, -1, None), ("u6", "s", 0, "fetching", "x", 1, 0, None), ("u7", "s", 0, "claimed", "x", 1, 1, None), ("u8", "s", 0, "claimed", "x", 1, None, None),
+        ("u9", "t", 0, "claimed", "x", 1, -9, None), ("u10", "t", 0, "failed", None, 1, None, 1), ("u11", "t", 0, "failed", None, 1, None, None), ("u12", None, 0, "discovered", None, 0, None, None), ("u13", "t", 0, None, None, 0, None, None),
+    ]
+    table = _queue(spark, rows)
     got = {r.url: (r.status, r.claimed_by, r.attempt_count) for r in T.claim(table, F.lit("w"), now(), 60, 2).collect()}
-    assert got == {"u1": ("in_flight", "w", 1), "u2": ("in_flight", "w", 1), "u3": ("fetched", None, 0), "u4": ("failed", None, 1), "u5": ("in_flight", None, 1)}
-    assert {r.url: r.status for r in T.recover_claims(table, now()).collect()}["u5"] == "pending"
+    kept = {r[0]: (r[3], r[4], r[5]) for r in rows}
+    assert got == kept | {"u1": ("claimed", "w", 1), "u2": ("claimed", "w", 1), "u12": ("claimed", "w", 1)}
+    third = {r.url: r.attempt_count for r in T.claims(table, F.lit("w"), now(), 60, 3).collect()}
+    assert third == {"u1": 1, "u2": 1, "u4": 2, "u12": 1}  # a retry is due at the very moment
+    open_ = lambda df: {r.url for r in df.filter("status = 'discovered'").collect()} - {"u1", "u2", "u12"}
+    assert open_(T.recover_claims(table, "s", now())) == {"u5", "u6"}  # so does a claim end
+    assert open_(T.recover_claims(table, None, now())) == {"u5", "u6", "u9"}
+    assert T.claim(table.limit(0), F.lit("w"), now(), 60).count() == 0
+    assert T.claim(table, F.lit("w"), now(), 60).columns == table.columns
+
+
+def test_a_claim_shuffles_no_whole_run(spark):
+    rows = [(f"u{i}", "r", i % 3, "discovered", None, 0, None, None) for i in range(3000)]
+    table = _queue(spark, rows).repartition(6)
+    held = T.claims(table, F.lit("w"), now(), 60, 5)
+    assert "WindowGroupLimit" in held._jdf.queryExecution().executedPlan().toString()
+    assert [r.url for r in held.orderBy("url").collect()] == sorted(sorted((r[0] for r in rows if r[2] == 0))[:5])
+
+
+def test_judgements_have_a_queue_of_their_own(spark):
+    rows = [("r", "p1", "pending", 0, None), ("r", "p2", "judging", 1, 0), ("r", "p3", "claimed", 1, 5), ("q", "p1", "judged", 1, None)]
+    t = spark.createDataFrame(rows, "run_id string, page_url string, judge_status string, attempt_count int, e int").withColumn("claimed_by", F.lit(None).cast("string")).withColumn("claim_expires_at", F.when(F.col("e").isNotNull(), now() + F.make_dt_interval(secs=F.col("e")))).drop("e")
+    again = T.recover_claims(t, "r", now(), "judge_status")
+    got = {(r.run_id, r.page_url): r.judge_status for r in T.claim(again, F.lit("w"), now(), 60, 9, "judge_status", ["page_url"], ["run_id", "page_url"]).collect()}
+    assert got == {("r", "p1"): "claimed", ("r", "p2"): "claimed", ("r", "p3"): "claimed", ("q", "p1"): "judged"}
 
 
 def test_run_status(spark):
