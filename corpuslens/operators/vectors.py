@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from .scan import running_average
 BLOCK = 1024
 #: Blocks that meet in one task, squared.
 GROUP = 16
+#: Share of a block pair's pairs below which they are followed one by one.
+FEW = 0.05
 DEFAULT_THRESHOLD = 0.92
 
 
@@ -24,23 +27,94 @@ def similar_pairs(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
 
     By the triangle inequality of angles, two vectors within the threshold's angle lie within that angle
     of each other as seen from any pivot, so a row meets only its own band of pivot angles and the next.
-    Bands are cut into blocks, and block pairs are multiplied, by groups of blocks a task.  Where the threshold is
-    low or the vectors lie all about, as random ones do, bands prune little and the work is that of all pairs.
-    Null, empty and zero vectors meet none.
+    Bands are cut into blocks, and blocks meet by groups of blocks a task.  Where vectors lie all about, as random ones
+    do, bands prune little; there the filter of ``near_in_blocks`` leaves few pairs to be compared in all their columns.
+    Null, empty and zero vectors meet none, nor do those with null or non-finite components.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    pairs, kind = _meetings(vectors, threshold, key, vector)
+
+    def multiply(batches):
+        for batch in batches:
+            for d, same, ids1, flat1, ids2, flat2 in zip(*batch.columns):
+                d, a, b = d.as_py(), ids1.values, ids2.values
+                i, j, near, _ = near_in_blocks(flat1.values.to_numpy().reshape(-1, d), flat2.values.to_numpy().reshape(-1, d), threshold, same.as_py())
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(near)], ["a", "b", "similarity"])
+
+    found = pairs.mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").filter("a < b")
+
+
+def compared_pairs(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, key: str = "url", vector: str = "vector") -> DataFrame:
+    """``(met, compared)``, one row: pairs whose blocks meet, and those of them compared in all their columns by ``similar_pairs``."""
+    pairs, _ = _meetings(vectors, threshold, key, vector)
+
+    def count(batches):
+        for batch in batches:
+            for d, same, _, flat1, _, flat2 in zip(*batch.columns):
+                x, y = (f.values.to_numpy().reshape(-1, d.as_py()) for f in (flat1, flat2))
+                met = len(x) * (len(x) - 1) // 2 if same.as_py() else len(x) * len(y)
+                yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([near_in_blocks(x, y, threshold, same.as_py())[3]])], ["met", "compared"])
+
+    return pairs.mapInArrow(count, "met long, compared long").agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+
+
+@lru_cache(8)
+def _rotation(d: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(d).standard_normal((d, d)))
+    return q * np.sign(np.diag(r))
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors under a fixed rotation, which changes no cosine; a row of length zero stays zero."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None] @ _rotation(x.shape[1])
+
+
+def near_in_blocks(x: np.ndarray, y: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs ``(i, j)`` of rows with a cosine of at least ``threshold``, the cosines, and how many pairs were compared in full.
+
+    Rows are ``turned``: unit vectors under a fixed rotation, so that any columns hold about their share of the length.
+    What the columns seen so far can still become is bounded by the product of the lengths of the rest (Cauchy and
+    Schwarz), so a pair whose bound stays below the threshold is left, and no other.  After an eighth, a quarter and a
+    half of the columns the survivors are counted; once they are few they alone are followed, else all are multiplied.
+    """
+    d, i, j = x.shape[1], None, None
+    for stop in sorted({max(d // 8, 1), d // 4, d // 2} - {0, d}):
+        # The lengths of the rest go along as one more column.
+        u, v = (np.concatenate([w[:, :stop], np.sqrt((w[:, stop:] ** 2).sum(1, keepdims=True))], 1) for w in (x, y))
+        if i is None:
+            may = u @ v.T >= threshold - 1e-9
+            if np.count_nonzero(may) <= FEW * may.size:
+                i, j = np.nonzero(np.triu(may, 1) if same else may)
+        else:
+            may = np.concatenate([np.zeros(0, bool), *((u[i[a : a + 65536]] * v[j[a : a + 65536]]).sum(1) >= threshold - 1e-9 for a in range(0, len(i), 65536))])
+            i, j = i[may], j[may]
+    if i is None:
+        near = x @ y.T
+        i, j = np.nonzero(np.triu(near >= threshold, 1) if same else near >= threshold)
+        return i, j, near[i, j], len(x) * (len(x) - 1) // 2 if same else near.size
+    near = np.concatenate([np.zeros(0), *((x[i[a : a + 65536]] * y[j[a : a + 65536]]).sum(1) for a in range(0, len(i), 65536))])
+    keep = near >= threshold
+    return i[keep], j[keep], near[keep], len(i)
+
+
+def _meetings(vectors: DataFrame, threshold: float, key: str, vector: str) -> tuple[DataFrame, str]:
+    """``(d, same, ids1, flat1, ids2, flat2)``: pairs of blocks that meet, and the type of ids."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     kind = rows.schema["id"].dataType.simpleString()
     width = max(math.acos(min(1.0, max(-1.0, threshold))), 1e-3) + 1e-6
 
     def banded(batches):
         for batch in batches:
-            bands = []
-            for v in batch.column(1):
-                x = v.values.to_numpy()
-                n = math.sqrt(float(x @ x))
-                pivot = np.cos(np.arange(len(x)) * 2.399963 + 0.5)
-                bands.append(int(math.acos(max(-1.0, min(1.0, float(x @ pivot) / (n * math.sqrt(float(pivot @ pivot)))))) / width) if n else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, pa.int32())], ["id", "v", "band"])
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                x = turned(batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(-1, d))
+                pivot = np.cos(np.arange(d) * 2.399963 + 0.5)
+                sound = (x * x).sum(1) > 0.5
+                bands = np.arccos(np.clip(x @ pivot / math.sqrt(float(pivot @ pivot)), -1, 1)) // width
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * d), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), v, pa.array(bands.astype(np.int32), mask=~sound)], ["id", "v", "band"])
 
     placed = materialize(rows.mapInArrow(banded, f"id {kind}, v array<double>, band int").filter("band is not null"), "banded")
     sizes = placed.groupBy("band", F.size("v").alias("d")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -59,26 +133,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, key:
     right = own.select("d", F.col("band").alias("b2"), F.col("group").alias("g2"), F.col("part").alias("p2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2")).join(meet, ["d", "b2", "g2"])
     pairs = left.join(right, ["d", "b2", "g2", "b1", "g1"]).filter("b2 > b1 or p2 >= p1").select("d", F.expr("b1 = b2 and p1 = p2").alias("same"), "ids1", "flat1", "ids2", "flat2")
 
-    def multiply(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = ([], [], [])
-            for d, same, ids1, flat1, ids2, flat2 in zip(*batch.columns):
-                d, a, b = d.as_py(), ids1.values, ids2.values
-                x, y = (f.values.to_numpy().reshape(-1, d) for f in (flat1, flat2))
-                s = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1)))
-                i, j = np.nonzero(s >= threshold)
-                if same.as_py():
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                out[0].extend(a.take(pa.array(i)).to_pylist())
-                out[1].extend(b.take(pa.array(j)).to_pylist())
-                out[2].extend(s[i, j].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], ids1.values.type), pa.array(out[1], ids1.values.type), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
-
-    found = pairs.mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").filter("a < b")
+    return pairs, kind
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

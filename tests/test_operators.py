@@ -254,3 +254,23 @@ def test_streams(spark, sf, tmp_path):
     assert got.count() == got.select("user_id").distinct().count() == table.select("user_id").distinct().count()
     E.keyed_sink(out, ["user_id"])(table, 0)
     assert spark.read.parquet(out).count() == table.select("user_id").distinct().count()
+
+
+def test_similar_pairs_lose_none_and_compare_few(spark):
+    rng = np.random.default_rng(3)
+    for d, t in ((3, 0.92), (16, 0.8), (64, 0.92), (64, 0.4)):
+        x = rng.standard_normal((400, d))
+        x[200:260] = x[:60] + rng.uniform(0.01, 0.5, (60, 1)) * rng.standard_normal((60, d))
+        x[300] = x[301]
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * d), (903, [float("nan")] * d), (904, [1.0, None]), (905, [1.0] * (d + 1)), (None, [1.0] * d)]
+        df = spark.createDataFrame(rows, "url long, vector array<double>")
+        u = x / np.sqrt((x * x).sum(1))[:, None]
+        near = u @ u.T
+        want = {(i, j): near[i, j] for i, j in zip(*np.nonzero(np.triu(near >= t, 1)))}
+        got = {(r.a, r.b): r.similarity for r in V.similar_pairs(df, t).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        stats = V.compared_pairs(df, t).first()
+        assert stats.compared >= 0 and stats.met <= 401 * 400
+        if d == 64 and t == 0.92:
+            assert stats.compared < 0.01 * stats.met
+    assert V.similar_pairs(df.limit(0)).count() == 0 and tuple(V.compared_pairs(df.limit(0)).first()) == (0, 0)
