@@ -101,3 +101,13 @@ def json_list(text: Column, kind: str = "array<string>") -> Column:
 def list_json(value: Column) -> Column:
     """An array as JSON; null becomes the empty one."""
     return F.when(value.isNull(), "[]").otherwise(F.to_json(value))
+
+
+def payload(text: Column) -> Column:
+    """A JSON text parsed once, as a variant; null where it is null or no JSON."""
+    return F.try_parse_json(text)
+
+
+def payload_field(value: Column, path: str, kind: str = "string") -> Column:
+    """The value at ``path`` of a ``payload`` as ``kind``; null where it is missing or cannot be such."""
+    return F.try_variant_get(value, path, kind)

@@ -216,6 +216,12 @@ def store_report(reports: DataFrame, run_id: str, fmt: str, content: bytes, now:
     return upsert(reports, new.select(*reports.columns), ["run_id", "format"], order=["rendered_at"])
 
 
+def store_reports(reports: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Renderings ``new(run_id, format, content)`` of any number of runs at once; where one repeats, the larger digest stays."""
+    rows = new.select("run_id", "format", now.alias("rendered_at"), F.sha2("content", 256).alias("sha256"), "content")
+    return upsert(reports, rows.select(*reports.columns), ["run_id", "format"], order=["rendered_at", "sha256"])
+
+
 def stored_report(reports: DataFrame, run_id: str, fmt: str) -> bytes | None:
     row = reports.filter((F.col("run_id") == run_id) & (F.col("format") == fmt)).select("content").first()
     return None if row is None else bytes(row.content)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import next_action
+from ..functions.text import html_safe_json
 from ..operators import crawl as C, judge as J, vectors as V
+from ..schemas import CONFIG_KEYS
 from ..session import materialize
 from . import report as R
 
@@ -40,8 +42,12 @@ def audit(corpus: DataFrame, site: str, prompts: list[str] = (), judge=J.rule_ju
 
 
 def config_snapshot(**settings) -> Column:
-    """Settings, given as columns by name, as one JSON object."""
-    return F.to_json(F.struct(*(c.alias(k) for k, c in settings.items())), {"ignoreNullFields": "false"})
+    """A scan's settings, columns by name, as one JSON object with its keys in order; any but those of a scan raise."""
+    if odd := set(settings) - set(CONFIG_KEYS):
+        raise ValueError(f"no settings of a scan: {sorted(odd)}")
+    text = html_safe_json(F.struct(*(settings.get(k, F.lit(None).cast("string")).alias(k) for k in sorted(CONFIG_KEYS))))
+    # A whole rate is written without a point.
+    return F.regexp_replace(text, r'("rate":-?\d+)\.0(?=[,}])', "$1")
 
 
 def label_counts(classifications: DataFrame, run_id: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import scan as N
+from ..functions import text as X
+from ..operators import scan as N, tables as B
 from ..session import scratch_path, settings
 from ..streaming import events as E, leases as L
 from .registry import query, table
@@ -80,3 +81,35 @@ def rate_limited_starts(spark, d):
 @query("select event_id, row_number() over (partition by event_type order by ts, event_id) - 1 place from events")
 def places_in_groups(spark, d):
     return N.with_place(table(spark, d, "events").select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"]).select("event_id", "place")
+
+
+_PAYLOAD = """case event_id % 6 when 0 then props when 1 then '{"k": "' || event_type || '", "deep": {"n": [' || event_id || ', {"x": ' || value || '}]}}' when 2 then '{"k": ' when 3 then null when 4 then '[1, 2]' else '{"k": null, "deep": 7}' end"""
+
+
+@query(f"""
+with p as (select event_id, {_PAYLOAD} j from events), v as (select event_id, case when json_valid(j) then j::json end j from p)
+select event_id, j is not null valid, try_cast(j->>'$.k' as bigint) k_long, j->>'$.k' k_text, try_cast(j->>'$.deep.n[0]' as bigint) n, round(try_cast(j->>'$.deep.n[1].x' as double), 6) x, try_cast(j->>'$[1]' as bigint) listed from v""")
+def json_payloads(spark, d):
+    raw = table(spark, d, "events").select("event_id", F.expr(_PAYLOAD).alias("raw"))
+    v = raw.select("event_id", X.payload(F.col("raw")).alias("v"))
+    of = lambda path, kind: X.payload_field(F.col("v"), path, kind)
+    return v.select("event_id", F.col("v").isNotNull().alias("valid"), of("$.k", "long").alias("k_long"), of("$.k", "string").alias("k_text"), of("$.deep.n[0]", "long").alias("n"), F.round(of("$.deep.n[1].x", "double"), 6).alias("x"), of("$[1]", "long").alias("listed"))
+
+
+@query("""
+with o as (select doc_id, 'r' || (doc_id % 3) run_id, 'old' said from labels where doc_id % 2 = 0),
+n as (select doc_id, 'r' || (doc_id % 3) run_id, 'new' said from labels where doc_id % 5 = 0),
+u as (select * from n union all select * from o where doc_id not in (select doc_id from n)),
+i as (select doc_id, 'r' || (doc_id % 3) run_id, 'late' said from labels where doc_id % 7 = 0 and doc_id not in (select doc_id from u))
+select * from u where run_id <> 'r2' and doc_id % 11 > 0 union all select * from i where run_id <> 'r2' and doc_id % 11 > 0""")
+def bucketed_table(spark, d):
+    path = scratch_path(spark, "bucketed")
+    rows = table(spark, d, "labels").select("doc_id", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("run_id"))
+    said = lambda cut, what: rows.filter(cut).withColumn("said", F.lit(what))
+    B.create(said("doc_id % 2 = 0", "old"), path, ["doc_id"], 16, "run_id")
+    for _ in range(2):  # a change that comes again changes nothing
+        B.upsert(spark, path, said("doc_id % 5 = 0", "new"))
+    B.insert(spark, path, said("doc_id % 7 = 0", "late"))
+    B.delete(spark, path, rows.filter("doc_id % 11 = 0"))
+    B.delete_run(spark, path, "r2")
+    return B.read(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scores as S, text as X
 from ..operators import judge as J, state as T, vectors as V
 from ..schemas import FINDING, RETRYABLE_STATUS
-from ..sources import sinks
+from ..sources import documents, sinks
 from ..streaming import events as E
 from . import audit as A, doctor as D, report as R
 from .registry import query, table
@@ -88,21 +88,25 @@ def resume_run(spark, d):
     return left.agg(F.lit("new" if found == "fresh" else "resumed").alias("how"), F.lit(found).alias("id"), F.count("*").alias("total"))
 
 
-@query(f"select id, epoch(date_trunc('second', coalesce(completed_at, started_at)))::bigint - epoch(date_trunc('second', started_at))::bigint as seconds, case when completed_at is null then '(never)' else strftime(completed_at, '%Y-%m-%d %H:%M:%S UTC (') || (case when s >= 3600 then (s // 3600) || 'h' else '' end) || (case when s >= 60 then (s % 3600 // 60) || 'm' else '' end) || (s % 60) || 's ago)' end ago from (select *, epoch({NOW_SQL})::bigint - floor(epoch(completed_at))::bigint s from {RUNS_SQL} where ts < {NOW_SQL} - interval 1 day)".replace("where ts <", "where started_at <"))
+@query(f"select id, epoch(date_trunc('second', coalesce(completed_at, started_at)))::bigint - epoch(date_trunc('second', started_at))::bigint as seconds, case when completed_at is null then '(never)' else strftime(completed_at, '%Y-%m-%d %H:%M:%S UTC (') || (case when s >= 3600 then (s // 3600) || 'h' else '' end) || (case when s >= 60 then (s % 3600 // 60) || 'm' else '' end) || (s % 60) || 's ago)' end ago from (select *, epoch(timestamp '2024-04-01 00:00:00')::bigint - floor(epoch(completed_at))::bigint s from {RUNS_SQL})")
 def run_durations(spark, d):
-    own = runs(spark, d).filter(F.col("started_at") < now() - F.expr("interval 1 day"))
-    return own.select("id", S.duration_seconds(F.col("started_at"), F.col("completed_at")).alias("seconds"), S.time_ago(F.col("completed_at"), now()).alias("ago"))
+    later = F.expr("timestamp '2024-04-01 00:00:00'")
+    return runs(spark, d).select("id", S.duration_seconds(F.col("started_at"), F.col("completed_at")).alias("seconds"), S.time_ago(F.col("completed_at"), later).alias("ago"))
 
 
-@query("select 1 = 1 whole, count(*) n from events")
+@query("select count(*) n, count(*) filter (ts < now()::timestamp) past, bool_and(epoch_us(date_trunc('second', now())) % 1000000 = 0) whole from events")
 def clock(spark, d):
-    whole = S.now_utc() == F.date_trunc("second", S.now_utc())
-    return table(spark, d, "events").agg(F.first(whole).alias("whole"), F.count("*").alias("n"))
+    e = table(spark, d, "events")
+    return e.agg(F.count("*").alias("n"), F.count_if(F.col("ts").cast("timestamp") < S.now_utc()).alias("past"), F.bool_and(F.unix_micros(S.now_utc()) % 1_000_000 == 0).alias("whole"))
 
 
-@query(f"""select id, json_object('id', id, 'site_url', site_url, 'dry_run', false, 'formats', ['json', 'md'])::varchar snapshot from {RUNS_SQL}""")
+@query(f"""select id, json_object('concurrency', 4, 'dry_run', status = 'aborted', 'emb_model', null, 'emb_provider', null, 'find_duplicates', true, 'formats', ['json', 'md'], 'judge_concurrency', length(id)::int, 'llm_model', 'm\\u003c' || site_url, 'llm_provider', 'rules', 'max_depth', 6, 'max_pages', 5000, 'output', 'out/' || id, 'prompts', prompts_sha256, 'rate', case when site_url = 's2' then '@' end, 'site', site_url)::varchar.replace('\\\\u', '\\u').replace('"rate":null', '"rate":2.5').replace('"rate":"@"', '"rate":2') snapshot from {RUNS_SQL}""")
 def config_snapshots(spark, d):
-    snap = A.config_snapshot(id=F.col("id"), site_url=F.col("site_url"), dry_run=F.lit(False), formats=F.array(F.lit("json"), F.lit("md")))
+    c = F.col
+    snap = A.config_snapshot(
+        site=c("site_url"), prompts=c("prompts_sha256"), output=F.concat(F.lit("out/"), "id"), formats=F.array(F.lit("json"), F.lit("md")), llm_provider=F.lit("rules"), llm_model=F.concat(F.lit("m<"), "site_url"),
+        max_pages=F.lit(5000), max_depth=F.lit(6), concurrency=F.lit(4), judge_concurrency=F.length("id"), rate=F.when(c("site_url") == "s2", 2.0).otherwise(2.5), dry_run=c("status") == "aborted", find_duplicates=F.lit(True),
+    )
     return runs(spark, d).select("id", snap.alias("snapshot"))
 
 
@@ -197,7 +201,7 @@ def terminal_label_counts(spark, d):
     return A.label_counts(c, "r1")
 
 
-@query("select event_id, case when event_id % 4 = 0 then 'failed_schema' when event_id % 4 = 1 then 'failed' else 'judged' end judge_status, case when event_id % 4 = 0 then 3 when event_id % 4 = 3 then 2 else 1 end attempts, case when event_id % 4 < 2 then 'Unclear' else 'Aligned' end primary_label from events where event_type = 'error'")
+@query("select event_id, case when event_id % 4 = 0 then 'failed_schema' when event_id % 4 = 1 then 'failed' else 'judged' end judge_status, case when event_id % 4 = 0 then 3 when event_id % 4 = 3 then 2 else 1 end attempts, case when event_id % 4 < 2 then 'Unclear' else 'Aligned' end primary_label from events")
 def judge_retries(spark, d):
     def ask(request: dict) -> dict:
         k = int(request["url"]) % 4
@@ -207,13 +211,13 @@ def judge_retries(spark, d):
             raise ValueError("no such answer")
         return {"primary_label": "Aligned", "confidence": 0.9, "suggested_action": "KEEP"}
 
-    pages = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("url"), F.lit("t").alias("title"), F.lit("b").alias("body_text"))
+    pages = table(spark, d, "events").select(F.col("event_id").cast("string").alias("url"), F.lit("t").alias("title"), F.lit("b").alias("body_text"))
     return J.judged(pages, ask).select(F.col("page_url").cast("long").alias("event_id"), "judge_status", "attempts", "primary_label")
 
 
-@query("select doc_id::varchar page_url, case when doc_id % 3 = 0 then 'Stale' else 'Aligned' end primary_label, case when doc_id % 3 = 2 then 'default' else 'table' end rationale from labels where doc_id % 7 = 0")
+@query("select doc_id::varchar page_url, case when doc_id % 3 = 0 then 'Stale' else 'Aligned' end primary_label, case when doc_id % 3 = 2 then 'default' else 'table' end rationale from labels")
 def canned_judgements(spark, d):
-    own = table(spark, d, "labels").filter("doc_id % 7 = 0")
+    own = table(spark, d, "labels")
     bad = {"kind": "stale_fact", "id": "f1", "severity": "low", "quoted_text": "", "location_hint": "", "issue": "", "suggested_fix": ""}
     stale = {"primary_label": "Stale", "confidence": 0.5, "suggested_action": "DELETE", "findings": [bad], "rationale": "table"}
     fine = {"primary_label": "Aligned", "confidence": 0.9, "suggested_action": "KEEP"}
@@ -222,9 +226,9 @@ def canned_judgements(spark, d):
     return J.judged(pages, answer).select("page_url", "primary_label", "rationale")
 
 
-@query("select doc_id, 'Thin' primary_label, 1.0::double confidence, 'DELETE' suggested_action, 'thin_content' kind, case when strlen(text) <= 100 then text else (select max(substr(text, 1, k)) from range(1, 101) t(k) where strlen(substr(text, 1, k)) <= 100) end quoted from (select *, len(list_filter(regexp_split_to_array(text, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')) w from documents where text is not null) where w < 50")
+@query("select doc_id, 'Thin' primary_label, 1.0::double confidence, 'DELETE' suggested_action, 'thin_content' kind, case when strlen(text) <= 100 then text else (select max(substr(text, 1, k)) from range(1, 101) t(k) where strlen(substr(text, 1, k)) <= 100) end quoted from (select *, len(list_filter(regexp_split_to_array(text, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')) w from (select doc_id, coalesce(text, '') as text from documents)) where w < 50")
 def thin_labels(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     pages = docs.select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("body_text"), X.word_count(F.col("text")).alias("word_count"), F.lit(False).alias("is_empty_shell"))
     return J.thin_judgements(pages).select(F.col("page_url").cast("long").alias("doc_id"), "primary_label", "confidence", "suggested_action", F.col("findings")[0]["kind"].alias("kind"), F.col("findings")[0]["quoted_text"].alias("quoted"))
 
@@ -284,9 +288,9 @@ def vector_upserts(spark, d):
     return T.upsert_embeddings(old, new).select("vec_id", "state", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
-@query("select vec_id from embeddings where vec_id % 2 = 0 and label is not null")
+@query("select vec_id from embeddings where vec_id % 2 = 0")
 def done_vectors(spark, d):
-    e = table(spark, d, "embeddings").filter("label is not null").select(F.lit("r1").alias("run_id"), F.col("vec_id").cast("string").alias("page_url"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 2 == 0, "done").otherwise("failed").alias("embed_status"), "vec_id")
+    e = table(spark, d, "embeddings").select(F.lit("r1").alias("run_id"), F.col("vec_id").cast("string").alias("page_url"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 2 == 0, "done").otherwise("failed").alias("embed_status"), "vec_id")
     return T.done_embeddings(e, "r1", "p", "m").select("vec_id")
 
 
@@ -429,24 +433,31 @@ def normalized_reports(spark, d):
     return runs(spark, d).select("id", sinks.normalized_column(text).alias("masked"))
 
 
-@query(f"select id, 'md' format, sha256(id || ' second') sha256 from (select id from {RUNS_SQL} order by id limit 5)")
+@query(f"select id, 'md' format, sha256(id || ' second') sha256 from {RUNS_SQL} union all select id, 'json', sha256('{{' || status || '}}') from {RUNS_SQL}")
 def stored_reports(spark, d):
-    ids = [r.id for r in runs(spark, d).orderBy("id").limit(5).collect()]
+    r = runs(spark, d)
+    text = lambda fmt, *parts: r.select(F.col("id").alias("run_id"), F.lit(fmt).alias("format"), F.encode(F.concat(*parts), "utf-8").alias("content"))
     out = spark.createDataFrame([], "run_id string, format string, rendered_at timestamp, sha256 string, content binary")
-    for i in ids:
-        out = T.store_report(T.store_report(out, i, "md", f"{i} first".encode(), now()), i, "md", f"{i} second".encode(), now())
+    out = T.store_reports(out, text("md", F.col("id"), F.lit(" first")).unionAll(text("json", F.lit("{"), F.col("status"), F.lit("}"))), now())
+    out = T.store_reports(out, text("md", F.col("id"), F.lit(" second")), now() + F.expr("interval 1 second"))
     return out.select(F.col("run_id").alias("id"), "format", "sha256")
 
 
-@query("select 'report.md' name, 10::bigint size union all select 'report.json', 6")
+_LANG_LINES = "(select '# Report' || chr(10) || string_agg('- ' || l || ': ' || n || chr(10), '' order by l) md, '{' || string_agg('\"' || l || '\":' || n, ',' order by l) || '}' || chr(10) json from (select coalesce(lang, '') l, count(*) n from documents group by 1))"
+
+
+@query(f"select 'report.md' name, strlen(md)::bigint size from {_LANG_LINES} union all select 'report.json', strlen(json) from {_LANG_LINES}")
 def reemitted_reports(spark, d):
     from ..session import scratch_path
 
+    # A line a language.
+    langs = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("l", "n"))).alias("x"))
+    lines = lambda f, sep: F.array_join(F.transform("x", f), sep)
+    md = F.concat(F.lit("# Report\n"), lines(lambda r: F.concat(F.lit("- "), r["l"], F.lit(": "), r["n"], F.lit("\n")), ""))
+    js = F.concat(F.lit("{"), lines(lambda r: F.concat(F.lit('"'), r["l"], F.lit('":'), r["n"]), ","), F.lit("}\n"))
+    new = langs.select(F.lit("r1").alias("run_id"), F.explode(F.map_from_arrays(F.array(F.lit("md"), F.lit("json")), F.array(md, js))).alias("format", "content")).withColumn("content", F.encode("content", "utf-8"))
     path = scratch_path(spark, "reemit")
-    store = spark.createDataFrame([], "run_id string, format string, rendered_at timestamp, sha256 string, content binary")
-    for name, data in (("md", b"# Report\n\n"), ("json", b"{}\n\n\n\n")):
-        store = T.store_report(store, "r1", name, data, now())
-    sinks.reemit(store, "r1", path)
+    sinks.reemit(T.store_reports(spark.createDataFrame([], "run_id string, format string, rendered_at timestamp, sha256 string, content binary"), new, now()), "r1", path)
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
@@ -508,20 +519,68 @@ def report_json_lines(spark, d):
     return spark.read.json(path).select("url", "primary_label")
 
 
-@query("select critical_failures, lines, versions from (select 0::bigint critical_failures, 5::bigint lines, 12::bigint versions)")
+_PROBED = ["documents", "pages", "labels", "events"]
+
+
+@query(" union all ".join(f"select 'tables/{t}' name, 'pass' status, count(*) || ' rows' detail, 0::bigint critical_failures, 12::bigint tables from {t}" for t in _PROBED))
 def environment(spark, d):
     from ..session import scratch_path
 
-    found = D.checks(spark, {"network/dns": lambda: "ok"})
-    tables = D.open_store(spark, scratch_path(spark, "store"))
-    return D.critical_failures(found).select("critical_failures", F.lit(D.check_lines(found).count()).alias("lines"), F.lit(len(tables)).cast("long").alias("versions"))
+    found = D.checks(spark, {f"tables/{t}": lambda t=t: f"{table(spark, d, t).count()} rows" for t in _PROBED})
+    made = D.open_store(spark, scratch_path(spark, "store"))
+    rows = found.filter("name like 'tables/%'").select("name", "status", "detail")
+    # One row, from an aggregate without keys.
+    return rows.join(F.broadcast(D.critical_failures(found)), how="cross").withColumn("tables", F.lit(len(made)).cast("long"))
 
 
-@query(f"select id, 'r10' = id and true known, (select count(*) from events where event_id // 10 = 1) n_events from {RUNS_SQL} where id = 'r10'")
+_MAP_SQL = "(select coalesce(string_agg(k || '=' || n, ',' order by k), '') from (select {0} k, count(*) n from {1} where {2} group by 1))"
+_URL_STATUS = ["discovered", "fetched", "failed", "skipped"]
+_JUDGE_STATUS = ["judged", "failed", "pending"]
+
+
+@query(f"""select id, status, 'raise_page_limit_and_resume' next_action, {_MAP_SQL.format(f"{_URL_STATUS}[1 + page_id % 4]", "(select url, min(page_id) page_id from pages group by 1)", "page_id % 3 > 0")} urls,
+ {_MAP_SQL.format(f"coalesce({_LABEL}, '')", "labels", "doc_id % 2 = 0 and doc_id % 3 < 2")} labels, {_MAP_SQL.format("event_type", "events", "event_id // 10 = 1")} events,
+ (select coalesce(sum(strlen(text)), 0)::bigint from conversations where conv_id % 2 = 0) input_tokens, (select count(*) from conversations where conv_id % 2 = 0) api_calls, (select count(*) from conversations where conv_id % 2 = 0 and turn > 0) retries
+ from {RUNS_SQL} where id = 'r10'""")
 def run_inspection(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("r"), (F.floor(F.col("event_id") / 10) * 10).cast("long")).alias("run_id"), "event_type")
-    urls = _urls(spark, d)
-    calls = spark.createDataFrame([], "run_id string, input_tokens long, cached_tokens long, output_tokens long, attempt_number int")
-    got = A.inspect(runs(spark, d), urls, _classified(spark, d), e, calls, "r10", now())
-    total = F.aggregate(F.map_values("events"), F.lit(0).cast("long"), lambda s, x: s + x)
-    return got.select("id", F.lit(True).alias("known"), total.alias("n_events"))
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    urls = _urls(spark, d).withColumn("run_id", F.when(F.col("page_id") % 3 > 0, "r10").otherwise("r1")).withColumn("status", pick(_URL_STATUS, F.col("page_id") % 4))
+    c = _classified(spark, d).withColumn("run_id", F.when(F.col("doc_id") % 2 == 0, "r10").otherwise("r1")).withColumn("judge_status", pick(_JUDGE_STATUS, F.col("doc_id") % 3))
+    calls = table(spark, d, "conversations").select(F.when(F.col("conv_id") % 2 == 0, "r10").otherwise("r1").alias("run_id"), F.octet_length("text").cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("cached_tokens"), F.lit(0).cast("long").alias("output_tokens"), (F.col("turn") + 1).alias("attempt_number"))
+    got = A.inspect(runs(spark, d), urls, c, e, calls, "r10", now())
+    said = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias(m)
+    return got.select("id", "status", "next_action", said("urls"), said("labels"), said("events"), "input_tokens", "api_calls", "retries")
+
+
+def _parts(folder: str, name: str) -> list[str]:
+    """The files of a document's section, in order."""
+    return [f"{folder}/{c['file']}" for c in documents.manifest(folder)["chunks"] if c.get("file", "").startswith(f"{name}/")]
+
+
+@query(f"select 'u' || page_id url, {_ENTRY_LABEL} primary_label, (page_id % 4)::varchar inbound, case when page_id % 6 = 0 then 'cl_' || (page_id % 4) else '' end cluster_id, (select count(*) from pages) n from pages")
+def csv_document(spark, d):
+    from ..session import scratch_path
+
+    folder = scratch_path(spark, "csv-document")
+    found = documents.csv_document(_entries(spark, d), folder)
+    got = spark.read.schema(", ".join(f"{c} string" for c in sinks.CSV_COLUMNS)).option("lineSep", "\r\n").option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").csv(_parts(folder, "pages"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return got.select("url", blank("primary_label"), F.col("inbound_internal_links").alias("inbound"), blank("duplicate_cluster_id").alias("cluster_id"), F.lit(found["rows"]).cast("long").alias("n"))
+
+
+@query(f"select 'u' || page_id url, case when page_id % 6 = 0 then 'cl_' || (page_id % 4) end cluster_id, (select count(*) from pages) + (select count(*) from labels where doc_id % 5 = 0) n from pages")
+def json_document(spark, d):
+    from ..session import scratch_path
+
+    folder = scratch_path(spark, "json-document")
+    c = _classified(spark, d)
+    bad = T.fail_classifications(c, c.filter("doc_id % 5 = 0").select("run_id", "page_url", F.lit("failed").alias("new_status"), F.lit("bad").alias("new_error")))
+    urls = table(spark, d, "pages").select(F.concat(F.lit("u"), "page_id").alias("url"), F.lit("fetched").alias("status"), F.lit(1).alias("attempt_count"), F.lit("").alias("last_error"))
+    clusters = spark.createDataFrame([], "cluster_id string, canonical_url string, member_urls array<string>, size long, avg_similarity double")
+    found = documents.json_document(_entries(spark, d), clusters, R.failures(urls, bad), {"run_id": "r1"}, folder)
+    # Pages as they stand in the parts: each begins at its own indent.
+    text = spark.read.option("lineSep", "\n    {\n").text(_parts(folder, "pages"))
+    field = lambda name, alias: F.regexp_extract("value", rf'"{name}": "([^"]*)"', 1).alias(alias)
+    got = text.filter("value like '%\"url\"%'").select(field("url", "url"), F.nullif(F.regexp_extract("value", r'"duplicate_cluster_id": "([^"]*)"', 1), F.lit("")).alias("cluster_id"))
+    return got.withColumn("n", F.lit(found["rows"]).cast("long"))

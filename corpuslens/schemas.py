@@ -48,6 +48,8 @@ QUEUES = {"status": ("discovered", ("claimed", "fetching")), "judge_status": ("p
 SEVERITIES = ["debug", "info", "warn", "error"]
 DISCOVERED_VIA = ["homepage", "seed", "sitemap_index", "bfs_link", "canonical_alias", "canonical_tag"]
 ALIAS_TYPES = ["http_redirect", "canonical_tag"]
+#: Settings of a scan that a run keeps.
+CONFIG_KEYS = ["site", "prompts", "output", "formats", "llm_provider", "llm_model", "emb_provider", "emb_model", "max_pages", "max_depth", "concurrency", "judge_concurrency", "rate", "dry_run", "find_duplicates"]
 EXIT_CODES = {"ok": 0, "failure": 1, "usage": 64, "data": 65, "no_input": 66, "unavailable": 69, "software": 70, "auth": 77, "config": 78}
 ERROR_EXIT_CODES = {"invalid_config": 65, "prompts_not_found": 66, "auth_failed": 77, "judge_unavailable": 69, "api_unavailable": 69, "model_missing": 78, "duplicate_run": 64, "schema_version": 70, "panicked": 70}
 RETRYABLE_STATUS = [408, 425, 429, 500, 502, 503, 504, 522, 524, 529]

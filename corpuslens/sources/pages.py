@@ -7,9 +7,13 @@ import io
 import time
 import urllib.error
 import urllib.request
+import zlib
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow.parquet as pq
+from pyarrow import fs as afs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.retry import Action, ExhaustedError, Retry, TokenBucket
 from ..schemas import RETRYABLE_STATUS
@@ -23,23 +27,18 @@ class _Host(InputPartition):
         self.urls = urls
 
 
-class _Reader(DataSourceReader):
+class _Bucket(InputPartition):
+    """Files of urls, of whose hosts one task takes the ``bucket``-th of ``buckets`` shares."""
+
+    def __init__(self, files: list[str], bucket: int, buckets: int):
+        self.files, self.bucket, self.buckets = files, bucket, buckets
+
+
+class _Fetcher:
     def __init__(self, options: dict):
-        self.urls = [u for u in options.get("urls", "").split() if u]
         self.rate, self.agent = float(options.get("rate", 2)), options.get("agent", AGENT)
         self.timeout, self.attempts = float(options.get("timeout", 30)), int(options.get("attempts", 5))
 
-    def partitions(self):
-        by_host: dict[str, list[str]] = {}
-        for u in self.urls:
-            by_host.setdefault(urlsplit(u).netloc.lower(), []).append(u)
-        return [_Host(v) for v in by_host.values()]
-
-    def read(self, partition):
-        bucket = TokenBucket(self.rate)
-        for url in partition.urls:
-            yield self.fetch(url, bucket)
-
     def fetch(self, url: str, bucket: TokenBucket) -> tuple:
         got: list[tuple] = []
 
@@ -69,8 +68,80 @@ class _Reader(DataSourceReader):
         return got[-1]
 
 
+class _Reader(_Fetcher, DataSourceReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.urls = [u for u in options.get("urls", "").split() if u]
+
+    def partitions(self):
+        by_host: dict[str, list[str]] = {}
+        for u in self.urls:
+            by_host.setdefault(host(u), []).append(u)
+        return [_Host(v) for v in by_host.values()]
+
+    def read(self, partition):
+        bucket = TokenBucket(self.rate)
+        for url in partition.urls:
+            yield self.fetch(url, bucket)
+
+
+def host(url: str) -> str:
+    return urlsplit(url).netloc.lower()
+
+
+class _StreamReader(_Fetcher, DataSourceStreamReader):
+    """Files of the url table in the order of their names; an offset is how many of them are done.
+
+    The driver lists names and reads no urls.  Each task reads the new files' urls and fetches those of its share of
+    hosts, so a host has one task, and one rate.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.table, self.buckets, self.column = options["table"].rstrip("/"), int(options.get("buckets", 8)), options.get("column", "url")
+
+    def _files(self) -> list[str]:
+        system, base = _place(self.table)
+        found = system.get_file_info(afs.FileSelector(base, allow_not_found=True))
+        return sorted(i.base_name for i in found if i.type == afs.FileType.File and not i.base_name.startswith((".", "_")))
+
+    def initialOffset(self) -> dict:
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(self._files())}
+
+    def partitions(self, start: dict, end: dict) -> list[_Bucket]:
+        files = self._files()[start["files"] : end["files"]]
+        return [_Bucket(files, b, self.buckets) for b in range(self.buckets)] if files else []
+
+    def urls(self, partition: _Bucket) -> Iterator[str]:
+        system, base = _place(self.table)
+        for name in partition.files:
+            with system.open_input_file(f"{base}/{name}") as f:
+                for batch in pq.ParquetFile(f).iter_batches(columns=[self.column]):
+                    for url in batch.column(0).to_pylist():
+                        if url and zlib.crc32(host(url).encode()) % partition.buckets == partition.bucket:
+                            yield url
+
+    def read(self, partition: _Bucket):
+        limits: dict[str, TokenBucket] = {}
+        for url in self.urls(partition):
+            yield self.fetch(url, limits.setdefault(host(url), TokenBucket(self.rate)))
+
+
+def _place(path: str) -> tuple[afs.FileSystem, str]:
+    return afs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (afs.LocalFileSystem(), path)
+
+
 class PageSource(DataSource):
-    """``spark.dataSource.register(PageSource)``, then ``spark.read.format("audit_pages").option("urls", ...)``; urls are parted by white space."""
+    """``spark.dataSource.register(PageSource)``, then ``spark.read.format("audit_pages").option("urls", ...)`` for a few urls,
+    parted by white space.
+
+    ``spark.readStream`` takes the option ``table``, a folder of Parquet files with a column of urls (``column``), to which
+    files are added under names that sort after those there.  Its offsets are in the stream's checkpoint: what is stopped
+    goes on with the files that no batch has ended, and a sink of the same checkpoint has each row of a file once.
+    """
 
     @classmethod
     def name(cls):
@@ -81,3 +152,6 @@ class PageSource(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+    def streamReader(self, schema):
+        return _StreamReader(self.options)

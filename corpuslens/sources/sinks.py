@@ -123,6 +123,17 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small file of any file system that Spark knows, also one whose name Spark's readers pass over."""
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    f = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(source)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(f, "utf-8")
+    finally:
+        f.close()
+
+
 def write_files(report: dict, folder: str, formats: list[str] = FORMATS, top: int = 0, spark: SparkSession | None = None) -> dict[str, str]:
     """Writes the wanted formats of a report that fits the driver, each with a sidecar of its digest; returns the digests.
 
