@@ -10,6 +10,7 @@ separator, then white space is collapsed.
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
@@ -190,6 +191,79 @@ def extract(page: str, url: str) -> tuple:
     return collapse(body), title, description.strip(), canonical, modified.strip(), published.strip(), links
 
 
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
+#: Elements whose content holds no tags.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
+
+
+def _tags(page: str):
+    """``(name, attributes)`` of start tags outside of comments and raw text; what isn't closed ends the scan, so it takes linear time."""
+    at = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            if (end := page.find("-->", at + 4)) < 0:
+                return
+            at = end + 3
+            continue
+        m = _TAG.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        end = m.end()
+        while (stop := _STOP.search(page, end)) is not None and stop[0] != ">":
+            end = page.find(stop[0], stop.end()) + 1
+            if not end:
+                return
+        if stop is None:
+            return
+        name, at = m[2].lower(), stop.end()
+        if not m[1]:
+            yield name, page[m.end() : stop.start()]
+            if name in _RAW:
+                close = _RAW[name].search(page, at)
+                if close is None:
+                    return
+                at = close.start()
+
+
+def page_targets(page: str, url: str) -> list[str]:
+    """Where a page links to, each once: the ``to_url`` of ``extract``'s links, by one scan of its tags and no tree."""
+    base, hrefs = None, []
+    for name, attributes in _tags(page):
+        if name not in ("a", "base"):
+            continue
+        # The first of several counts.
+        href = unescape(next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "href"), ""))
+        if name == "base":
+            base = base or href
+        elif href and not href.startswith(SKIPPED):
+            hrefs.append(href)
+    try:
+        root = urljoin(url, base) if base else url
+        urlsplit(root)
+    except ValueError:
+        root = url
+    out = {}
+    for href in hrefs:
+        try:
+            out[urldefrag(urljoin(root, href)).url] = None
+        except ValueError:
+            continue
+    return list(out)
+
+
+def linked_urls(html: Column, url: Column) -> Column:
+    """An array of ``page_targets``; null HTML counts as empty."""
+
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series, urls: pd.Series) -> pd.Series:
+        return pd.Series([page_targets(p, u) for p, u in zip(pages, urls)], dtype=object)
+
+    return run(F.coalesce(html, F.lit("")), F.coalesce(url, F.lit("")))
+
+
 def _frame(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
     names = ["body_text", "title", "meta_description", "canonical_url", "last_modified", "published_date", "links"]
     return pd.DataFrame([extract(p, u) for p, u in zip(pages, urls)], columns=names)

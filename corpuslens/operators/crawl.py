@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.html import extracted
+from ..functions.html import extracted, linked_urls
 from ..functions.text import is_html, is_thin, word_count
 from ..functions.urls import admitted_path, canonicalize, is_absolute, same_host
 from ..session import materialize
@@ -34,8 +34,8 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """``(from_url, to_url)`` of ``pages(url, html)``, distinct, with canonical ends."""
-    links = pages.select("url", F.explode(extracted(F.col("html"), F.col("url"))["links"]).alias("l"))
-    return links.select(canonicalize(F.col("url")).alias("from_url"), canonicalize(F.col("l.to_url")).alias("to_url")).filter("from_url is not null and to_url is not null").distinct()
+    links = pages.select("url", F.explode(linked_urls(F.col("html"), F.col("url"))).alias("to"))
+    return links.select(canonicalize(F.col("url")).alias("from_url"), canonicalize(F.col("to")).alias("to_url")).filter("from_url is not null and to_url is not null").distinct()
 
 
 def inbound_counts(edges: DataFrame, fetched: DataFrame | None = None) -> DataFrame:

@@ -130,6 +130,17 @@ def page_metadata(spark, d):
     return C.extract_pages(table(spark, d, "pages")).select("url", "title", "meta_description", "canonical_url", "last_modified", "published_date", "is_empty_shell", "body_size_bytes")
 
 
+_MARKED = "regexp_replace(html, '<head>', '<head><meta name=\"description\" content=\" about ' || page_id || ' \"><link rel=\"canonical\" href=\"https://c.example/' || page_id || '\"><meta property=\"article:modified_time\" content=\"2024-01-0' || (page_id % 9 + 1) || '\"><meta name=\"last-modified\" content=\"never\">')"
+
+
+@query("""select page_id, case when h then 'about ' || page_id else '' end meta_description, case when h then 'https://c.example/' || page_id else '' end canonical_url, case when h then '2024-01-0' || (page_id % 9 + 1) else '' end last_modified, case when page_id % 2 = 0 then '2023-05-0' || (page_id % 9 + 1) else '' end published_date
+ from (select page_id, contains(html, '<head>') h from pages)""")
+def tagged_metadata(spark, d):
+    """Pages given tags in their head, and every other one a dated time in its first lines."""
+    p = table(spark, d, "pages").withColumn("html", F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<time datetime="2023-05-0'), (F.col("page_id") % 9 + 1).cast("string"), F.lit('">then</time>'))).otherwise(""), F.expr(_MARKED)))
+    return C.extract_pages(p, keep=["page_id"]).select("page_id", "meta_description", "canonical_url", "last_modified", "published_date")
+
+
 @query(f"""with recursive e as materialized (select * from {EDGES_SQL} where not regexp_matches(regexp_extract(to_url, '^[^:]+://[^/?#]*([^?#]*)', 1), '{"|".join(U.DEFAULT_EXCLUDES).replace("'", "''")}')), known as (select distinct {CANONICAL_SQL} url from {PARTS_SQL}),
  site as (select {CANONICAL_SQL} url from {PARTS_SQL} order by page_id limit 1), r(url, depth) as (select url, 0 from site union select e.to_url, r.depth + 1 from r join e on e.from_url = r.url where r.depth < 6), m as (select url, min(depth) depth from r group by 1),
  s as (select m.url, min(e.from_url) source from m join e on e.to_url = m.url join m f on f.url = e.from_url and f.depth = m.depth - 1 group by 1)

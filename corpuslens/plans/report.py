@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.scores import priority, rfc3339, sort_findings, sort_labels
-from ..schemas import EDIT_PLAN, FINDING, PAGE_SUMMARY
+from ..schemas import ACTIONS, EDIT_PLAN, FINDING, LABELS, PAGE_SUMMARY
 
 ENTRY_DEFAULTS = {"primary_label": "string", "secondary_labels": "array<string>", "confidence": "double", "affected_prompts": "array<string>", "suggested_action": "string", "page_summary": PAGE_SUMMARY, "findings": f"array<{FINDING}>", "edit_plan": EDIT_PLAN, "rationale": "string", "judge_status": "string", "attempt_count": "int", "input_tokens": "long", "cache_hit_tokens": "long", "output_tokens": "long", "latency_ms": "long", "judged_at": "timestamp"}
 
@@ -20,7 +20,8 @@ def max_inbound(inbound: DataFrame) -> DataFrame:
 def page_entries(pages: DataFrame, classifications: DataFrame, inbound: DataFrame, members: DataFrame) -> DataFrame:
     """A row for each of ``pages(url, title, word_count, ...)``, in no order.
 
-    ``inbound(to_url, inbound)``, ``members(member, cluster_id)``.  A page without a judgement has empty label and
+    ``inbound(to_url, inbound)``, ``members(member, cluster_id)``; where members have their ``root``, entries tell a cluster's
+    one ``cluster_head``.  A page without a judgement has empty label and
     action, confidence 0, no secondary labels, and null findings and prompts.
     """
     c = classifications
@@ -28,10 +29,11 @@ def page_entries(pages: DataFrame, classifications: DataFrame, inbound: DataFram
         if name not in c.columns:
             c = c.withColumn(name, F.lit(None).cast(kind))
     c = c.select(F.col("page_url").alias("url"), *ENTRY_DEFAULTS)
+    heads = [(F.col("member") == F.col("root")).alias("cluster_head")] if "root" in members.columns else []
     joined = (
         pages.join(c, "url", "left")
         .join(inbound.select(F.col("to_url").alias("url"), "inbound"), "url", "left")
-        .join(members.select(F.col("member").alias("url"), "cluster_id"), "url", "left")
+        .join(members.select(F.col("member").alias("url"), "cluster_id", *heads), "url", "left")
         # One row, from an aggregate without keys.
         .join(F.broadcast(max_inbound(inbound)))
     )
@@ -44,6 +46,7 @@ def page_entries(pages: DataFrame, classifications: DataFrame, inbound: DataFram
         F.coalesce("suggested_action", F.lit("")).alias("suggested_action"), priority(F.coalesce("primary_label", F.lit("")), confidence, count, F.col("max_inbound")).alias("priority"),
         F.array_sort("affected_prompts").alias("affected_prompts"), "page_summary", sort_findings(F.col("findings")).alias("findings"), "edit_plan", "rationale",
         count.alias("inbound"), "cluster_id", "judge_status", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("attempt_count", "input_tokens", "cache_hit_tokens", "output_tokens", "latency_ms")), "judged_at",
+        *([F.coalesce("cluster_head", F.lit(False)).alias("cluster_head")] if heads else []),
     )
 
 
@@ -68,6 +71,31 @@ def counters(entries: DataFrame, column: str) -> DataFrame:
     return entries.filter(F.col(column) != "").groupBy(column).agg(F.count("*").alias("count"))
 
 
+def observed(entries: DataFrame) -> tuple[DataFrame, Observation]:
+    """``entries`` that count themselves while they are written, and the counts, which the first action fills: those of
+    ``summary`` and of ``counters``, without a pass of their own.  Entries need ``cluster_head``."""
+    label, action = F.col("primary_label"), F.col("suggested_action")
+    counts = [
+        F.count(F.lit(1)).alias("pages_total"),
+        F.count_if(F.col("judge_status") == "judged").alias("pages_judged"),
+        F.count_if(F.col("judge_status").isin("failed", "failed_schema")).alias("pages_failed"),
+        F.count_if(label == "Unclear").alias("pages_unclear"),
+        F.count_if(F.col("cluster_id").isNotNull()).alias("pages_with_duplicates"),
+        F.count_if("cluster_head").alias("duplicate_clusters_count"),
+        *(F.count_if(label == x).alias(f"label {x}") for x in LABELS),
+        *(F.count_if(action == x).alias(f"action {x}") for x in ACTIONS),
+    ]
+    seen = Observation()
+    return entries.observe(seen, *counts), seen
+
+
+def observed_summary(seen: Observation) -> dict:
+    """The summary of a report from what a write has ``observed``; labels and actions without pages are left out."""
+    out = {k: v for k, v in seen.get.items() if " " not in k}
+    part = lambda kind: {k.partition(" ")[2]: v for k, v in sorted(seen.get.items()) if k.startswith(f"{kind} ") and v}
+    return out | {"by_label": part("label"), "by_action": part("action")}
+
+
 def failures(urls: DataFrame, classifications: DataFrame) -> DataFrame:
     """``(phase, url, attempts, last_error)`` of failed fetches and judgements, ordered."""
     fetch = urls.filter(F.col("status") == "failed").select(F.lit("crawl").alias("phase"), "url", F.col("attempt_count").alias("attempts"), "last_error")

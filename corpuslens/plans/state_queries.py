@@ -584,3 +584,21 @@ def json_document(spark, d):
     field = lambda name, alias: F.regexp_extract("value", rf'"{name}": "([^"]*)"', 1).alias(alias)
     got = text.filter("value like '%\"url\"%'").select(field("url", "url"), F.nullif(F.regexp_extract("value", r'"duplicate_cluster_id": "([^"]*)"', 1), F.lit("")).alias("cluster_id"))
     return got.withColumn("n", F.lit(found["rows"]).cast("long"))
+
+
+@query(f"""with e as (select page_id, {_ENTRY_LABEL} l from pages)
+select count(*) pages_total, count(*) filter (page_id % 5 > 0 and page_id % 3 < 2) pages_judged, count(*) filter (page_id % 5 > 0 and page_id % 3 = 2) pages_failed, count(*) filter (l = 'Unclear') pages_unclear, count(*) filter (page_id % 6 = 0) pages_with_duplicates, count(distinct page_id % 4) filter (page_id % 6 = 0) duplicate_clusters_count,
+ (select coalesce(string_agg(l || '=' || n, ',' order by l), '') from (select l, count(*) n from e where l <> '' group by 1)) by_label, (select 'UPDATE=' || count(*) from e where page_id % 5 > 0) by_action from e""")
+def observed_counters(spark, d):
+    from ..session import scratch_path
+
+    page = table(spark, d, "pages").select("page_id", F.concat(F.lit("u"), "page_id").alias("url"))
+    first = page.filter("page_id % 6 = 0").groupBy((F.col("page_id") % 4).alias("k")).agg(F.min_by("url", "page_id").alias("root"))
+    head = F.broadcast(first.select("root").withColumn("cluster_head", F.lit(True)))  # four rows at most
+    seen = _entries(spark, d).join(head, F.col("url") == F.col("root"), "left").drop("root").withColumn("cluster_head", F.coalesce("cluster_head", F.lit(False)))
+    rows, counted = R.observed(seen)
+    sinks.write_json_lines(rows.select("url", "primary_label"), scratch_path(spark, "observed"))
+    said = R.observed_summary(counted)
+    listed = lambda m: ",".join(f"{k}={v}" for k, v in sorted(m.items()))
+    kinds = ", ".join(f"{k} {'string' if k.startswith('by_') else 'long'}" for k in said)
+    return spark.createDataFrame([tuple(listed(v) if isinstance(v, dict) else v for v in said.values())], kinds)

@@ -226,3 +226,18 @@ def crawl_aliases(spark, d):
 @query(f"""with s as (select k, {_STATE} s from (select distinct page_id k from pages)) select count(*) pages, count(distinct url) urls from (select '{SITE}/p' || k url from s where s = 'fetched')""")
 def fetched_pages(spark, d):
     return _mixed(spark, d)["pages"].agg(F.count("*").alias("pages"), F.countDistinct("url").alias("urls"))
+
+
+@query("select url || case when instr(url, '?') > 0 then '&' else '?' end || 'p=' || page_id loc, '2024-01-0' || (page_id % 9 + 1) lastmod, (select count(*) from pages) n from pages where page_id % 10 > 0")
+def sitemap_files(spark, d):
+    from ..session import scratch_path
+
+    # Files of entries as Spark's text sink writes them; every tenth entry has no location.
+    path = scratch_path(spark, "sitemaps")
+    loc = F.concat("url", F.when(F.instr("url", "?") > 0, "&").otherwise("?"), F.lit("p="), F.col("page_id").cast("string"))
+    safe = F.replace(F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit("<url><image:image><image:loc>other</image:loc></image:image><loc>\n "), F.when(F.col("page_id") % 10 > 0, safe).otherwise(""), F.lit(" </loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod></url>"))
+    pages = table(spark, d, "pages")
+    pages.select(entry.alias("value")).write.text(path)
+    got = B.sitemap_files(spark, path)
+    return got.select("loc", "lastmod").withColumn("n", F.lit(pages.count()))

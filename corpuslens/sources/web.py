@@ -8,8 +8,9 @@ import re
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pandas as pd
+import pyarrow as pa
 import yaml
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.urls import decoded_path, path as url_path, same_host
 from ..session import materialize
@@ -48,6 +49,28 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     return documents.select("source", "xml").mapInPandas(run, "source string, loc string, lastmod string, is_index boolean")
 
 
+def sitemap_files(spark: SparkSession, path: str, index: bool = False) -> DataFrame:
+    """``(source, loc, lastmod, is_index)`` of sitemap files (or, with ``index``, files of indexes) of any size.
+
+    A file is split between tasks and cut at its entries' closing tags, so no task holds a file.  An entry that is broken is
+    left out and those around it stay; the last counts where its location is whole, though the file ends before its tag.
+    """
+    tag = "sitemap" if index else "url"
+    opening, prefix = re.compile(rf"<{tag}(?:\s[^>]*)?>"), re.compile(r"<(/?)[\w.-]+:(?=[\w.-]+)")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for source, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = opening.split(piece)
+                if len(parts) > 1:
+                    out += [(source, *e) for e in parse_sitemap(prefix.sub(r"<\1", f"<x><{tag}>{parts[-1]}</{tag}></x>"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 4, (pa.string(), pa.string(), pa.string(), pa.bool_()))], ["source", "loc", "lastmod", "is_index"])
+
+    pieces = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    return pieces.mapInArrow(run, "source string, loc string, lastmod string, is_index boolean")
+
+
 def expand_sitemaps(documents: DataFrame, roots: list[str]) -> DataFrame:
     """Pages that ``roots`` list, directly or through indexes up to ``MAX_INDEX_DEPTH`` deep; ``documents`` stands for the web."""
     spark = documents.sparkSession
