@@ -40,7 +40,6 @@ MAX_LABELLED = 2_000
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|([^<]++|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _STYLE_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_NO_STRINGS = re.compile(r"\"[^\"]*\"|'[^']*'")
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is text up to their own closing tag.
@@ -61,6 +60,7 @@ PRIOR |= dict.fromkeys("<nav> <aside> <footer> <form> <dialog> <menu>".split(),
 PRIOR |= dict.fromkeys("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split(), -6.0)
 PRIOR |= dict.fromkeys("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe signup sidebar nav navbar menu breadcrumb breadcrumbs comment comments reply replies social share sharing related recommended pagination pager login widget".split(), -6.0)
 PRIOR |= dict.fromkeys("header footer masthead notice notices copyright legal disclaimer rail".split(), -2.5)
+READERS = frozenset("comment comments reply replies".split())
 #: Words that only say how or where an element is laid out: a mark counts beside these, but not as part of a phrase.
 LAYOUT = frozenset("list area section box slot wrapper wrap container inner outer block bar item items links link buttons button posts post articles panel top bottom left right side main page site global primary secondary first last row col column group holder unit text title form notice banner widget nav".split())
 #: Words that a prior counts as.
@@ -93,16 +93,20 @@ def _markup(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     marks = (f"<{tag}>",) if tag in NAMED else ()
     if not attrs:
         return marks, False
-    hidden = "hidden" in (x.lower() for x in _NO_STRINGS.sub(" ", attrs).replace("=", " = ").split() if "=" not in x)
+    # An attribute hides with any value or none; the value of another that reads so doesn't.
+    hidden = "hidden" in re.split(r"[\s/]+", _ATTRIBUTE.sub(" ", attrs).lower())
     for name, x, y, z in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), (x or y or z).lower()
-        if name == "style":
+        if name == "hidden":
+            hidden = True
+        elif name == "style":
             hidden = hidden or _STYLE_HIDDEN.search(value) is not None
         elif name == "aria-hidden":
             hidden = hidden or value.strip() == "true"
-        elif name in ("class", "id", "role") and tag in MARKED and tag not in CONTENT:
+        elif name in ("class", "id", "role") and tag in MARKED:
             for one in value.split():
-                marks += _phrase_marks(one)
+                # A content element's own classes are the site's, but for those of readers' comments.
+                marks += _phrase_marks(one) if tag not in CONTENT else tuple(w for w in _phrase_marks(one) if w in READERS)
     return marks, hidden
 
 
@@ -111,6 +115,7 @@ def _parse(page: str) -> tuple[list[tuple], list[_Element]]:
     root = _Element("", None, (), False)
     elements, stack = [root], [root]
     out: list[tuple] = []
+    open_: set[str] = set()
     block, at, end = 0, 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -150,7 +155,10 @@ def _parse(page: str) -> tuple[list[tuple], list[_Element]]:
             continue
         if name in RAW:
             # What it holds is dropped whole.
-            stop = _closing(name).search(page, at)
+            stop = None if name in open_ else _closing(name).search(page, at)
+            if stop is None:
+                # None follows for any later one either, so it is looked for once.
+                open_.add(name)
             if stop is not None:
                 at = (page.find(">", stop.end()) + 1) or end
             elif name in ("script", "style"):

@@ -119,3 +119,23 @@ def test_null_rows_and_clashing_columns(spark):
     got = X.extract_report(df)
     assert sorted((r.page_id or -1, r.text) for r in got.collect()) == [(-1, ""), (1, ""), (1, PAGES["plain"][1])]
     assert X.extract_report(df.limit(0)).count() == 0
+
+
+def test_unclosed_raw_elements_take_linear_time():
+    import time
+
+    for name in ("select", "title", "textarea", "svg"):
+        began = time.time()
+        X.main_text(f"<{name}>x" * 100_000, X.DEFAULT)
+        assert time.time() - began < 8
+
+
+def test_values_that_read_hidden_hide_nothing():
+    page = "<article><p title=hidden>first words</p><p data-x='hidden'>second words</p><p hidden>gone</p><p HIDDEN=''>gone</p><p hidden=until-found>gone</p><p class=hidden>third words</p></article>"
+    assert X.main_text(page, X.DEFAULT) == "first words\nsecond words\nthird words"
+
+
+def test_comments_of_readers_are_no_content():
+    page = "<main><article class='post comment-count'><p>" + "the article has words of its own " * 8 + "</p></article><section><article class='comment'><p>" + "i think that this is wrong " * 9 + "</p></article><article id=reply-7><p>so do i and i say so</p></article></section></main>"
+    got = X.main_text(page, X.DEFAULT)
+    assert got.startswith("the article has words") and "i think" not in got and "so do i" not in got
