@@ -184,12 +184,63 @@ def fake_embedding(text: str, dims: int = 8) -> list[float]:
     return (out / np.float32(math.sqrt(float(total)))).tolist() if total else out.tolist()
 
 
+_FNV_START, _FNV_PRIME = 14695981039346656037, 1099511628211
+#: The sine of every number that a hash may leave.
+_SINES = np.array([math.sin(float(i)) for i in range(1000)], np.float32)
+#: Texts left at a byte's place from which they are hashed one by one.
+_ONE_BY_ONE = 8
+
+
+def fake_embeddings(texts: list[str], dims: int = 8) -> np.ndarray:
+    """``fake_embedding`` of many texts at once: hashes of all texts and dimensions go on together, a byte's place at a time."""
+    raw = [t.encode() for t in texts]
+    order = sorted(range(len(raw)), key=lambda i: -len(raw[i]))
+    sizes = np.array([len(raw[i]) for i in order], np.int64)
+    flat = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
+    firsts = np.cumsum(sizes) - sizes
+    h = np.full((len(raw), dims), _FNV_START, np.uint64)
+    h = (h ^ np.arange(dims, dtype=np.uint64)) * np.uint64(_FNV_PRIME)
+    at, left = 0, len(raw)
+    while True:
+        # Texts come by length, so those that go on are the first ones.
+        left = int(np.searchsorted(-sizes[:left], -at, "left"))
+        if left < _ONE_BY_ONE:
+            break
+        h[:left] = (h[:left] ^ flat[firsts[:left] + at][:, None].astype(np.uint64)) * np.uint64(_FNV_PRIME)
+        at += 1
+    for k in range(left):
+        rest = raw[order[k]][at:]
+        for d in range(dims):
+            x = int(h[k, d])
+            for b in rest:
+                x = ((x ^ b) * _FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+            h[k, d] = x
+    out = np.empty((len(raw), dims), np.float32)
+    out[order] = _SINES[(h % np.uint64(1000)).astype(np.int64)]
+    total = np.zeros(len(raw), np.float32)
+    for d in range(dims):
+        total = total + out[:, d] * out[:, d]
+    length = np.sqrt(total.astype(np.float64)).astype(np.float32)
+    return out / np.where(total > 0, length, np.float32(1))[:, None]
+
+
+fake_embedding.batch = fake_embeddings
+
+
 def embedded(pages: DataFrame, embed=fake_embedding, key: str = "url", text: str = "body_text") -> DataFrame:
-    """``(url, vector)`` by any function of a text; one call a row, in Arrow batches."""
+    """``(url, vector)`` by any function of a text, in Arrow batches: its attribute ``batch``, a function of a list of texts
+    to a matrix, is called once a batch if it has one, else the function once a row."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([embed(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.float32()))], ["url", "vector"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if many := getattr(embed, "batch", None):
+                x = np.ascontiguousarray(many(texts), np.float32)
+                n, d = x.shape
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(x.ravel()))
+            else:
+                vectors = pa.array([embed(t) for t in texts], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["url", "vector"])
 
     return pages.select(F.col(key).alias("url"), F.col(text)).mapInArrow(run, "url string, vector array<float>")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -20,8 +21,14 @@ DEFAULTS = {
 #: Drops the shuffle files of a query when it ends; a written table needs them no longer.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Scratch folders of the scopes that are open, innermost last.
-_scopes: list[list[tuple[SparkSession, str]]] = []
+class _Scopes(threading.local):
+    """Scratch folders of the scopes that a thread has open, innermost last; another thread's queries keep their own."""
+
+    def __init__(self):
+        self.open: list[list[tuple[SparkSession, str]]] = []
+
+
+_scopes = _Scopes()
 
 
 def build_session(app: str = "corpuslens", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,8 +67,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the scratch root, removed when its scope, or else the driver, ends."""
     path = f"{scratch_root(spark)}/corpuslens/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    if _scopes.open:
+        _scopes.open[-1].append((spark, path))
     else:
         atexit.register(delete_path, spark, path)
     return path
@@ -70,17 +77,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 @contextlib.contextmanager
 def scratch_scope(keep: list[DataFrame]) -> Iterator[None]:
     """Delete the scratch tables written inside, but those that ``keep`` lists by then (they go with the outer scope or the driver)."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        own = _scopes.pop()
+        own = _scopes.open.pop()
         kept = {path for df in keep if (path := getattr(df, "_scratch", None))}
         for spark, path in own:
             if path not in kept:
                 delete_path(spark, path)
-            elif _scopes:
-                _scopes[-1].append((spark, path))
+            elif _scopes.open:
+                _scopes.open[-1].append((spark, path))
             else:
                 atexit.register(delete_path, spark, path)
 

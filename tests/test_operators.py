@@ -274,3 +274,34 @@ def test_similar_pairs_lose_none_and_compare_few(spark):
         if d == 64 and t == 0.92:
             assert stats.compared < 0.01 * stats.met
     assert V.similar_pairs(df.limit(0)).count() == 0 and tuple(V.compared_pairs(df.limit(0)).first()) == (0, 0)
+
+
+def test_embeddings_of_many_texts_are_those_of_each(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "é" * 50, "x" * 3000, *("".join(rng.choices("ab c\U0001f600", k=rng.randrange(60))) for _ in range(40))]
+    assert [v.tolist() for v in V.fake_embeddings(texts)] == [V.fake_embedding(t) for t in texts]
+    assert V.fake_embeddings([]).shape == (0, 8) and V.fake_embeddings(["q"], 3).tolist() == [V.fake_embedding("q", 3)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("n", None)], "url string, body_text string")
+    plain = lambda t: V.fake_embedding(t)
+    assert sorted(map(tuple, V.embedded(df).collect())) == sorted(map(tuple, V.embedded(df, plain).collect()))
+
+
+def test_scratch_scopes_of_threads_are_their_own(spark):
+    import threading
+
+    from corpuslens.session import materialize, scratch_scope
+
+    inner, seen = threading.Event(), threading.Event()
+
+    def other():
+        with scratch_scope([]):
+            inner.set()
+            seen.wait(60)
+
+    t = threading.Thread(target=other)
+    t.start()
+    inner.wait(60)
+    kept = materialize(spark.range(3), "kept")  # belongs to no scope of this thread
+    seen.set()
+    t.join()
+    assert kept.count() == 3
