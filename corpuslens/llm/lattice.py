@@ -21,7 +21,8 @@ stands in the text itself is written in byte pieces, so every text comes back.
 
 Defined results: a null or empty text has no pieces and decodes to the empty
 text; a null key counts as a key of its own; rows that repeat a key and text
-get equal segmentations; an empty table gives no rows.
+get equal segmentations; paths of equal weight come up equally often; columns
+besides the key and the text are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ conditional expression.
 
 Defined results: a null or empty text has zero in every statistic; with no
 words the ratios are zero; an empty table gives no rows; without labelled rows
-of both classes the list is empty and rejects nothing.
+of both classes the list is empty and rejects nothing.  Rows that repeat a
+doc_id, or have none, are judged each by their own text, and in the fit count
+as one, that of the smallest statistics; of repeated labels the worse counts.
+A value at a threshold is not above it.  A very long text is a chunk of its own.
+Columns that begin with ``__stat_`` are the operator's own; others pass.
 """
 
 from __future__ import annotations
@@ -200,7 +204,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(order, "doc_id").limit(max_labelled)
     rows = quality_stats(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality"))
-    got = rows.filter(~base_failed()).select("doc_id", "quality", *(f().alias(k) for k, f in FEATURES.items())).toPandas()
+    # One row an id, so that no more rows than were asked for come, however often an id repeats.
+    one = F.min(F.struct("quality", *(f().alias(k) for k, f in FEATURES.items()))).alias("x")
+    got = rows.filter(~base_failed()).groupBy("doc_id").agg(one).select("doc_id", "x.*").toPandas()
     if not len(got):
         return []
     got = got.assign(key=[(int(d) * 0x9E3779B1) % (1 << 32) for d in got["doc_id"]]).sort_values(["key", "doc_id"])

@@ -28,7 +28,9 @@ a key shared by a third of all rows reaches the shuffle once for each chunk.
 Defined results: null or empty texts, and texts of fewer than ``WIDTH`` words,
 lose nothing; rows with a null doc_id take no part and lose nothing; a doc_id
 names one text, and rows that repeat it get the same verdict; a very long text
-is a chunk of its own; an empty table gives no rows.
+is a chunk of its own; an empty table gives no rows.  Columns named ``__id``,
+``__ranges``, ``__kept``, ``__words`` or ``__removed`` are the operator's own;
+others pass untouched.
 """
 
 from __future__ import annotations

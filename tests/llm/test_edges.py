@@ -52,3 +52,10 @@ def test_repeated_rows_and_clashing_names(spark):
         assert left == 2  # rows of one id stay together
     for make in (lambda d: tokens.token_report(d, path), simhash.simhash_report, lambda d: Q.quality_report(d, labels), lambda d: Q.keep_good(d, labels), shingles.keep_first_copies, substrings.drop_repeats):
         assert make(docs.limit(0)).count() == 0
+
+
+def test_fit_reads_one_row_an_id(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    ids = [r.doc_id for r in labels.select("doc_id").limit(40).collect()]
+    again = docs.unionAll(docs.filter(F.col("doc_id").isin(ids)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("k"))
+    assert Q.fit_rules(again, labels) == Q.fit_rules(docs, labels)
