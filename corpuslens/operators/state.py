@@ -12,10 +12,12 @@ from ..schemas import ACTIVE_RUN_STATUSES, KEYS, QUEUES
 from ..session import materialize
 
 
-def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows whose key exists are ignored; of new rows with one key the first stays."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(*(order or new.columns)))
-    first = new.withColumn("__n", rank).filter("__n = 1").drop("__n")
+def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None, repeats: bool = False) -> DataFrame:
+    """Rows whose key exists are ignored; of new rows with one key the first stays, or with ``repeats`` all of them."""
+    first = new
+    if not repeats:
+        rank = F.row_number().over(W.partitionBy(*key).orderBy(*(order or new.columns)))
+        first = new.withColumn("__n", rank).filter("__n = 1").drop("__n")
     return existing.unionByName(first.join(existing.select(*key), key, "left_anti").select(*existing.columns))
 
 

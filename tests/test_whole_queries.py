@@ -1,6 +1,6 @@
 """Queries that cover all of their tables."""
 
-from corpuslens.plans.queries import QUERIES
+from corpuslens.plans.queries import ORACLE, QUERIES
 
 
 def write_pages(spark, folder, pages):
@@ -55,3 +55,16 @@ def test_audit_entries_by_brute_force(spark, tmp_path):
         assert (r.primary_label, r.suggested_action, r.inbound_internal_links, r.word_count) == (label, action, str(inbound[i]), str(n))
         assert r.priority == f"{np.floor(weight * (0.5 + 0.5 * inbound[i] / most) * sure * 1000 + 0.5) / 10:.1f}"
         assert (r.duplicate_cluster_id is not None) == (i in group)
+
+
+def test_alias_inserts_where_urls_repeat(spark, tmp_path):
+    """A row for each odd page whose url no even page has, as the SQL gives them, and one for each url of even pages."""
+    import duckdb
+
+    urls = {1: "a", 3: "a", 5: "b", 2: "b", 4: "c", 12: "c", 7: "d", 9: "e", 11: "e", 13: "e"}
+    d = write_pages(spark, tmp_path, [(i, u, "") for i, u in urls.items()])
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{d}/pages.parquet/*.parquet'")
+    columns = ["alias_url", "canonical_url", "alias_type"]
+    want = sorted(con.execute(f"select {', '.join(columns)} from ({ORACLE['alias_inserts']})").fetchall())
+    assert sorted(map(tuple, QUERIES["alias_inserts"](spark, d).select(*columns).collect())) == want and len(want) == 8
