@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +10,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
+from ..functions.batches import bounded, give_back
 from ..session import drop, materialize, scratch_path, scratch_scope, settings
 
 __all__ = ["bounded", "chunks", "drop", "inside", "materialize", "mix64", "scratch_path", "scratch_scope", "settings", "split_words", "window_hashes", "word_hashes"]
 
 #: Text bytes that one vectorised step works on; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
-#: Bytes that one Arrow batch of whole texts takes at most between JVM and Python (a longer row comes alone).
-BATCH_BYTES = 16 << 20
-
-try:
-    _LIBC = ctypes.CDLL("libc.so.6")
-    _LIBC.malloc_trim
-except (OSError, AttributeError):  # another C library
-    _LIBC = None
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, about to go to Python: where the session says nothing of the bytes of Arrow batches, they are bounded by ``BATCH_BYTES``."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(name, None) is None:
-        df.sparkSession.conf.set(name, str(BATCH_BYTES))
-    return df
-
-
-def give_back() -> None:
-    """Return a Python worker's freed memory to the machine: workers live on between stages."""
-    pa.default_memory_pool().release_unused()
-    if _LIBC is not None:
-        _LIBC.malloc_trim(0)
 
 
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.batches import bounded
 from ..functions.html import extracted, linked_urls
 from ..functions.text import is_html, is_thin, word_count
 from ..functions.urls import admitted_path, canonicalize, is_absolute, same_host
@@ -17,7 +18,7 @@ VIA = ["homepage", "seed", "sitemap_index", "canonical_alias", "canonical_tag",
 
 def extract_pages(corpus: DataFrame, thin_words: int = 50, keep: list[str] = ()) -> DataFrame:
     """``corpus(url, html)`` with text, metadata, word count, shell flag, digest and links; the columns ``keep`` stay."""
-    one = corpus.withColumn("x", extracted(F.col("html"), F.col("url")))
+    one = bounded(corpus).withColumn("x", extracted(F.col("html"), F.col("url")))
     words = word_count(F.col("x.body_text"))
     return one.select(
         *keep, "url", "x.*", words.alias("word_count"), is_thin(words, thin_words).alias("is_empty_shell"),
@@ -34,7 +35,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """``(from_url, to_url)`` of ``pages(url, html)``, distinct, with canonical ends."""
-    links = pages.select("url", F.explode(linked_urls(F.col("html"), F.col("url"))).alias("to"))
+    links = bounded(pages).select("url", F.explode(linked_urls(F.col("html"), F.col("url"))).alias("to"))
     return links.select(canonicalize(F.col("url")).alias("from_url"), canonicalize(F.col("to")).alias("to_url")).filter("from_url is not null and to_url is not null").distinct()
 
 
