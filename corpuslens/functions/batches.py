@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,3 +51,18 @@ def pieces(batches: Iterator[pa.Array | tuple[pa.Array, ...]], limit: int = PIEC
         if not ends:
             yield columns
         give_back()
+
+
+def mapped(change: Callable, batches: Iterator[pa.Array], kind: pa.DataType, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """``change`` of each value of strings or bytes, nulls left alone: what goes in and what comes out is held in pieces of about ``limit`` bytes."""
+    for (piece,) in pieces(batches, limit):
+        out, held = [], 0
+        for value in piece:
+            made = None if value.as_py() is None else change(value.as_py())
+            out.append(made)
+            held += len(made or b"")
+            if held > limit:
+                yield pa.array(out, kind)
+                out, held = [], 0
+        if out or not len(piece):
+            yield pa.array(out, kind)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X, urls as U
+from ..functions.batches import bounded, mapped
 from ..operators import crawl as C, vectors as V
 from ..sources import web as B
 from .registry import query, table
@@ -95,14 +97,15 @@ def capped_bodies(spark, d):
 
 @query("select page_id, sha256(html) digest from pages")
 def gunzipped_bodies(spark, d):
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: gzip.compress(t.encode()))
+    @F.arrow_udf("binary")
+    def pack(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return mapped(lambda t: gzip.compress(t.encode()), texts, pa.binary())
 
+    # A function in Python gets every row, whatever the condition around it; what needn't be packed is null to it.
     odd = F.col("page_id") % 2 == 1
-    raw = F.when(odd, pack("html")).otherwise(F.encode("html", "UTF-8"))
+    raw = F.when(odd, pack(F.when(odd, F.col("html")))).otherwise(F.encode("html", "UTF-8"))
     name = F.when(odd, "page.GZ").otherwise("page.html")
-    return table(spark, d, "pages").select("page_id", F.sha2(B.gunzipped(name, raw), 256).alias("digest"))
+    return bounded(table(spark, d, "pages")).select("page_id", F.sha2(B.gunzipped(name, raw), 256).alias("digest"))
 
 
 @query("select page_id, 'URL: ' || url || chr(10) || 'Title: t' || chr(10) || chr(10) || 'body ' || page_id prompt from pages")

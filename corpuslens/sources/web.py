@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+from collections.abc import Iterator
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pandas as pd
@@ -12,6 +13,7 @@ import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.batches import mapped
 from ..functions.urls import decoded_path, path as url_path, same_host
 from ..session import materialize
 
@@ -141,9 +143,9 @@ def robots_sitemaps(robots_txt: str) -> list[str]:
 def gunzipped(name: Column, raw: Column, encoding: Column | None = None) -> Column:
     """A body as text, unpacked where its header says gzip or its name ends in ".gz" and it begins like a gzip file."""
 
-    @F.pandas_udf("binary")
-    def unpack(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else gzip.decompress(b))
+    @F.arrow_udf("binary")
+    def unpack(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return mapped(gzip.decompress, bodies, pa.binary())
 
     said = F.lower(F.coalesce(encoding, F.lit(""))).contains("gzip") if encoding is not None else F.lit(False)
     packed = (said | F.lower(F.coalesce(name, F.lit(""))).endswith(".gz")) & (F.substring(raw, 1, 2) == F.unhex(F.lit("1F8B")))
