@@ -4,10 +4,12 @@ A text is the set of its shingles of ``WIDTH`` words (a shorter one is one
 shingle, one without words the empty set), ASCII case ignored.  Two texts are
 near copies if their sets have a Jaccard similarity of ``LEAST`` or more.
 
-Candidates share a band: ``ROWS`` min-hashes of the set, of which there are
-``BANDS``.  A pair of similarity s shares one with 1 - (1 - s^5)^24, at 0.8
-that is 0.9999, whatever the kind of edit.  Fingerprints within three bits do
-not reach that far: such pairs differ by ten bits of 64.
+Candidates are the groups that the caller knows (``simhash`` gives its
+components, all links within three bits), and those that share a band:
+``ROWS`` min-hashes of the set, of which there are ``BANDS``.  A pair of
+similarity s shares one with 1 - (1 - s^5)^24, at 0.8 that is 0.9999, whatever
+the kind of edit.  Fingerprints within three bits do not reach that far: such
+pairs differ by ten bits of 64, so bands go on from there.
 
 Each candidate is then decided by the sets themselves.  In the order of ids, a
 text goes if it is a near copy of a smaller id that is kept; so a text that
@@ -178,13 +180,19 @@ def _without(df: DataFrame, nodes: DataFrame, *ends: str) -> DataFrame:
     return df
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """``(doc_id)``: documents that are near copies of one of smaller id that is none itself."""
+def copies(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``(doc_id)``: documents that are near copies of one of smaller id that is none itself; ``groups(doc_id, component_id)``
+    are candidates besides those that share a band."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     prints = materialize(sketched(texts), "sketches")
     # Equal sets are one node.
     nodes = materialize(prints.groupBy("d1", "d2", "keys").agg(F.min("doc_id").alias("node")), "nodes")
-    buckets = _crowded(nodes.select("node", F.explode("keys").alias("key")).distinct())
+    own = prints.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node")
+    shared = nodes.select("node", F.explode("keys").alias("key"))
+    if groups is not None:
+        own = materialize(own, "own")
+        shared = shared.unionAll(own.join(groups, "doc_id").select("node", F.xxhash64(F.lit("component"), "component_id").alias("key")))
+    buckets = _crowded(shared.distinct())
     live = buckets.select("node").distinct()
     sets = materialize(_sets(texts.withColumnRenamed("doc_id", "node").join(live, "node", "left_semi").select("node", "text")), "sets")
     out: list[DataFrame] = []
@@ -205,7 +213,6 @@ def copies(docs: DataFrame) -> DataFrame:
             out.append(materialize(_without(edges, later, "a").select(F.col("b").alias("node")).distinct(), "gone"))
             # A first end that is kept for certain has lost all its edges by now: their other ends are gone.
             edges = materialize(_without(edges, out[-1], "a", "b"), "edges")
-    own = prints.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node")
     gone = own.filter("doc_id <> node").select("doc_id")
     if out:
         near = functools.reduce(DataFrame.unionAll, out)
@@ -213,13 +220,13 @@ def copies(docs: DataFrame) -> DataFrame:
     return gone.distinct()
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
+def keep_first_copies(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` without those that are near copies of a kept one of smaller id; rows of null id stay.
 
     Rows that repeat one doc_id are one document; all of them stay or go.
     """
     kept: list[DataFrame] = []
     with scratch_scope(kept):
-        kept.append(materialize(copies(docs), "gone"))
+        kept.append(materialize(copies(docs, groups), "gone"))
     gone = kept[0]
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

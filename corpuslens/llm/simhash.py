@@ -221,5 +221,15 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without near copies of kept rows of smaller id, by five-word shingles (see ``shingles``)."""
-    return shingles.keep_first_copies(docs)
+    """Rows of ``docs`` without near copies of kept rows of smaller id.
+
+    Candidates are the components of fingerprints within three bits, by covering masks as in ``simhash_report``, and what is
+    too far apart for masks by bands; all of them are decided by their exact sets of five-word shingles (see ``shingles``).
+    """
+    kept: list[DataFrame] = []
+    with scratch_scope(kept):
+        linked = near_duplicates(docs.filter("doc_id is not null").select("doc_id", "text")).select("doc_id", "component_id")
+        # A component of one holds no candidates.
+        some = linked.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+        kept.append(materialize(linked.join(some, "component_id").select("doc_id", "component_id"), "linked"))
+    return shingles.keep_first_copies(docs, kept[0])

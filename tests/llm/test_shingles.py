@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpuslens.llm import shingles, simhash
 
@@ -87,6 +88,19 @@ def test_groups_match_brute_force(spark):
     assert kept(spark, texts) == first_copies(texts)
 
 
+def test_masks_find_copies_where_no_band_does(spark, monkeypatch):
+    """Covering masks over fingerprints are a way of their own to candidates, and their sets decide."""
+    rng = random.Random(9)
+    texts = [" ".join(fresh(rng, 900)) for _ in range(30)]
+    edited = [t.replace(" ", " edit ", 1) for t in texts[:20]]
+    sketched = shingles.sketched
+    monkeypatch.setattr(shingles, "sketched", lambda docs: sketched(docs).withColumn("keys", F.array(F.xxhash64("doc_id"))))
+    prints = simhash._fingerprints(pa.array(texts + edited), 3)[0]
+    near = {30 + k for k in range(20) if bin(int(prints[k]) ^ int(prints[30 + k])).count("1") <= 3}
+    assert len(near) >= 5 and first_copies(texts + edited) == set(range(30))
+    assert kept(spark, texts + edited) == set(range(50)) - near
+
+
 def test_sets_and_bands():
     texts = ["a b c d e f", "A b c d e F", "one two", None, "x x x x x x x", "one two three four"]
     found, starts = shingles.shingle_sets(pa.array(texts))
