@@ -55,11 +55,12 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: shift, multiply by odd constants, twice."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9FB21C651E98DF25)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = (x >> np.uint64(31)) ^ x
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def window_hashes(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:

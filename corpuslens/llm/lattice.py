@@ -27,6 +27,7 @@ besides the key and the text are left out; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -95,13 +96,16 @@ class Lattice:
             raise ValueError("the model has no byte pieces, so not every text could be encoded")
         self.byte_weight = -alpha * (np.log(size) + 1)
         self.weights = dict(zip(keys, weights))
+        self.piece_bytes = pa.array(self.bytes_of, pa.large_binary())
+        #: Hashes of all code points; ``OWN_MARK`` is the last.
+        self.mixed = mix64(np.arange(OWN_MARK + 1, dtype=np.uint64) + np.uint64(1))
         self.seed = np.uint64(seed)
         self.power = self.undo = np.ones(1, np.uint64)
         self._index(keys, np.array(ids), np.array(weights))
 
     def _index(self, keys: list[str], ids: np.ndarray, weights: np.ndarray) -> None:
         """Two tables by bits of a piece's hash; pieces that clash in the first stand in the second."""
-        h = np.array([self._hash(np.array([ord(c) for c in k])) for k in keys], np.uint64)
+        h = self._hashes(keys)
         order = np.argsort(h)
         # After the pieces: byte edges of one to four bytes, and no edge.
         n = self.pieces = len(order)
@@ -121,16 +125,22 @@ class Lattice:
         # Bits of what pieces, and starts of pieces, hash to: most substrings are neither and go no further.
         starts = {k[:i] for k in keys for i in range(1, len(k) + 1)}
         self.starts = np.zeros(1 << 21, bool)
-        self.starts[(np.array([self._hash(np.array([ord(c) for c in k])) for k in starts], np.uint64) >> np.uint64(43)).astype(np.int64)] = True
+        self.starts[(self._hashes(list(starts)) >> np.uint64(43)).astype(np.int64)] = True
         self.whole = np.zeros(1 << 21, bool)
         self.whole[at] = True
 
-    @staticmethod
-    def _hash(codes: np.ndarray) -> np.uint64:
-        out = np.zeros(1, np.uint64)
-        for c in codes:
-            out = out * _M + mix64(np.array([c + 1], np.uint64))
-        return mix64(out)[0]
+    def _hashes(self, keys: list[str]) -> np.ndarray:
+        """Hashes of strings, those of one length at once."""
+        out = np.zeros(len(keys), np.uint64)
+        sizes = np.array([len(k) for k in keys])
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            codes = np.frombuffer("".join(keys[i] for i in own).encode("utf-32-le"), "<u4").reshape(-1, n)
+            h = np.zeros(len(own), np.uint64)
+            for column in codes.T:
+                h = h * _M + self.mixed[column]
+            out[own] = mix64(h)
+        return out
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece of each hash, or -1."""
@@ -158,7 +168,7 @@ class Lattice:
         ends = (starts + lengths)[unit]
         place = np.arange(len(codes))
         nodes = len(codes) + len(lengths)
-        mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
+        mixed = self.mixed[codes]
         h = np.zeros(len(codes), np.uint64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for size in range(1, top + 1):
@@ -205,11 +215,13 @@ class Lattice:
         ends = np.zeros(len(first))
         order = np.argsort(-size_of, kind="stable")
         sorted_ = size_of[order]
+        before_ = {k: np.lib.stride_tricks.sliding_window_view(total, k) for k in range(1, top + 1) if k <= nodes}
         for j in range(1, int(sorted_[0]) + 1 if len(sorted_) else 1):
             own = order[: np.searchsorted(-sorted_, -j, "right")]
             at = first[own] + j
             sizes = np.arange(1, min(j, top) + 1)
-            path = total[at[:, None] - sizes] + self.w[piece[at, : len(sizes)]]
+            # Whole rows are taken: the totals of the nodes before each one, nearest first, and its edges.
+            path = before_[len(sizes)][at - len(sizes)][:, ::-1] + self.w[piece.take(at, 0)[:, : len(sizes)]]
             best = path.max(1)
             part = np.exp((path - best[:, None]).astype(np.float32))
             cumulative = np.cumsum(part, 1)
@@ -225,7 +237,7 @@ class Lattice:
             # Whatever rounding leaves goes to the last edge that counts.
             last = cumulative >= whole
             cumulative /= whole
-            cumulative[last] = 2.0
+            np.copyto(cumulative, 2.0, where=last)
             share[at, : len(sizes)] = cumulative
         if first is not base:
             # Each segment's nodes on top of all segments of its unit before.
@@ -263,7 +275,7 @@ class Lattice:
         length = np.diff(np.concatenate([opens, [len(codes)]]))
         # Distinct units, by a fingerprint of their characters.
         power, undo = self._powers(len(codes))
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], dtype=np.uint64)])
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.mixed[codes] * power[: len(codes)], dtype=np.uint64)])
         print_ = mix64((prefix[opens + length] - prefix[opens]) * undo[opens] + mix64(length.astype(np.uint64)))
         unit = pa.array(print_).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         sample = np.empty(int(unit.max()) + 1, np.int64)
@@ -306,7 +318,7 @@ class Lattice:
             node, active = origin + left, np.arange(len(who))
             while len(active):
                 u = (mix64(stream[who[active]] + left.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-                size = (share[node] > u[:, None]).argmax(1) + 1
+                size = (share.take(node, 0) > u[:, None]).argmax(1) + 1
                 got = piece[node, size - 1].astype(np.int32)
                 where = opens[who[active]] + left - 1  # the character that ends here
                 count = np.where(got >= self.pieces, got - self.pieces + 1, 1)
@@ -343,12 +355,26 @@ class Lattice:
         # The mark before the text's start.
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:] if len(ids) else ""
 
+    def decode_all(self, ids: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+        """Each text's bytes: ``decode`` of all texts' pieces at once, as Arrow lays taken values end to end."""
+        taken = self.piece_bytes.take(pa.array(ids))
+        ends = pc.cumulative_sum(pc.cast(pc.binary_length(taken), pa.int64())).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], ends])[firsts].tolist()
+        joined = taken.buffers()[2].to_pybytes() if len(ids) else b""
+        return [joined[a + 1 : b] for a, b in zip(at, at[1:])]
+
+
+@functools.lru_cache(2)
+def _known(model_path: str, alpha: float = ALPHA, seed: int = SEED) -> Lattice:
+    """A worker's lattice: its tables are built once, not in each of its tasks."""
+    return Lattice(model_path, alpha, seed)
+
 
 def sampled(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """``(doc_id, ids)``: a sampled segmentation of every whole text, as an array of piece ids."""
 
     def run(batches):
-        lattice = Lattice(model_path, alpha, seed)
+        lattice = _known(model_path, alpha, seed)
         for batch in batches:
             for part in chunks(batch, 1, CHUNK):
                 ids, firsts = lattice.encode(pc.fill_null(part.column(1), "").to_pylist(), part.column(2).to_numpy().view(np.uint64))
@@ -362,7 +388,7 @@ def decoded(pieces: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, text)`` of ``pieces(doc_id, ids)``."""
 
     def run(batches):
-        lattice = Lattice(model_path)
+        lattice = _known(model_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lattice.decode(x.values.to_numpy().tolist()) for x in batch.column(1)], pa.string())], ["doc_id", "text"])
 
@@ -374,15 +400,15 @@ def lattice_report(docs: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, n_pieces, ids_crc32, decoded_sha256, lossless)``: each text encoded, and decoded again, in one pass."""
 
     def run(batches):
-        lattice = Lattice(model_path)
+        lattice = _known(model_path)
         for batch in batches:
             for part in chunks(batch, 1, CHUNK):
                 texts = pc.fill_null(part.column(1), "").to_pylist()
                 ids, firsts = lattice.encode(texts, part.column(2).to_numpy().view(np.uint64))
                 raw = ids.astype("<u4").tobytes()
-                back = [lattice.decode(ids[a:b].tolist()) for a, b in zip(firsts, firsts[1:])]
+                back = lattice.decode_all(ids, firsts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(firsts)), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(firsts.tolist(), firsts[1:].tolist())], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(back, texts)], pa.bool_())],
+                    [part.column(0), pa.array(np.diff(firsts)), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(firsts.tolist(), firsts[1:].tolist())], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()), pa.array([a == b.encode() for a, b in zip(back, texts)], pa.bool_())],
                     ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"],
                 )
 

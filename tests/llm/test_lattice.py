@@ -92,3 +92,10 @@ def test_empty_null_key_and_clashing_columns(spark):
     df = frame(spark, ["a b", None]).selectExpr("*", "1 as key", "2 as ids").unionAll(spark.createDataFrame([(None, "a b", "en", "s", 3, 1, 2)], "doc_id long, text string, lang string, source string, n_chars long, key int, ids int"))
     assert sorted((r.doc_id is None, r.lossless) for r in L.lattice_report(df, PATH).collect()) == [(False, True), (False, True), (True, True)]
     assert L.lattice_report(df.limit(0), PATH).count() == 0
+
+
+def test_all_texts_are_decoded_at_once(model):
+    keys = np.arange(len(TEXTS), dtype=np.uint64)
+    ids, firsts = model.encode(TEXTS, keys)
+    assert model.decode_all(ids, firsts) == [t.encode() for t in TEXTS] == [model.decode(ids[a:b]).encode() for a, b in zip(firsts, firsts[1:])]
+    assert model.decode_all(ids[:0], np.zeros(3, np.int64)) == [b"", b""]
